@@ -74,7 +74,7 @@ def observed_steps(obs: DataFrame, actions: DataFrame | None, chunk_min: float)
         "prev_ts", "prev_value", "next_value",
         minutes_between(F.col("prev_ts"), F.col("ts")).alias("prev_gap_min"),
         minutes_between(F.col("ts"), F.col("next_ts")).alias("gap_min"),
-        (F.col("next__cn") - F.col("_cn")).alias("action_count"),
+        F.col("_cn").alias("actions_before"), (F.col("next__cn") - F.col("_cn")).alias("action_count"),
         (F.col("next__cd") - F.col("_cd")).alias("action_dose"))
 
 

@@ -70,3 +70,22 @@ def exact_quantile_table(df: DataFrame, keys: Sequence[str], values: Mapping[str
                         [*keys, "_m"], "_x", probs)
     return q.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_m") == n, F.col(p))).alias(f"{n}_{p}") for n in values for p in probs])
+
+
+def cumulative_cells(df: DataFrame, keys: Sequence[str], value: Column, counts: Mapping[str, Column]) -> DataFrame:
+    """Distinct values with summed ``counts``, their totals strictly below (``*_below``) and overall (``*_total``)."""
+    group = list(keys) or ["_all"]
+    flat = df.select(*keys, value.cast("double").alias("_v"), *[c.alias(n) for n, c in counts.items()])
+    if not keys:
+        flat = flat.withColumn("_all", F.lit(1))
+    cells = flat.where(F.col("_v").isNotNull()).withColumn("_b", value_bucket(F.col("_v"))).groupBy(
+        *group, "_b", "_v").agg(*[F.sum(n).alias(n) for n in counts])
+    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group)
+    totals = cells.groupBy(*group, "_b").agg(*[F.sum(n).alias(n) for n in counts]).select(
+        *group, "_b", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in counts],
+        *[F.sum(n).over(whole).alias(f"{n}_total") for n in counts])
+    inside = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    return cells.join(totals, [*group, "_b"]).select(
+        *keys, F.col("_v").alias("value"), *counts, *[f"{n}_total" for n in counts],
+        *[(F.col(f"_{n}") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"{n}_below") for n in counts])

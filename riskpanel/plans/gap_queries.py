@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import gaps as G
 from ..params import QualityRules
+from ..session import shared_table
 from . import roles as R
 from .registry import Query, query, rounded
 from .sql import BASE, EDGES, LATTICE, mins, with_
@@ -15,11 +16,12 @@ QUALITY = QualityRules(readings_per_day=1, readings_per_window=6, min_readings=1
 
 
 def steps(spark: SparkSession, sf: str) -> DataFrame:
-    return G.observed_steps(R.observations(spark, sf), R.actions(spark, sf), R.CHUNK_MIN).persist()
+    return shared_table(spark, sf, "steps", lambda: G.observed_steps(
+        R.observations(spark, sf), R.actions(spark, sf), R.CHUNK_MIN))
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    return G.number_edges(steps(spark, sf), R.GAPS).persist()
+    return shared_table(spark, sf, "edges", lambda: G.number_edges(steps(spark, sf), R.GAPS))
 
 
 def gaps(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,7 +29,8 @@ def gaps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lattice(spark: SparkSession, sf: str) -> DataFrame:
-    return G.fixed_lattice(R.observations(spark, sf), R.actions(spark, sf), R.GAPS).persist()
+    return shared_table(spark, sf, "lattice", lambda: G.fixed_lattice(
+        R.observations(spark, sf), R.actions(spark, sf), R.GAPS))
 
 
 def trajectory_segments(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Session defaults and the durable lineage cut used by iterative operators."""
+"""Session defaults and durable intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,15 +26,32 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise once into reliable storage so a lost executor never replays the lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The reliable folder the cluster names in ``spark.checkpoint.dir``; a scratch one only where it is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named
 
-    The shared folder is the one the cluster names in ``spark.checkpoint.dir``; only when
-    neither that setting nor a directory is present (tests) is a scratch folder chosen.
+
+def materialise(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write once to the shared folder and read back: later plans start from a columnar scan.
+
+    This cuts lineage durably, so neither a lost executor nor a later query replays the
+    upstream windows, and every reader prunes columns and pushes filters into the files.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def shared_table(spark: SparkSession, scope: str, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table that several queries of one application read; built on first use."""
+    key = (spark.sparkContext.applicationId, scope, label)
+    if key not in _SHARED:
+        _SHARED[key] = materialise(build(), label)
+    return _SHARED[key]
