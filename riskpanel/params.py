@@ -130,13 +130,13 @@ class RewardRule:
 
 @dataclass(frozen=True)
 class SupportRule:
-    absolute_count_floor: int = 50
-    parameter_multiplier: float = 2.0
+    absolute_count_floor: int = 40
+    parameter_multiplier: float = 3.0
     min_active_each_side: int = 6
-    min_both_sides: int = 6
+    min_both_sides: int = 5
     min_unique_each_side_action: int = 4
-    max_action1_share: float = 0.5
-    max_total_share: float = 0.5
+    max_action1_share: float = 0.60
+    max_total_share: float = 0.45
 
     def required(self, dimension: int) -> int:
         import math

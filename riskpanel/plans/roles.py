@@ -98,3 +98,27 @@ def long_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _base(spark, sf_dir).select(
         "entity_id", "split", stream.alias("stream"), "ordinal", F.col("ts").alias("ts_begin"),
         F.col("ts").alias("ts_end"), "value", F.lit(None).cast("string").alias("kind"), F.lit("point").alias("phase"))
+
+
+# ---------------------------------------------------------------------- daily panel
+CUTS = (6, 9, 12, 15, 18, 21, 24)
+WINDOW = (0, 29)
+STATE_DIM = 3
+
+
+def daily_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangle entity x day with state, next state, action, reward; ``observed`` needs both days."""
+    base = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("entity_id"), F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long").alias("t"),
+        "event_type", "value")
+    day = base.groupBy("entity_id", "t").agg(
+        F.avg("value").alias("m"), F.count(F.lit(1)).alias("n"), F.max("value").alias("x"),
+        F.max((F.col("event_type") == "purchase").cast("int")).alias("action"))
+    state = F.array(F.round(F.col("m") / 50.0 + 1e-9, 6), F.col("n") / 4.0, F.round(F.col("x") / 100.0 + 1e-9, 6))
+    here = day.select("entity_id", "t", "action", state.alias("state"))
+    after = day.select("entity_id", (F.col("t") - 1).alias("t"), state.alias("next_state"),
+                       F.col("m").between(20.0, 70.0).cast("double").alias("reward"))
+    grid = day.groupBy("entity_id").agg(F.min("t").alias("_first")).select(
+        "entity_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WINDOW[1] - 1).cast("long"))).alias("t"))
+    out = grid.join(here, ["entity_id", "t"], "left").join(after, ["entity_id", "t"], "left")
+    return out.withColumn("observed", F.col("state").isNotNull() & F.col("next_state").isNotNull())

@@ -74,3 +74,46 @@ lat2 AS (SELECT *, CASE WHEN valid THEN sum((valid AND NOT coalesce(pv, false)):
 
 def with_(ctes: str, body: str) -> str:
     return f"WITH {ctes.strip()}{body}" if body.lstrip().startswith(",") else f"WITH {ctes.strip()}\n{body}"
+
+
+DAILY = """
+ev AS (SELECT user_id AS entity_id, date_diff('day', DATE '2024-01-01', ts::DATE) AS t, event_type, value FROM events),
+dd AS (SELECT entity_id, t, avg(value) AS m, count(*) AS n, max(value) AS x, max((event_type = 'purchase')::INT) AS action FROM ev GROUP BY 1, 2),
+ds AS (SELECT entity_id, t, action, m, round(m / 50 + 1e-9, 6) AS s0, n / 4.0::DOUBLE AS s1, round(x / 100 + 1e-9, 6) AS s2 FROM dd),
+rect AS (SELECT u.entity_id, g.t, a.action, a.s0, a.s1, a.s2, b.s0 AS n0, b.s1 AS n1, b.s2 AS n2, (b.m BETWEEN 20 AND 70)::INT::DOUBLE AS reward,
+    a.t IS NOT NULL AND b.t IS NOT NULL AS observed FROM (SELECT DISTINCT entity_id FROM dd) u CROSS JOIN (SELECT unnest(generate_series(0, 28)) AS t) g
+    LEFT JOIN ds a ON a.entity_id = u.entity_id AND a.t = g.t LEFT JOIN ds b ON b.entity_id = u.entity_id AND b.t = g.t + 1),
+sg0 AS (SELECT *, lag(observed) OVER w AS po, sum((NOT observed)::INT) OVER w AS miss FROM rect WINDOW w AS (PARTITION BY entity_id ORDER BY t)),
+sg1 AS (SELECT *, sum((observed AND NOT coalesce(po, false))::INT) OVER w - 1 AS segment_id,
+    max(CASE WHEN observed AND NOT coalesce(po, false) THEN t END) OVER w AS sf FROM sg0 WINDOW w AS (PARTITION BY entity_id ORDER BY t)),
+seg AS (SELECT entity_id, t, action, s0, s1, s2, n0, n1, n2, reward, segment_id, t - sf AS local_index, miss > 0 AS missed_before FROM sg1 WHERE observed),
+panel AS (SELECT *, t AS elapsed_index FROM seg WHERE segment_id = 0 OR local_index >= 2),
+strict AS (SELECT *, t AS elapsed_index FROM seg WHERE NOT missed_before)"""
+
+CUTS_SQL = "(VALUES (6), (9), (12), (15), (18), (21), (24)) c(candidate)"
+
+
+def screen_sql(panel: str, rule, dim: int, cuts: str = CUTS_SQL) -> str:
+    """CTEs ending in ``screened`` for a panel CTE and a support rule."""
+    req = rule.required(dim + 1)
+    per = ", ".join(
+        f"sum({m}_{s}) AS {s}_{tag}, count(*) FILTER ({m}_{s} > 0) AS {s}_{tag}_entities, "
+        f"coalesce(max({m}_{s}) / nullif(sum({m}_{s}), 0), 0) AS {s}_{tag}_max_share, "
+        f"coalesce(sum({m}_{s})::DOUBLE * sum({m}_{s}) / nullif(sum({m}_{s} * {m}_{s}), 0), 0) AS {s}_{tag}_ess"
+        for s in ("left", "right") for m, tag in (("n", "transitions"), ("z", "A0"), ("a", "A1")))
+    why = []
+    for s in ("left", "right"):
+        why.append(f"CASE WHEN {s}_transitions_entities < {rule.min_active_each_side} THEN '{s}:active_entities' END")
+        for k in (0, 1):
+            why.append(f"CASE WHEN {s}_A{k} < {req} THEN '{s}:action{k}_count' END")
+            why.append(f"CASE WHEN {s}_A{k}_entities < {rule.min_unique_each_side_action} THEN '{s}:action{k}_unique_entities' END")
+        why.append(f"CASE WHEN {s}_A1_max_share > {rule.max_action1_share} THEN '{s}:action1_dominance' END")
+        why.append(f"CASE WHEN {s}_transitions_max_share > {rule.max_total_share} THEN '{s}:total_dominance' END")
+    why.append(f"CASE WHEN entities_both < {rule.min_both_sides} THEN 'entities_on_both_sides' END")
+    return f""",
+sd AS (SELECT p.entity_id, candidate, count(*) FILTER (elapsed_index < candidate) AS n_left, count(*) FILTER (elapsed_index >= candidate) AS n_right,
+    count(*) FILTER (elapsed_index < candidate AND action = 1) AS a_left, count(*) FILTER (elapsed_index >= candidate AND action = 1) AS a_right,
+    count(*) FILTER (elapsed_index < candidate AND action = 0) AS z_left, count(*) FILTER (elapsed_index >= candidate AND action = 0) AS z_right
+    FROM {panel} p CROSS JOIN {cuts} GROUP BY 1, 2),
+sc0 AS (SELECT candidate, {per}, count(*) FILTER (n_left > 0 AND n_right > 0) AS entities_both, {req} AS required_count FROM sd GROUP BY 1),
+screened AS (SELECT *, concat_ws('|', {', '.join(why)}) AS reasons FROM sc0)"""
