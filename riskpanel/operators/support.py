@@ -19,8 +19,8 @@ NO_SUPPORT = SupportRule(0, 0.0, 0, 0, 0, 1.0, 1.0)
 PROFILES = {"lenient": LENIENT, "primary": PRIMARY, "strict": STRICT, "none": NO_SUPPORT}
 
 
-def _check(view: DataFrame, cuts: Sequence[int], start: int, end: int) -> list[int]:
-    if sorted(view.columns) != sorted(SUPPORT_COLUMNS):
+def _check(view: DataFrame, cuts: Sequence[int], start: int, end: int, by: Sequence[str]) -> list[int]:
+    if sorted(view.columns) != sorted([*SUPPORT_COLUMNS, *by]):
         raise TypeError("the support screen accepts (entity_id, elapsed_index, action) only")
     if end <= start:
         raise ValueError("analysis window must be positive")
@@ -31,30 +31,36 @@ def _check(view: DataFrame, cuts: Sequence[int], start: int, end: int) -> list[i
     return ordered
 
 
-def entity_sides(view: DataFrame, cuts: Sequence[int], start: int, end: int) -> DataFrame:
-    """Rows and action-1 rows of each entity left and right of every cut.
+def side_counts(view: DataFrame, cuts: Sequence[int], start: int, end: int, by: Sequence[str] = ()) -> DataFrame:
+    """Per entity, arrays over the ordered cuts: rows (n) and action-1 rows (a) on the left and right.
 
     The panel is aggregated once to (entity, interval between cuts); sides are sums over the few
     intervals, so the cost does not multiply with the number of cuts.
     """
-    ordered = _check(view, cuts, start, end)
+    ordered = _check(view, cuts, start, end, by)
     idx = F.col("elapsed_index")
     slot = sum(((idx >= c).cast("int") for c in ordered), F.lit(0))
-    cells = view.where((idx >= start) & (idx < end)).groupBy("entity_id", slot.alias("slot")).agg(
+    cells = view.where((idx >= start) & (idx < end)).groupBy(*by, "entity_id", slot.alias("slot")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("action").cast("long").alias("a"))
 
     def upto(c: str, j: int, left: bool) -> Column:
         side = F.col("slot") <= j if left else F.col("slot") > j
         return F.sum(F.when(side, F.col(c)).otherwise(0))
 
-    aggs = [upto(c, j, left).alias(f"{c}{'l' if left else 'r'}{j}")
-            for j in range(len(ordered)) for c in ("n", "a") for left in (True, False)]
-    wide = cells.groupBy("entity_id").agg(*aggs)
-    per = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("candidate"), *[F.col(f"{m}{s}{j}").alias(f"{m}_{n}") for m in ("n", "a")
-                                                for s, n in (("l", "left"), ("r", "right"))])
-        for j, c in enumerate(ordered)]))
-    return wide.select("entity_id", per.alias("s")).select("entity_id", "s.*")
+    m = range(len(ordered))
+    wide = cells.groupBy(*by, "entity_id").agg(
+        *[upto(c, j, left).alias(f"{c}{'l' if left else 'r'}{j}") for c in ("n", "a") for left in (True, False) for j in m])
+    return wide.select(*by, "entity_id", *[
+        F.array(*[F.col(f"{c}{s}{j}") for j in m]).alias(f"{c}_{n}") for c in ("n", "a") for s, n in (("l", "left"), ("r", "right"))])
+
+
+def entity_sides(view: DataFrame, cuts: Sequence[int], start: int, end: int, by: Sequence[str] = ()) -> DataFrame:
+    """The same counts, one row per (entity, candidate)."""
+    ordered = sorted({int(c) for c in cuts})
+    names = ["n_left", "n_right", "a_left", "a_right"]
+    zipped = F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in ordered]).alias("candidate"), *names))
+    return side_counts(view, cuts, start, end, by).select(*by, "entity_id", zipped.alias("s")).select(
+        *by, "entity_id", "s.candidate", *[f"s.{n}" for n in names])
 
 
 def screen(view: DataFrame, cuts: Sequence[int], start: int, end: int, rule: SupportRule, state_dim: int) -> DataFrame:

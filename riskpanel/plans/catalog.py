@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import gap_queries, panel_queries, trajectory_queries
+from . import change_queries, gap_queries, panel_queries, trajectory_queries
 from .registry import merged
 
-ALL = merged([gap_queries.QUERIES, trajectory_queries.QUERIES, panel_queries.QUERIES])
-FLAGSHIP = "trajectory_segments"
+ALL = merged([gap_queries.QUERIES, trajectory_queries.QUERIES, panel_queries.QUERIES, change_queries.QUERIES])
+FLAGSHIP = "change_scan"
