@@ -83,9 +83,9 @@ def cumulative_cells(df: DataFrame, keys: Sequence[str], value: Column, counts:
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
     totals = cells.groupBy(*group, "_b").agg(*[F.sum(n).alias(n) for n in counts]).select(
-        *group, "_b", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in counts],
+        *group, "_b", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_c_{n}") for n in counts],
         *[F.sum(n).over(whole).alias(f"{n}_total") for n in counts])
     inside = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     return cells.join(totals, [*group, "_b"]).select(
         *keys, F.col("_v").alias("value"), *counts, *[f"{n}_total" for n in counts],
-        *[(F.col(f"_{n}") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"{n}_below") for n in counts])
+        *[(F.col(f"_c_{n}") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"{n}_below") for n in counts])

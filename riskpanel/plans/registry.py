@@ -35,8 +35,8 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def rounded(sql: str, doubles: str = "", longs: str = "", digits: int = 6) -> str:
     """The same normalisation on the SQL side; column lists are blank-separated."""
-    parts = [f"round({c}::DOUBLE + {NUDGE}, {digits}) + 0.0 AS {c}" for c in doubles.split()]
-    parts += [f"{c}::BIGINT AS {c}" for c in longs.split()]
+    parts = [f'round("{c}"::DOUBLE + {NUDGE}, {digits}) + 0.0 AS "{c}"' for c in doubles.split()]
+    parts += [f'"{c}"::BIGINT AS "{c}"' for c in longs.split()]
     return f"SELECT * REPLACE ({', '.join(parts)}) FROM ({sql})" if parts else sql
 
 

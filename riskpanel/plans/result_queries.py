@@ -224,11 +224,11 @@ _Q = "(VALUES (0.9::DOUBLE), (0.925), (0.95), (0.975)) q(threshold)"
 EVENTS = BANK + f""",
 th AS (SELECT coord, threshold, quantile_cont(a, 0.9) * 0 + CASE threshold WHEN 0.9 THEN quantile_cont(a, 0.9) WHEN 0.925 THEN quantile_cont(a, 0.925)
     WHEN 0.95 THEN quantile_cont(a, 0.95) ELSE quantile_cont(a, 0.975) END AS cut FROM (SELECT coord, abs(value) AS a FROM bank WHERE bank = 'ref') CROSS JOIN {_Q} GROUP BY 1, 2),
-ev AS MATERIALIZED (SELECT b.bank, t.threshold, b.draw, b.cluster, b.coord FROM bank b JOIN th t USING (coord) WHERE abs(b.value) > t.cut)"""
+xe AS MATERIALIZED (SELECT b.bank, t.threshold, b.draw, b.cluster, b.coord FROM bank b JOIN th t USING (coord) WHERE abs(b.value) > t.cut)"""
 PAIRS = EVENTS + f""",
 nd AS (SELECT bank, count(DISTINCT draw) AS draws FROM bank GROUP BY 1),
 gr AS (SELECT bank, draws, threshold, i, j FROM nd CROSS JOIN {_Q} CROSS JOIN generate_series(0, 27) a(i) CROSS JOIN generate_series(0, 27) b(j)),
-jc AS (SELECT a.bank, a.threshold, a.coord AS i, b.coord AS j, count(*) AS n FROM ev a JOIN ev b ON a.bank = b.bank AND a.threshold = b.threshold AND a.draw = b.draw GROUP BY 1, 2, 3, 4),
+jc AS (SELECT a.bank, a.threshold, a.coord AS i, b.coord AS j, count(*) AS n FROM xe a JOIN xe b ON a.bank = b.bank AND a.threshold = b.threshold AND a.draw = b.draw GROUP BY 1, 2, 3, 4),
 jp AS (SELECT g.bank, g.threshold, g.i, g.j, coalesce(n, 0) / draws AS joint FROM gr g LEFT JOIN jc USING (bank, threshold, i, j)),
 et AS MATERIALIZED (SELECT p.*, m.joint AS marginal, p.joint / greatest(m.joint, 1e-15) AS conditional FROM jp p JOIN jp m ON m.bank = p.bank AND m.threshold = p.threshold AND m.i = p.i AND m.j = p.i),
 pe AS MATERIALIZED (SELECT o.*, r.joint AS ref_joint, r.marginal AS ref_marginal, r.conditional AS ref_conditional, o.joint - r.joint AS joint_error, o.conditional - r.conditional AS conditional_error
@@ -280,7 +280,7 @@ def _resample_sql(unit: str, size: int = 100) -> str:
     return EVENTS + ", " + _weights_sql("wr", 100, 12, 5, size) + ", " + _weights_sql("wc", units, 12, 6, n2) + f""",
 nr AS (SELECT rep, sum(w) AS draws FROM wr JOIN (SELECT DISTINCT draw FROM bank WHERE bank = 'ref') b ON b.draw = unit GROUP BY 1),
 nc AS (SELECT rep, sum(w) AS draws FROM wc JOIN (SELECT DISTINCT draw, cluster FROM bank WHERE bank = 'cmp') b ON b.{unit} = unit GROUP BY 1),
-e9 AS (SELECT * FROM ev WHERE threshold = 0.9),
+e9 AS (SELECT * FROM xe WHERE threshold = 0.9),
 ja AS (SELECT rep, a.coord AS i, b.coord AS j, sum(w) AS n FROM e9 a JOIN e9 b ON a.bank = b.bank AND a.draw = b.draw JOIN wr ON wr.unit = a.draw WHERE a.bank = 'ref' AND a.coord <> b.coord GROUP BY 1, 2, 3),
 jb AS (SELECT rep, a.coord AS i, b.coord AS j, sum(w) AS n FROM e9 a JOIN e9 b ON a.bank = b.bank AND a.draw = b.draw JOIN wc ON wc.unit = a.{unit} WHERE a.bank = 'cmp' AND a.coord <> b.coord GROUP BY 1, 2, 3),
 rg AS (SELECT rep, i, j FROM generate_series(0, 11) r(rep) CROSS JOIN generate_series(0, 27) a(i) CROSS JOIN generate_series(0, 27) b(j) WHERE i <> j),
@@ -337,7 +337,7 @@ QUERIES: dict[str, Query] = {
         rounded(with_(REP, f""", b AS (SELECT unnest([{', '.join(map(str, J.P_EDGES[:-1]))}]::DOUBLE[]) AS l, unnest([{', '.join(map(str, J.P_EDGES[1:]))}]::DOUBLE[]) AS r),
             t AS (SELECT scenario, count(p_value) AS total FROM rp GROUP BY 1)
             SELECT t.scenario, total, l AS bin_left, least(r, 1.0) AS bin_right, count(p_value) AS n, count(p_value) / total AS fraction FROM t CROSS JOIN b
-            LEFT JOIN rp ON rp.scenario = t.scenario AND p_value >= l AND p_value < r GROUP BY ALL"""), "bin_left bin_right fraction"), "J8"),
+            LEFT JOIN rp ON rp.scenario = t.scenario AND p_value >= l AND p_value < r GROUP BY t.scenario, total, l, r"""), "bin_left bin_right fraction"), "J8"),
     "p_ecdf": query(
         lambda s, d: J.p_ecdf(replicates(s, d), ["scenario"]),
         rounded(with_(REP, f""" SELECT scenario, count(p_value) AS total, g AS p_threshold, avg((p_value <= g)::INT) AS ecdf FROM rp
@@ -348,9 +348,9 @@ QUERIES: dict[str, Query] = {
                       + " FROM rp GROUP BY 1"), " ".join(f"{n}_{c}" for c in ("zero_refit_error", "refit_count") for n in ("mean", "min", "max"))), "J9 J19"),
     "type_one": query(
         lambda s, d: J.type_one(*outer_tables(s, d)),
-        rounded(with_(REP, f""", o AS (SELECT outer, layer, min(observed) + 1 AS obs FROM rp GROUP BY 1, 2),
-            p AS (SELECT r.outer, r.layer, CASE WHEN count(*) FILTER (status = 'TESTABLE') > 0 THEN (1 + count(*) FILTER (status = 'TESTABLE' AND observed >= obs)) / (1 + count(*) FILTER (status = 'TESTABLE')) END AS p_value
-              FROM rp r JOIN o ON r.outer = o.outer AND r.layer = o.layer GROUP BY 1, 2),
+        rounded(with_(REP, f""", o AS (SELECT "outer", layer, min(observed) + 1 AS obs FROM rp GROUP BY 1, 2),
+            p AS (SELECT r."outer", r.layer, CASE WHEN count(*) FILTER (status = 'TESTABLE') > 0 THEN (1 + count(*) FILTER (status = 'TESTABLE' AND observed >= obs)) / (1 + count(*) FILTER (status = 'TESTABLE')) END AS p_value
+              FROM rp r JOIN o ON r."outer" = o."outer" AND r.layer = o.layer GROUP BY 1, 2),
             g AS (SELECT layer, count(*) AS outers, count(p_value) AS testable, {', '.join(f'count(*) FILTER (p_value <= {a}) AS k{t}' for t, a in J.LEVELS.items())}, quantile_cont(p_value, 0.5) AS median_p_value FROM p GROUP BY 1)
             SELECT layer, outers, testable, median_p_value, testable / outers AS testable_fraction, {_rates('testable', Z_EXACT)} FROM g"""), "median_p_value testable_fraction " + _RATE_D, _RATE_I), "J10"),
     "truth_summary": query(
@@ -436,7 +436,7 @@ QUERIES: dict[str, Query] = {
     "tail_thresholds": query(lambda s, d: K.thresholds(bank(s, d), "ref"), rounded(with_(EVENTS, "SELECT * FROM th"), "cut threshold", "coord"), "K1"),
     "exceedance_events": query(
         lambda s, d: K.exceedances(bank(s, d), K.thresholds(bank(s, d), "ref")).select("bank", "threshold", "draw", "cluster", "coord"),
-        rounded(with_(EVENTS, "SELECT * FROM ev"), "threshold", "draw cluster coord"), "K1"),
+        rounded(with_(EVENTS, "SELECT * FROM xe"), "threshold", "draw cluster coord"), "K1"),
     "joint_exceedance": query(
         lambda s, d: K.exceedance_table(bank(s, d), "ref", N), rounded(with_(PAIRS, "SELECT * FROM et"), "threshold joint marginal conditional", "i j"), "K2"),
     "pair_errors": query(pairs, rounded(with_(PAIRS, "SELECT * FROM pe"), "threshold joint marginal conditional ref_joint ref_marginal ref_conditional joint_error conditional_error", "i j"), "K2 K9"),
@@ -498,7 +498,7 @@ QUERIES: dict[str, Query] = {
             "signed_mean under_fraction over_fraction absolute_mean share_gt_010 joint_mae absolute_p25 absolute_median absolute_p75 absolute_p90 absolute_p95 absolute_p99 absolute_max signed_median share_total_error"), "K13"),
     "extreme_counts": query(
         lambda s, d: K.extreme_counts(bank(s, d), K.exceedances(bank(s, d), K.thresholds(bank(s, d), "ref"))),
-        rounded(with_(EVENTS, f""", k AS (SELECT b.bank, threshold, b.draw, (SELECT count(*) FROM ev e WHERE e.bank = b.bank AND e.threshold = q.threshold AND e.draw = b.draw) AS k
+        rounded(with_(EVENTS, f""", k AS (SELECT b.bank, threshold, b.draw, (SELECT count(*) FROM xe e WHERE e.bank = b.bank AND e.threshold = q.threshold AND e.draw = b.draw) AS k
               FROM (SELECT DISTINCT bank, draw FROM bank) b CROSS JOIN {_Q})
             SELECT bank, threshold, avg(k) AS mean_extremes, avg((k >= 2)::INT) AS multiple_fraction, quantile_cont(k::DOUBLE, 0.95) AS p95_extremes FROM k GROUP BY 1, 2"""),
             "threshold mean_extremes multiple_fraction p95_extremes"), "K14"),
@@ -530,9 +530,9 @@ QUERIES: dict[str, Query] = {
     "nested_spectrum": query(lambda s, d: K.nested_spectrum(bank(s, d), N, "ref"), None, "K20"),
     **{f"conditional_means_by_{n}": query(
         lambda s, d, n=n: K.conditional_means(bank(s, d), "ref", n),
-        rounded(with_(BANK, f""", sd AS (SELECT coord, stddev_samp(value) AS sd FROM bank WHERE bank = 'ref' GROUP BY 1),
+        rounded(with_(BANK, f""", sp AS (SELECT coord, stddev_samp(value) AS sdv FROM bank WHERE bank = 'ref' GROUP BY 1),
             m AS (SELECT bank, cluster, coord, {n}, avg(value) AS m FROM bank GROUP BY 1, 2, 3, 4)
-            SELECT bank, {n}, sqrt(avg((m / sd) ** 2)) AS rms_standardised, avg(m / sd) AS mean_standardised FROM m JOIN sd USING (coord) GROUP BY 1, 2"""), "rms_standardised mean_standardised", n), "K21")
+            SELECT bank, {n}, sqrt(avg((m / sdv) ** 2)) AS rms_standardised, avg(m / sdv) AS mean_standardised FROM m JOIN sp USING (coord) GROUP BY 1, 2"""), "rms_standardised mean_standardised", n), "K21")
        for n in ("candidate", "z")},
     "zero_centre": query(
         lambda s, d: K.zero_centre(CQ.shift_process(s, d).join(CQ.shift_draws(s, d, "M0").groupBy("candidate", "z").agg(F.avg("raw").alias("mean_raw")), ["candidate", "z"]), "contrast", "mean_raw"),
