@@ -14,6 +14,7 @@ from .fqi import Design, FitRule, Models, Randomness, _matrix, contributions, fi
 from .process import LAYERS, Prepared, layer_columns, unpivot_layers
 from .quantiles import exact_quantiles
 
+MAX_PROJECTION_ENTITIES = 4000
 # Ordered failure categories and the message fragments that select them.
 FAILURE_PATTERNS = (
     ("SUPPORT_REJECTION", ("invalid_support_draw", "no_admissible_candidate")),
@@ -234,6 +235,8 @@ def project_on_multipliers(draws: DataFrame, entities: Sequence[int], seed: int,
     keys = np.asarray([r["h"] for r in spark.createDataFrame([(int(e),) for e in entities], "entity_id long").select(
         F.xxhash64("entity_id").alias("h")).collect()], dtype=np.int64)
     e = len(entities)
+    if e > MAX_PROJECTION_ENTITIES:
+        raise ValueError(f"projection needs one {e} x {e} system; at most {MAX_PROJECTION_ENTITIES} entities are supported")
 
     def task(batches):
         for pdf in batches:

@@ -37,7 +37,7 @@ class FitRule:
             raise ValueError("gamma must lie in [0,1)")
         if self.alpha < 0 or self.max_iterations <= 0 or self.tolerance <= 0:
             raise ValueError("invalid numerical configuration")
-        if self.estimator not in ("balanced", "pooled"):
+        if self.estimator not in ("balanced", "pooled", "sums"):
             raise ValueError(f"unknown estimator {self.estimator!r}")
 
 
@@ -207,6 +207,8 @@ def sum_arrays(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
 def _scale(d: Design, rule: FitRule, totals: np.ndarray | None, draws: int) -> np.ndarray:
     if totals is not None:
         return 1.0 / totals
+    if rule.estimator == "sums":
+        return np.ones((len(d.draws) if d.own_draws else draws, len(d.cuts), 2))
     base = d.transitions if rule.estimator == "pooled" else d.entities
     with np.errstate(divide="ignore"):
         inv = np.where(base > 0, 1.0 / np.maximum(base, 1), 0.0)
@@ -214,7 +216,7 @@ def _scale(d: Design, rule: FitRule, totals: np.ndarray | None, draws: int) -> n
 
 
 def _moments(d: Design, rule: FitRule, rnd: Randomness, ids: np.ndarray, scale: np.ndarray, beta: np.ndarray) -> np.ndarray:
-    cuts, pooled, own, q = d.cuts, rule.estimator == "pooled", d.own_draws, d.q
+    cuts, pooled, own, q = d.cuts, rule.estimator != "balanced", d.own_draws, d.q
     place = {int(b): i for i, b in enumerate(ids)}
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -31,6 +31,14 @@ def boundaries(screened: DataFrame, start: int, end: int, total_entities: int, s
                            (nominal * F.sqrt(effective / F.lit(float(total_entities)))).alias("boundary"))
 
 
+def entity_weights(sides: DataFrame) -> DataFrame:
+    """Entity-balanced transition weights 1 / (G n_i) on each side of every cut."""
+    g = sides.groupBy("candidate").agg(F.count_if(F.col("n_left") > 0).alias("_gl"), F.count_if(F.col("n_right") > 0).alias("_gr"))
+    return sides.join(F.broadcast(g), "candidate").select(
+        "entity_id", "candidate", F.when(F.col("n_left") > 0, 1.0 / (F.col("n_left") * F.col("_gl"))).alias("w_left"),
+        F.when(F.col("n_right") > 0, 1.0 / (F.col("n_right") * F.col("_gr"))).alias("w_right"))
+
+
 def long_contributions(wide: DataFrame, cuts, n_z: int) -> DataFrame:
     """(entity, candidate, z, delta) rows from per-entity vectors; inactive cuts are left out."""
     cut = F.element_at(F.array(*[F.lit(int(c)) for c in cuts]), (F.floor(F.col("p") / n_z) + 1).cast("int"))

@@ -338,10 +338,7 @@ QUERIES: dict[str, Query] = {
     "fitted_row_values": query(_values, None, "H4 H20"),
     "fit_diagnostics": query(lambda s, d: H.fit_diagnostics(_values(s, d)), None, "H7 H23"),
     "entity_weights": query(
-        lambda s, d: S.entity_sides(PN.support_view(PQ.panel(s, d)), R.CUTS, START, END).withColumn(
-            "w_left", F.when(F.col("n_left") > 0, 1.0 / (F.col("n_left") * F.count_if(F.col("n_left") > 0).over(_by("candidate"))))).withColumn(
-            "w_right", F.when(F.col("n_right") > 0, 1.0 / (F.col("n_right") * F.count_if(F.col("n_right") > 0).over(_by("candidate"))))).select(
-            "entity_id", "candidate", "w_left", "w_right"),
+        lambda s, d: H.entity_weights(S.entity_sides(PN.support_view(PQ.panel(s, d)), R.CUTS, START, END)),
         rounded(with_(DAILY + screen_sql("panel", PQ.PANEL_RULE, 3), """ SELECT entity_id, candidate,
             CASE WHEN n_left > 0 THEN 1.0 / (n_left * count(*) FILTER (n_left > 0) OVER (PARTITION BY candidate)) END AS w_left,
             CASE WHEN n_right > 0 THEN 1.0 / (n_right * count(*) FILTER (n_right > 0) OVER (PARTITION BY candidate)) END AS w_right FROM sd"""),
@@ -449,12 +446,6 @@ QUERIES: dict[str, Query] = {
 }
 
 
-def _by(col: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(col)
-
-
 def _leverage(s: SparkSession, d: str) -> DataFrame:
     """Half the relative left length of an entity: a bounded stand-in for its hat value."""
     sides = S.entity_sides(PN.support_view(PQ.panel(s, d)), R.CUTS, START, END)
