@@ -146,8 +146,8 @@ def shift_process(s: SparkSession, d: str) -> DataFrame:
         shift_contrast(s, d), H.cluster_variance(shift_contributions(s, d)), shift_bounds(s, d)))
 
 
-def shift_draws(s: SparkSession, d: str, arm: str, scale: float = 1.0, law: str = "gaussian") -> DataFrame:
-    return B.multiplier_process(shift_wide(s, d), shift_process(s, d), R.CUTS, N_Z, DRAWS, SEED, arm, law, scale)
+def shift_draws(s: SparkSession, d: str, arm: str, scale: float = 1.0, law: str = "gaussian", draws: int = DRAWS) -> DataFrame:
+    return B.multiplier_process(shift_wide(s, d), shift_process(s, d), R.CUTS, N_Z, draws, SEED, arm, law, scale)
 
 
 def calibrated(s: SparkSession, d: str, arm: str, law: str = "gaussian") -> DataFrame:
@@ -451,3 +451,8 @@ def _leverage(s: SparkSession, d: str) -> DataFrame:
     sides = S.entity_sides(PN.support_view(PQ.panel(s, d)), R.CUTS, START, END)
     top = sides.agg(F.max("n_left").alias("_m"))
     return sides.join(F.broadcast(top)).select("entity_id", "candidate", (F.col("n_left") / F.col("_m") / 2.0).alias("leverage"))
+
+
+def forget() -> None:
+    """Drop the fitted objects of this process (they are rebuilt on next use)."""
+    _CACHE.clear()

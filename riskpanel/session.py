@@ -55,3 +55,8 @@ def shared_table(spark: SparkSession, scope: str, label: str, build: Callable[[]
     if key not in _SHARED:
         _SHARED[key] = materialise(build(), label)
     return _SHARED[key]
+
+
+def forget_shared_tables() -> None:
+    """Forget the derived tables of this process so that the next query rebuilds them from the sources."""
+    _SHARED.clear()
