@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import MULTIPLIERS, finite_p
-from .fqi import Design, FitRule, Models, Randomness, _matrix, contributions, fit, process_table, sum_arrays
+from .fqi import Design, FitRule, Models, Randomness, _matrix, contributions, few_tasks, fit, process_table, sum_arrays
 from .process import LAYERS, Prepared, layer_columns, unpivot_layers
 from .quantiles import exact_quantiles
 
+# Arms that need one row of a dense system per entity stop here with a clear error.
 MAX_PROJECTION_ENTITIES = 4000
 # Ordered failure categories and the message fragments that select them.
 FAILURE_PATTERNS = (
@@ -53,7 +54,7 @@ def multiplier_sums(contrib: DataFrame, draws: int, seed: int, law: str = "gauss
         if first is not None:
             yield pd.DataFrame({"draw": np.arange(draws), "v": list(np.hstack([first, second]))})
 
-    return sum_arrays(rows.mapInPandas(task, "draw long, v array<double>"), ["draw"], "v")
+    return sum_arrays(few_tasks(rows).mapInPandas(task, "draw long, v array<double>"), ["draw"], "v")
 
 
 def multiplier_process(contrib: DataFrame, proc: DataFrame, cuts: Sequence[int], n_z: int, draws: int, seed: int,
@@ -227,6 +228,14 @@ def estimating_gap(models: Models, rule: FitRule, offset: np.ndarray) -> np.ndar
     return models.extra["gram"][0, 0, 0] @ offset - rule.alpha * models.beta[0, 0, 0]
 
 
+def bounded_entities(panel: DataFrame, limit: int = MAX_PROJECTION_ENTITIES) -> list:
+    """The entity ids, only when there are at most ``limit`` of them."""
+    found = [r["entity_id"] for r in panel.select("entity_id").distinct().limit(limit + 1).collect()]
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} entities: this arm fits one system per entity")
+    return sorted(found)
+
+
 def project_on_multipliers(draws: DataFrame, entities: Sequence[int], seed: int, law: str = "gaussian") -> DataFrame:
     """Least-squares projection of the draw process on the entity multipliers (normal equations, centred)."""
     from .fqi import keyed_draws

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import MINUTE_US, micros, minutes_between
+from ..functions.columns import MINUTE_US, micros
 from ..params import KEYS, FeatureProtocol
 from .gaps import locate
 from .timeline import CHUNK, with_halo
@@ -32,10 +32,10 @@ def trailing_features(steps: DataFrame, actions: DataFrame, exposures: DataFrame
     look_exp = max(*p.exposure_min, p.since_cap_min)
     payload = [c for c in steps.columns if c not in (*K, CHUNK)]
     obs = steps.select(*K, micros("tau_t").alias("t"), F.col("value").alias("v"), F.struct(*payload).alias("row"))
-    obs = with_halo(obs, K, F.col("t"), F.col("t") + _us(look_obs), p.chunk_min)
+    obs = with_halo(obs, F.col("t"), F.col("t") + _us(look_obs), p.chunk_min)
     begin, end = micros("ts"), micros("ts_end")
     summed = actions.groupBy(*K, "ts", "ts_end").agg(F.sum("dose").alias("dose"))
-    doses = with_halo(summed.select(*K, begin.alias("t"), F.greatest(begin, end).alias("e"), "dose"), K, F.col("t"),
+    doses = with_halo(summed.select(*K, begin.alias("t"), F.greatest(begin, end).alias("e"), "dose"), F.col("t"),
                       F.col("e") + _us(look_act), p.chunk_min)
     instant = F.col("e") <= F.col("t")
     slope = F.col("dose") / ((F.col("e") - F.col("t")) / F.lit(float(MINUTE_US)))
@@ -47,7 +47,7 @@ def trailing_features(steps: DataFrame, actions: DataFrame, exposures: DataFrame
                  F.lit(None).cast("long").alias("act"))))
     doses = doses.select(*K, CHUNK, F.explode(marks).alias("m")).select(*K, CHUNK, "m.*")
     exp = exposures.groupBy(*K, "ts").agg(F.sum("amount").alias("amount")).select(*K, micros("ts").alias("t"), "amount")
-    exp = with_halo(exp, K, F.col("t"), F.col("t") + _us(look_exp), p.chunk_min).select(
+    exp = with_halo(exp, F.col("t"), F.col("t") + _us(look_exp), p.chunk_min).select(
         *K, CHUNK, "t", "amount", F.col("t").alias("exp"))
     stream = obs.unionByName(doses, True).unionByName(exp, True).repartition(*K, CHUNK)
     width = F.lit(_us(p.chunk_min))

@@ -198,6 +198,11 @@ def _side_moments(x: dict, cuts: Sequence[int], scale: np.ndarray, beta: np.ndar
     return out
 
 
+def few_tasks(df: DataFrame) -> DataFrame:
+    """Merge input splits (no shuffle) so that there are about as many partial results as cores."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def sum_arrays(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
     """Element-wise sum of equal-length arrays by key with map-side combination."""
     long = df.select(*keys, F.posexplode(col).alias("_p", "_x")).groupBy(*keys, "_p").agg(F.sum("_x").alias("_x"))
@@ -237,7 +242,7 @@ def _moments(d: Design, rule: FitRule, rnd: Randomness, ids: np.ndarray, scale:
         if acc:
             yield pd.DataFrame({"i": list(acc), "v": [a.ravel() for a in acc.values()]})
 
-    parts = d.rows.mapInPandas(task, "i int, v array<double>")
+    parts = few_tasks(d.rows).mapInPandas(task, "i int, v array<double>")
     out = np.zeros((len(ids), len(cuts), 2, 6 * q * q + 2 * q))
     for r in sum_arrays(parts, ["i"], "v").collect():
         out[r["i"]] = np.asarray(r["v"]).reshape(out.shape[1:])
@@ -472,7 +477,7 @@ def process_table(d: Design, models: Models, contrib: DataFrame, z_design: np.nd
                 live += act.sum(axis=0)[None]
         yield pd.DataFrame({"kind": [0, 1], "v": [np.concatenate([sq.ravel(), live.ravel()]), top.ravel()]})
 
-    parts = contrib.mapInPandas(task, "kind int, v array<double>").select("kind", F.posexplode("v").alias("p", "x"))
+    parts = few_tasks(contrib).mapInPandas(task, "kind int, v array<double>").select("kind", F.posexplode("v").alias("p", "x"))
     got = parts.groupBy("kind", "p").agg(F.when(F.first("kind") == 0, F.sum("x")).otherwise(F.max("x")).alias("x")).collect()
     vec = {k: np.zeros(b_count * c * (z + 1) if k == 0 else b_count * c) for k in (0, 1)}
     for r in got:

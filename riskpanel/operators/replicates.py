@@ -204,7 +204,7 @@ def shape_statistics(rows: DataFrame, x: str, keys: Sequence[str]) -> DataFrame:
     """Median, unscaled MAD, bias-corrected skewness and excess kurtosis."""
     med = exact_quantiles(rows, keys, x, {"median": 0.5})
     mean = rows.groupBy(*keys).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"))
-    j = rows.join(F.broadcast(med), list(keys)).join(F.broadcast(mean), list(keys))
+    j = rows.join(med, list(keys)).join(mean, list(keys))
     mad = exact_quantiles(j, keys, F.abs(F.col(x) - F.col("median")), {"mad": 0.5})
     e = F.col(x) - F.col("mean")
     mom = j.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(e * e).alias("m2"), F.avg(e * e * e).alias("m3"), F.avg(e * e * e * e).alias("m4"))

@@ -280,7 +280,8 @@ def structure_summary(pairs: DataFrame) -> DataFrame:
 def extreme_counts(bank: DataFrame, events: DataFrame) -> DataFrame:
     """How many coordinates are extreme in the same draw: mean, p95 and share with at least two."""
     seen = events.groupBy("bank", "threshold", "draw").agg(F.count(F.lit(1)).alias("k"))
-    grid = bank.select("bank", "draw").distinct().join(F.broadcast(events.select("threshold").distinct()))
+    levels = events.select("threshold").distinct()
+    grid = bank.select("bank", "draw").distinct().join(F.broadcast(levels))
     full = grid.join(seen, ["bank", "threshold", "draw"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
     group = ["bank", "threshold"]
     return full.groupBy(*group).agg(F.avg("k").alias("mean_extremes"), F.avg((F.col("k") >= 2).cast("double")).alias("multiple_fraction")).join(
@@ -324,7 +325,7 @@ def resampled_metric(bank: DataFrame, reference: str, comparison: str, n_coords:
     size = bank.select("bank", "draw", "cluster").distinct()
 
     def side(name: str, w: DataFrame, unit: str) -> tuple[DataFrame, DataFrame]:
-        link = F.broadcast(w.withColumnRenamed("unit", unit))
+        link = w.withColumnRenamed("unit", unit)
         e = ev.where(F.col("bank") == name).withColumn(unit, F.col(unit).cast("long")).join(link, unit)
         total = size.where(F.col("bank") == name).withColumn(unit, F.col(unit).cast("long")).join(link, unit).groupBy("rep").agg(F.sum("w").alias("draws"))
         return joint_counts(e, n_coords, ["rep"], weight="w"), total
@@ -374,8 +375,8 @@ def nested_spectrum(bank: DataFrame, n_coords: int, name: str) -> DataFrame:
     """Leading-eigenvalue shares of the within- and between-cluster covariance of one bank."""
     x = bank.where(F.col("bank") == name)
     means = x.groupBy("cluster", "coord").agg(F.avg("value").alias("m"))
-    within = x.join(F.broadcast(means), ["cluster", "coord"]).select("bank", "draw", "coord", (F.col("value") - F.col("m")).alias("value"))
-    between = x.join(F.broadcast(means), ["cluster", "coord"]).select("bank", "draw", "coord", F.col("m").alias("value"))
+    within = x.join(means, ["cluster", "coord"]).select("bank", "draw", "coord", (F.col("value") - F.col("m")).alias("value"))
+    between = x.join(means, ["cluster", "coord"]).select("bank", "draw", "coord", F.col("m").alias("value"))
     _, ct, n = covariance(x, n_coords, name)
     _, cw, _ = covariance(within, n_coords, name)
     _, cb, _ = covariance(between, n_coords, name)

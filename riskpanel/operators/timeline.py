@@ -24,13 +24,16 @@ def chunked(df: DataFrame, keys: Sequence[str], ts: str, chunk_min: float) -> Da
     return df.withColumn(CHUNK, F.floor(micros(ts) / width).cast("long")).repartition(*keys, CHUNK)
 
 
-def with_halo(df: DataFrame, keys: Sequence[str], t_us: Column, until_us: Column, chunk_min: float) -> DataFrame:
-    """Copy each row into every later chunk its influence [t, until] reaches; ``_own`` marks the original."""
+def with_halo(df: DataFrame, t_us: Column, until_us: Column, chunk_min: float) -> DataFrame:
+    """Copy each row into every later chunk its influence [t, until] reaches; ``_own`` marks the original.
+
+    The caller merges its streams and distributes them once by (keys, chunk).
+    """
     width = F.lit(int(chunk_min * MINUTE_US))
     first = F.floor(t_us / width).cast("long")
     last = F.greatest(first, F.floor(until_us / width).cast("long"))
     out = df.withColumn("_first", first).withColumn(CHUNK, F.explode(F.sequence(F.col("_first"), last)))
-    return out.withColumn("_own", F.col(CHUNK) == F.col("_first")).drop("_first").repartition(*keys, CHUNK)
+    return out.withColumn("_own", F.col(CHUNK) == F.col("_first")).drop("_first")
 
 
 _PREFIX = {"sum": F.sum, "max": F.max, "min": F.min}

@@ -211,6 +211,7 @@ def jackknife(s: SparkSession, d: str) -> DataFrame:
     """Leave-one-entity-out refits of the middle cut as pseudo-contributions and their variance."""
     p, panel = prepared(s, d), PQ.panel(s, d)
     design = Q.prepare(panel, [p.midpoint], START, END, R.STATE_DIM, "jackknife")
+    B.bounded_entities(panel)
     ids = [(r["entity_id"], r["h"]) for r in design.counts.select("entity_id", F.xxhash64("entity_id").alias("h")).orderBy("entity_id").collect()]
     rnd = Q.Randomness("weight", "leave_one_out", 0, tuple(h for _, h in ids))
     values = []
@@ -433,7 +434,7 @@ QUERIES: dict[str, Query] = {
                 "observed critical_value p_value"), "I17"),
     "m2_draws": query(m2, None, "I5 I6"),
     "m2_calibration": query(lambda s, d: refit_calibration(s, d, m2(s, d)), None, "I5 I13"),
-    "m2_projection": query(lambda s, d: B.project_on_multipliers(m2(s, d), [r[0] for r in PQ.panel(s, d).select("entity_id").distinct().orderBy("entity_id").collect()], SEED).select(
+    "m2_projection": query(lambda s, d: B.project_on_multipliers(m2(s, d), B.bounded_entities(PQ.panel(s, d)), SEED).select(
         "entity_id", "norm"), None, "I7"),
     "m3_draws": query(m3, None, "I8"),
     "m3_calibration": query(lambda s, d: refit_calibration(s, d, m3(s, d)), None, "I8 I13"),
