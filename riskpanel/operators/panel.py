@@ -116,11 +116,11 @@ def rectangular_segments(cells: DataFrame, width: int = 4096) -> DataFrame:
 def eligible_panel(segments: DataFrame, mode: str, start: int, end: int, burnin: int = 24) -> DataFrame:
     """Panel rows of one eligibility mode inside ``[start, end)``.
 
-    ``rs_reentry`` keeps the first run and later runs after ``burnin`` steps, ``strict_first_gap``
+    ``reentry`` keeps the first run and later runs after ``burnin`` steps, ``strict_first_gap``
     everything before the first miss, ``original_complete`` requires that nothing was missed.
     """
     inside = (F.col("t") >= start) & (F.col("t") < end)
-    if mode == "rs_reentry":
+    if mode == "reentry":
         keep = inside & ((F.col("segment_id") == 0) | (F.col("local_index") >= burnin))
     elif mode == "strict_first_gap":
         keep = inside & ~F.col("missed_before")

@@ -23,7 +23,7 @@ RULE = Q.FitRule(gamma=0.9, alpha=1.0)
 START, END = R.WINDOW
 MID = 15
 SEED, DRAWS = 11, 199
-REFIT_DRAWS = 40
+REFIT_DRAWS = 20
 BRIDGE_RULE = SupportRule(22, 0.0, 2, 2, 2, 0.95, 0.95)
 Z_STATES = 16
 _CACHE: dict = {}
@@ -246,7 +246,7 @@ def sweep(s: SparkSession, d: str) -> DataFrame:
     rules = {"primary": PQ.PANEL_RULE, "lenient": S.LENIENT, "none": S.NO_SUPPORT}
     scalings = ("harmonic_active", "both_sides", "harmonic_ess")
     fits = {}
-    for mode, rows, est in (("rs_reentry", panel, "balanced"), ("rs_reentry", panel, "pooled"), ("strict_first_gap", strict, "balanced")):
+    for mode, rows, est in (("reentry", panel, "balanced"), ("reentry", panel, "pooled"), ("strict_first_gap", strict, "balanced")):
         design = Q.prepare(rows, R.CUTS, START, END, R.STATE_DIM, f"sweep-{mode}-{est}")
         rule = Q.FitRule(gamma=RULE.gamma, alpha=RULE.alpha, estimator=est)
         models = Q.fit(design, rule)
@@ -254,7 +254,7 @@ def sweep(s: SparkSession, d: str) -> DataFrame:
         fits[(mode, est)] = (design, rule, models, contrib, Q.process_table(design, models, contrib, z))
     out = None
     for (mode, est), (design, rule, models, contrib, var) in fits.items():
-        view = PN.support_view(panel if mode == "rs_reentry" else strict)
+        view = PN.support_view(panel if mode == "reentry" else strict)
         for profile, srule in rules.items():
             screened = materialise(S.screen(view, R.CUTS, START, END, srule, R.STATE_DIM), "sweep-screen")
             for scaling in scalings if profile == "primary" else scalings[:1]:

@@ -63,7 +63,7 @@ def segments(s: SparkSession, d: str) -> DataFrame:
 
 
 def panel(s: SparkSession, d: str) -> DataFrame:
-    return shared_table(s, d, "daily_panel", lambda: PN.eligible_panel(segments(s, d), "rs_reentry", *R.WINDOW, burnin=2))
+    return shared_table(s, d, "daily_panel", lambda: PN.eligible_panel(segments(s, d), "reentry", *R.WINDOW, burnin=2))
 
 
 def strict_panel(s: SparkSession, d: str) -> DataFrame:

@@ -93,7 +93,7 @@ def test_reentry_and_strict_modes(spark):
     seg = PN.rectangular_segments(cells, width=4)
     def mode(m):
         return [r["elapsed_index"] for r in PN.eligible_panel(seg, m, 1, 12, burnin=2).orderBy("elapsed_index").collect()]
-    assert mode("rs_reentry") == [1, 2, 6, 10, 11]
+    assert mode("reentry") == [1, 2, 6, 10, 11]
     assert mode("strict_first_gap") == [1, 2]
     with pytest.raises(ValueError):
         mode("original_complete")
