@@ -79,7 +79,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     # distinct bigrams are at most one less than words, so a short part is settled by its length
     rows = pinned(rows.select("doc_id", "norm"), words=F.array_distinct(F.filter(words, lambda w: F.size(w) > low)))
     pairs = F.transform("words", lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))))
-    rows = pinned(rows.select("doc_id", "words"), grams=F.array_distinct(F.transform(F.filter(pairs, lambda g: F.size(g).between(low, high)), F.array_sort)))
+    rows = pinned(rows.select("doc_id", "words"), grams=F.array_distinct(F.transform(F.filter(pairs, lambda g: F.size(g).between(low, high)), lambda g: F.array_sort(g))))
 
     def best(g: Column) -> Column:
         hits = []
