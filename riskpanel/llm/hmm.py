@@ -8,8 +8,8 @@ probabilities: every task adds up expected counts over its texts, Spark adds up
 finished tables (states x classes, whatever the corpus) reach the driver. Training reads whole texts as
 sequences of at most ``PIECE`` tokens; scoring runs the scaled forward recursion over each whole text.
 
-Word counts stay a distributed table. The ``HEAD`` most frequent words, which would be hot keys, are looked up
-from a broadcast of that fixed size and all other words by a join, so every count is exact.
+Word counts stay a distributed table. Words that make up at least 1/``HEAD`` of all tokens, which would be hot keys,
+number ``HEAD`` at most; they are looked up from a broadcast and all other words by a join, so every count is exact.
 
 Nulls: a null text is empty (one token, the end); a null id is trained on. Repeated rows count as often as they
 occur and get one result row each. An empty table gives no rows.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from riskpanel.llm.text import SPACED, per_document, remainder, text_blocks, word_hashes, word_spans
 from riskpanel.session import materialise
 
-STATES, SYMBOLS, PIECE, ROUNDS, HEAD = 6, 4096, 256, 3, 50_000
+STATES, SYMBOLS, PIECE, ROUNDS, HEAD = 8, 4096, 256, 5, 200_000
 END = np.uint64(0x5EED0F7E870F7E97)  # key of the end of text
 _SLICE = 512  # classes in one block of expected counts
 
@@ -204,7 +204,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         n[r["symbol"]], v[r["symbol"]] = r["n"], r["v"]
     total, distinct = n.sum(), v.sum()
     model, _ = train(spark, symbols.where(~F.col("held_out")).select("symbols"), (n + 1) / (n + 1).sum(), states, rounds)
-    top = words.orderBy(F.col("n").desc(), "word").limit(head).select("word", "n").toPandas()  # at most ``head`` rows
+    top = words.where(F.col("n") * head >= int(total)).select("word", "n").toPandas()  # shares of 1/head: at most ``head`` rows
     known = top.sort_values("word")
     shared = spark.sparkContext.broadcast((known["word"].to_numpy(np.int64), known["n"].to_numpy(np.int64)))
 
