@@ -14,6 +14,8 @@ as they occur. An empty table gives no rows.
 
 from __future__ import annotations
 
+import os
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -27,40 +29,79 @@ from pyspark.sql import functions as F
 SIZE, END_ID, BLOCK = 2048, 1, 1 << 20
 SENTENCE_COST, WORD_COST = 6, 200  # padding tokens that a cut inside a document, or inside a sentence, is worth
 _STOPS = (b".", b"!", b"?", b'."', b'!"', b'?"', "…".encode())
-_MEMO = 400_000
+_STOP_BYTES = frozenset(b".,!?:;")
+MEMO = 1_000_000  # remembered chunks, about 200 MB at most
 
 
 class Encoder:
-    """Token ids of white-space separated chunks, remembered; the tokenizer drops white space, so chunks are independent."""
+    """Token ids of white-space separated chunks; the tokenizer drops white space, so chunks are independent.
+
+    The ids of ``MEMO`` chunks are remembered. A chunk is looked up in lower case, as the tokenizer lowers it anyway, and
+    without a stop behind a letter, since letters and stops never share a token.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
-
-    def _miss(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
-        if len(self.memo) >= _MEMO:
-            self.memo.clear()
-        out = self.memo[chunk] = np.array(ids, dtype="<u4").tobytes()
-        return out
+        self.stops: set[bytes] = set()
+
+    def _encoded(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        told = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
+        return {c: struct.pack(f"<{len(ids)}I", *ids) for c, ids in zip(chunks, (e.ids for e in told), strict=True)}
+
+    def _learned(self, missing: set[bytes]) -> dict[bytes, bytes]:
+        """The memo with the missing chunks; once it is full, a passing copy of them alone."""
+        split = {c: (c[:-1], c[-1:]) for c in missing if len(c) > 1 and c[-1] in _STOP_BYTES and 97 <= c[-2] <= 122}
+        wanted = missing.difference(split).union(*split.values()).difference(self.memo)
+        fresh = self._encoded(list(wanted))
+        memo = self.memo
+        known = {c: (fresh[a] if a in fresh else memo[a]) + (fresh[z] if z in fresh else memo[z]) for c, (a, z) in split.items()} | fresh
+        if len(self.memo) < MEMO:
+            self.memo |= known
+            self.stops.update(c for c in known if c.endswith(_STOPS))
+        return known
 
     def document(self, text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
         """Ids as bytes, and the token positions after each chunk and after each sentence."""
-        get, miss = self.memo.get, self._miss
-        chunks = text.split()
-        ids = [get(c) or miss(c) for c in chunks]
+        chunks = (text if b"<|" in text else text.lower()).split()  # special tokens keep their case
+        missing, memo, stops = set(chunks).difference(self.memo), self.memo, self.stops
+        if missing:
+            known = self._learned(missing)
+            if missing.difference(self.memo):
+                own = set(chunks)
+                memo = known | {c: self.memo[c] for c in own.difference(known)}
+                stops = {c for c in own if c.endswith(_STOPS)}
+        ids = list(map(memo.__getitem__, chunks))
         ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) >> 2
-        stops = np.fromiter((c.endswith(_STOPS) for c in chunks), bool, len(chunks))
-        return b"".join(ids), ends, ends[stops]
+        at = np.fromiter(map(stops.__contains__, chunks), bool, len(chunks))
+        return b"".join(ids), ends, ends[at]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The process's encoder of a tokenizer file, with what it remembers."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def cut(at: np.ndarray, cost: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """Least cost to each candidate cut and the cut before it. ``at`` rises from 0 in steps of at most ``size``."""
     places, costs = at.tolist(), cost.tolist()
-    where = {p: i for i, p in enumerate(places)}
-    powers = [1 << k for k in range(size.bit_length()) if 1 << k <= size]
+    ends, starts = [], []  # pairs of cuts a power of two apart
+    for w in (1 << k for k in range(size.bit_length()) if 1 << k <= size):
+        near = np.minimum(np.searchsorted(at, at - w), len(at) - 1)
+        hit = np.flatnonzero(at[near] == at - w)
+        ends.append(hit)
+        starts.append(near[hit])
+    order = np.argsort(np.concatenate(ends), kind="stable")
+    pairs = iter([*zip(np.concatenate(ends)[order].tolist(), np.concatenate(starts)[order].tolist(), strict=True), (len(places), 0)])
+    end, start = next(pairs)
     best, back = [0.0] * len(places), [0] * len(places)
     queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])
     for j in range(1, len(places)):
@@ -69,10 +110,10 @@ def cut(at: np.ndarray, cost: np.ndarray, size: int = SIZE) -> tuple[np.ndarray,
             queue.popleft()
         value, _, i = queue[0]
         value += size - p
-        for w in powers:
-            k = where.get(p - w)
-            if k is not None and best[k] < value:
-                value, i = best[k], k
+        while end == j:
+            if best[start] < value:
+                value, i = best[start], start
+            end, start = next(pairs)
         value += costs[j]
         best[j], back[j] = value, i
         key = value + p
@@ -172,7 +213,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, stream = Encoder(tokenizer), Stream(size)
+        tokens, stream = encoder(tokenizer), Stream(size)
         sequence = TaskContext.get().partitionId() << 32
 
         def rows(pieces: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
@@ -184,7 +225,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             id_type = b.column(0).type
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                stream.add(key, *encoder.document(raw))
+                stream.add(key, *tokens.document(raw))
                 if stream.length >= block:
                     pieces, sequence = stream.take(stream.windows(False), sequence)
                     if pieces:
