@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from riskpanel.llm.text import SPACED, per_document, remainder, text_blocks, word_hashes, word_spans
 from riskpanel.session import materialise
 
-STATES, SYMBOLS, PIECE, ROUNDS, HEAD = 8, 4096, 256, 5, 200_000
+STATES, SYMBOLS, PIECE, ROUNDS, HEAD = 8, 4096, 256, 5, 500_000
 END = np.uint64(0x5EED0F7E870F7E97)  # key of the end of text
 _SLICE = 512  # classes in one block of expected counts
 
@@ -136,7 +136,7 @@ def _grid(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return grid, lengths[order], order
 
 
-def _groups(rows: Iterator[np.ndarray], cells: int = 2_000_000) -> Iterator[list[np.ndarray]]:
+def _groups(rows: Iterator[np.ndarray], cells: int = 1_000_000) -> Iterator[list[np.ndarray]]:
     """Lists of sequences whose padded grid stays within ``cells``, but for a single longer one."""
     group: list[np.ndarray] = []
     longest = 0
@@ -159,7 +159,7 @@ def train(spark: SparkSession, symbols: DataFrame, share: np.ndarray, states: in
         def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m, total = shared.value, None
             pieces = (s[i : i + PIECE] for b in batches for c in b.column(0).to_pylist() for s in [np.frombuffer(c, np.uint16)] for i in range(0, len(s), PIECE))
-            for group in _groups(pieces, 600_000):
+            for group in _groups(pieces, 200_000):
                 got = m.expected(group)
                 total = got if total is None else tuple(x + y for x, y in zip(total, got, strict=True))
             if total is not None:
