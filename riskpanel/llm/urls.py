@@ -126,5 +126,5 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     held = distinct.where((F.col("fold") == 0) & F.col("side").isNotNull()).join(scores, "rest").select("side", "score")
     least = cut_off(held)
     met = rows.join(scores, "rest", "left")
-    score = F.coalesce("score", F.lit(0.0))
+    score = F.when(F.col("rest") == "", 0.0).otherwise(F.coalesce("score", F.lit(0.0)))
     return met.select("page_id", "host", "path", "rule", F.coalesce("side", F.when(score >= least, "allow").otherwise("block")).alias("verdict"), score.alias("score"))
