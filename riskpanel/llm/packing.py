@@ -30,7 +30,7 @@ SIZE, END_ID, BLOCK = 2048, 1, 1 << 20
 SENTENCE_COST, WORD_COST = 6, 200  # padding tokens that a cut inside a document, or inside a sentence, is worth
 _STOPS = (b".", b"!", b"?", b'."', b'!"', b'?"', "…".encode())
 _STOP_BYTES = frozenset(b".,!?:;")
-MEMO = 1_000_000  # remembered chunks, about 200 MB at most
+MEMO = 300_000  # remembered chunks, about 60 MB at most
 
 
 class Encoder:
