@@ -27,9 +27,11 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The reliable folder the cluster names in ``spark.checkpoint.dir``; a scratch one only where it is unset."""
+    """The reliable folder the cluster names in ``spark.checkpoint.dir``; a scratch one only in a local session without it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         named = spark.sparkContext.getCheckpointDir()
     return named
