@@ -19,65 +19,121 @@ import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIZE, END_ID, BLOCK = 2048, 1, 1 << 20
 SENTENCE_COST, WORD_COST = 6, 200  # padding tokens that a cut inside a document, or inside a sentence, is worth
-_STOPS = (b".", b"!", b"?", b'."', b'!"', b'?"', "…".encode())
-_STOP_BYTES = frozenset(b".,!?:;")
-MEMO = 300_000  # remembered chunks, about 60 MB at most
+_STOP = r"""([.!?]"?|…)$"""
+_MARKS = frozenset(".,!?:;")
+MEMO = 300_000  # remembered chunks, about 110 MB at most
+BATCH_BYTES, LINE = 1 << 21, 256  # text split at once (a longer document alone), words the tokenizer gets in one string
 
 
 class Encoder:
     """Token ids of white-space separated chunks; the tokenizer drops white space, so chunks are independent.
 
-    The ids of ``MEMO`` chunks are remembered. A chunk is looked up in lower case, as the tokenizer lowers it anyway, and
-    without a stop behind a letter, since letters and stops never share a token.
+    The chunks of a few megabytes of text are numbered, and only distinct ones are looked at; the ids of ``MEMO`` chunks are
+    remembered. A chunk counts in lower case, as the tokenizer lowers it anyway. Letters and marks never share a token, so a
+    word with a mark behind it is the word and the mark. New words go to the tokenizer many in one string: a word is one run
+    of letters, and its last token alone bears the end of a word, which tells where it stops; where the number of ends is not
+    that of the words (letters that fall apart when normalised), each goes alone. Words of a-z are
+    the same after normalising and splitting, so they go to the merges directly.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[bytes, bytes] = {}
-        self.stops: set[bytes] = set()
-
-    def _encoded(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        told = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-        return {c: struct.pack(f"<{len(ids)}I", *ids) for c, ids in zip(chunks, (e.ids for e in told), strict=True)}
-
-    def _learned(self, missing: set[bytes]) -> dict[bytes, bytes]:
-        """The memo with the missing chunks; once it is full, a passing copy of them alone."""
-        split = {c: (c[:-1], c[-1:]) for c in missing if len(c) > 1 and c[-1] in _STOP_BYTES and 97 <= c[-2] <= 122}
-        wanted = missing.difference(split).union(*split.values()).difference(self.memo)
-        fresh = self._encoded(list(wanted))
-        memo = self.memo
-        known = {c: (fresh[a] if a in fresh else memo[a]) + (fresh[z] if z in fresh else memo[z]) for c, (a, z) in split.items()} | fresh
-        if len(self.memo) < MEMO:
-            self.memo |= known
-            self.stops.update(c for c in known if c.endswith(_STOPS))
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.memo: dict[bytes, bytes] = {b"": b""}
+
+    def _alone(self, chunks: list[str]) -> list[bytes]:
+        told = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in told]
+
+    def _words(self, words: list[str], by) -> dict[bytes, bytes]:
+        """Ids of words of letters, many of them in one string."""
+        out: dict[bytes, bytes] = {}
+        lines = [words[i : i + LINE] for i in range(0, len(words), LINE)]
+        for line, told in zip(lines, by.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(told.ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(line):
+                raw, borders = ids.tobytes(), [0, *(4 * ends).tolist()]
+                parts = [raw[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)]
+            else:
+                parts = self._alone(line)
+            out.update(zip((w.encode() for w in line), parts, strict=True))
+        return out
+
+    def _learned(self, missing: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that are not remembered; remembers them while there is room."""
+        memo, plain, words, odd, marked = self.memo, set(), set(), [], []
+        for c in missing:
+            chunk = c.decode("utf-8", "replace")
+            split = chunk[-1] in _MARKS and len(chunk) > 1 and chunk[-2] < "\u0500" and chunk[-2].lower()[-1].isalpha()
+            word = chunk[:-1] if split else chunk
+            if not word.isalpha():
+                odd.append((c, chunk))
+                continue
+            raw = c
+            if split:
+                raw = c[:-1]
+                marked.append((c, raw, c[-1:]))
+            if raw not in memo:
+                (plain if raw.isascii() and raw.islower() else words).add(word)
+        known = self._words(list(plain), self.merges) | self._words(list(words), self.tokenizer)
+        odd += [(m.encode(), m) for m in _MARKS if m.encode() not in memo]
+        known.update(zip((c for c, _ in odd), self._alone([x for _, x in odd]), strict=True))
+        for c, raw, mark in marked:
+            known[c] = (known[raw] if raw in known else memo[raw]) + (known[mark] if mark in known else memo[mark])
+        if len(memo) < MEMO:
+            memo.update(islice(known.items(), MEMO - len(memo)))
         return known
 
-    def document(self, text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
-        """Ids as bytes, and the token positions after each chunk and after each sentence."""
-        chunks = (text if b"<|" in text else text.lower()).split()  # special tokens keep their case
-        missing, memo, stops = set(chunks).difference(self.memo), self.memo, self.stops
+    def documents(self, texts: pa.Array) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+        """Of each text: ids as bytes, and the token positions after each chunk and after each sentence."""
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + BATCH_BYTES, side="right")))
+            yield from self._block(pc.fill_null(texts.slice(lo, hi - lo), ""))
+            lo = hi
+
+    def _block(self, texts: pa.Array) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+        lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))  # special tokens keep their case
+        lists = pc.ascii_split_whitespace(lowered)
+        coded = lists.flatten().dictionary_encode()
+        code = coded.indices.to_numpy()
+        chunks = coded.dictionary.cast(pa.binary()).to_pylist()
+        memo = self.memo
+        ids = list(map(memo.get, chunks))
+        missing = [c for c, x in zip(chunks, ids, strict=True) if x is None]
         if missing:
             known = self._learned(missing)
-            if missing.difference(self.memo):
-                own = set(chunks)
-                memo = known | {c: self.memo[c] for c in own.difference(known)}
-                stops = {c for c in own if c.endswith(_STOPS)}
-        ids = list(map(memo.__getitem__, chunks))
-        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) >> 2
-        at = np.fromiter(map(stops.__contains__, chunks), bool, len(chunks))
-        return b"".join(ids), ends, ends[at]
+            ids = [known[c] if x is None else x for c, x in zip(chunks, ids, strict=True)]
+        stop = pc.match_substring_regex(coded.dictionary, _STOP).to_numpy(zero_copy_only=False).astype(bool)[code]
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        first, counts = (np.cumsum(n) - n)[code], n[code]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        flat = pool[np.repeat(first - ends[:-1], counts) + np.arange(ends[-1])]
+        borders = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+            after = ends[a + 1 : b + 1] - ends[a]
+            yield flat[ends[a] : ends[b]].tobytes(), after, after[stop[a:b]]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -223,9 +279,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         id_type = pa.int64()
         for b in batches:
             id_type = b.column(0).type
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                stream.add(key, *tokens.document(raw))
+            for key, told in zip(b.column(0).to_pylist(), tokens.documents(b.column(1)), strict=True):
+                stream.add(key, *told)
                 if stream.length >= block:
                     pieces, sequence = stream.take(stream.windows(False), sequence)
                     if pieces:

@@ -1,6 +1,8 @@
 """Every operator and stage on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from riskpanel.llm import decontaminate, hmm, language, licenses, line_dedup, packing, quality, secrets, simhash, urls
@@ -84,3 +86,19 @@ def test_urls(spark):
         ("", "", None), ("", "", None), ("net", "", None), ("q.org", "/fr/", "org/fr/")]
     assert [r[4] for r in got if r[3]] == ["allow", "allow", "block", "allow"] and {r[5] for r in got if not r[2]} >= {0.0}
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_encoder_splits_no_word_wrongly():
+    """Chunks that fall apart when normalised, marks behind them, special tokens, and a memo that is full."""
+    texts = ["İstanbul. ÀÉ́x, don't we'll stop. …\" <|endoftext|> ABC <|x", "क़a b. c, नमस्ते. 中文。ab.c x́.  a b é. Éa!", "", " \t\n",
+             "a\x1cb c\x85d", "x" * 5000 + " y", "ﬁ. ǅ. ª. ŉ. İ, ΰ: Σ. ΑΣ ΑΣ. ß. ͅa.", LONG]
+    for room in (packing.MEMO, 3):
+        packing.MEMO, kept = room, packing.MEMO
+        try:
+            own = packing.Encoder(tokenizer_path())
+            for _ in range(2):
+                for text, (ids, chunks, stops) in zip(texts, own.documents(pa.array([*texts, None])), strict=False):
+                    assert np.frombuffer(ids, "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+                    assert set(stops.tolist()) <= set(chunks.tolist()) and (not len(chunks) or chunks[-1] == len(ids) // 4)
+        finally:
+            packing.MEMO = kept
