@@ -183,10 +183,12 @@ def ratio_bootstrap(rows: DataFrame, d: str, v: str, unit: str, reps: int, seed:
             if len(pdf):
                 u = keyed_uniform(seed, np.arange(reps), pdf["k"].to_numpy(np.int64))
                 w, p, cdf = np.zeros_like(u), np.exp(-1.0), np.zeros_like(u) + np.exp(-1.0)
-                for k in range(1, 12):
-                    w += u > cdf
+                k = 1
+                while p > 0 and (more := u > cdf).any():  # past the float's resolution p runs out
+                    w += more
                     p /= k
                     cdf = cdf + p
+                    k += 1
                 x = pdf["d"].to_numpy(float)
                 acc += w @ np.column_stack([np.ones(len(x)), x, x * x, pdf["v"].to_numpy(float)])
         yield pd.DataFrame({"rep": np.arange(reps), "w": acc[:, 0], "s": acc[:, 1], "ss": acc[:, 2], "sv": acc[:, 3]})
@@ -329,13 +331,14 @@ def pick_arm(comparison: DataFrame, order: Sequence[str], minimum_closer: int, m
 
 
 def fingerprint(draws: DataFrame, keys: Sequence[str], order: str, value: str, digits: int = 6) -> DataFrame:
-    """Order-independent digest of a draw set: per-draw digests folded by exclusive-or, and the count.
+    """Order-independent digest of a draw set: two sums of independent 60-bit hashes of the draws, and the count.
 
-    Equal multisets of (draw, value) give equal fingerprints; nothing is collected into one list.
+    Equal multisets of (draw, value) give equal fingerprints, and repeated draws do not cancel out; nothing is
+    collected into one list.
     """
     text = F.concat_ws(":", F.col(order).cast("string"), F.format_string(f"%.{digits}f", F.col(value)))
-    h = F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("long")
-    return draws.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("digest"))
+    sums = [F.sum(F.conv(F.substring(F.sha2(text, 256), at, 15), 16, 10).cast("decimal(20,0)")).cast("string") for at in (1, 16)]
+    return draws.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.concat_ws(":", *sums).alias("digest"))
 
 
 def same_fingerprint(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -48,10 +48,16 @@ def stored_transitions(s: SparkSession, d: str) -> DataFrame:
 
 
 def manifest_status(s: SparkSession, d: str) -> DataFrame:
-    path = _folder(s, "manifest")
-    TB.write_table(RQ.replicates(s, d).select("key", "status"), path, "csv")
-    now = A.file_manifest(s, path, "*.csv")
-    return A.manifest_drift(now, now).groupBy("status").agg((F.count(F.lit(1)) > 0).alias("present"))
+    """Drift between two states of a folder with a file a line number: 3 changed, 4 gone, 5 new."""
+    lines = R.table(s, d, "lineitem").select("l_linenumber", "l_quantity")
+    more = F.when(F.col("l_linenumber") == 3, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
+    found = []
+    for state in (lines.where("l_linenumber <> 5"), lines.where("l_linenumber <> 4").withColumn("l_quantity", more)):
+        path = _folder(s, "manifest")
+        total = state.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("decimal(12,2)")).alias("quantity"))
+        total.repartition("l_linenumber").write.partitionBy("l_linenumber").csv(path)
+        found.append(A.file_manifest(s, path, "*.csv").select(F.regexp_extract("path", "l_linenumber=([0-9]+)", 1).alias("path"), "sha256"))
+    return A.manifest_drift(*found).select(F.col("path").cast("long").alias("line_number"), "status")
 
 
 def check_rows(s: SparkSession, d: str) -> DataFrame:
@@ -98,16 +104,19 @@ QUERIES: dict[str, Query] = {
     "stored_transitions": query(
         lambda s, d: stored_transitions(s, d).groupBy("split", "interval_min").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_min").alias("minutes")),
         rounded(with_(TQ._STACK, "SELECT split, interval_min, count(*) AS n, sum(duration_min) AS minutes FROM stacked GROUP BY 1, 2"), "minutes interval_min", digits=3), "A6", digits=3),
-    "manifest_audit": query(manifest_status, "SELECT 'match' AS status, true AS present", "A9"),
+    "manifest_audit": query(
+        manifest_status,
+        """SELECT l_linenumber::BIGINT AS line_number, CASE l_linenumber WHEN 3 THEN 'changed' WHEN 4 THEN 'missing' WHEN 5 THEN 'unrecorded' ELSE 'match' END AS status
+        FROM lineitem GROUP BY l_linenumber""", "A9"),
     "registry_duplicates": query(
         lambda s, d: A.registry_duplicates(R.table(s, d, "lineitem"), "l_partkey"),
         "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1", "A10"),
     "registry_overlap": query(
-        lambda s, d: A.registry_overlap(R.table(s, d, "customer").select(F.col("c_custkey").alias("key")), R.table(s, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("key")), "key"),
-        "SELECT c_custkey AS key FROM customer INTERSECT SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0", "A10"),
+        lambda s, d: A.registry_overlap(R.table(s, d, "customer").select(F.col("c_custkey").alias("key")), R.table(s, d, "orders").select(F.col("o_custkey").alias("key")), "key"),
+        "SELECT c_custkey AS key FROM customer INTERSECT SELECT o_custkey FROM orders", "A10"),
     "registry_fresh": query(
-        lambda s, d: A.fresh_keys(R.table(s, d, "customer").select(F.col("c_custkey").alias("key")), R.table(s, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("key")), "key"),
-        "SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0", "A10"),
+        lambda s, d: A.fresh_keys(R.table(s, d, "customer").select(F.col("c_custkey").alias("key")), R.table(s, d, "orders").select(F.col("o_custkey").alias("key")), "key"),
+        "SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders", "A10"),
     "registry_sources": query(
         lambda s, d: A.registry_sources(R.table(s, d, "orders"), "o_orderstatus", "o_custkey"),
         "SELECT o_orderstatus, count(DISTINCT o_custkey) AS keys FROM orders GROUP BY 1", "A10"),
