@@ -73,8 +73,15 @@ def panel_violations(panel: DataFrame, residual_limit: float, edge_gap_min: tupl
 
 
 def rectangular_violations(cells: DataFrame, start: int, end: int, is_null: bool, true_cut: int | None) -> DataFrame:
-    """Structural checks of a rectangular table: index range, analysis window, change-point consistency."""
-    bad = cells.where((F.col("t") < 0) | F.col("observed").isNull()).select("entity_id", F.lit("cell_range").alias("rule"))
+    """Structural checks of a rectangular table: index range, analysis window, change-point consistency.
+
+    A cell outside the window gives a row, and so does an entity that has no observed cell in it.
+    """
+    inside = (F.col("t") >= start) & (F.col("t") < end)
+    rule = F.when((F.col("t") < 0) | F.col("observed").isNull(), F.lit("cell_range")).when(~inside, F.lit("outside_window"))
+    bad = cells.select("entity_id", rule.alias("rule")).where(F.col("rule").isNotNull())
+    unseen = cells.groupBy("entity_id").agg(F.max(F.coalesce(inside & F.col("observed"), F.lit(False))).alias("seen")).where("NOT seen")
+    bad = bad.unionByName(unseen.select("entity_id", F.lit("never_observed").alias("rule")))
     static = []
     if not 0 <= start < end:
         static.append("analysis_window")

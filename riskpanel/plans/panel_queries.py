@@ -280,8 +280,9 @@ QUERIES: dict[str, Query] = {
         lambda s, d: _wide(segments(s, d)).select(*[c.strip() for c in _SEG_COLS.split(",")]),
         rounded(with_(DAILY, f"SELECT {_SEG_COLS} FROM seg"), "s0 s1 s2 n0 n1 n2 reward", "t action segment_id local_index"), "G3"),
     "rectangular_violations": query(
-        lambda s, d: PN.rectangular_violations(R.daily_cells(s, d), 0, 29, True, 12).groupBy("rule").agg(F.count(F.lit(1)).alias("n")),
-        "SELECT 'null_without_change_point' AS rule, 1::BIGINT AS n", "G13"),
+        lambda s, d: PN.rectangular_violations(R.daily_cells(s, d), 2, 9, False, 6).groupBy("rule").agg(F.count(F.lit(1)).alias("n")),
+        with_(DAILY, """SELECT 'outside_window' AS rule, count(*) AS n FROM rect WHERE t NOT BETWEEN 2 AND 8 HAVING count(*) > 0
+        UNION ALL SELECT 'never_observed', count(*) FROM (SELECT entity_id FROM rect GROUP BY 1 HAVING NOT bool_or(observed AND t BETWEEN 2 AND 8)) HAVING count(*) > 0"""), "G13"),
     "reentry_panel": query(
         lambda s, d: _wide(panel(s, d)).select("entity_id", "elapsed_index", "segment_id", "local_index", "action", "reward", "s0", "n0"),
         rounded(with_(DAILY, "SELECT entity_id, elapsed_index, segment_id, local_index, action, reward, s0, n0 FROM panel"),

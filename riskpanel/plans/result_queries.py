@@ -415,8 +415,8 @@ QUERIES: dict[str, Query] = {
         lambda s, d: J.relative_to_baseline(arm_table(s, d), "M0", _ARM_METRICS),
         rounded(with_(REP, f", {_REL} SELECT * FROM rel"), "maximum_degradation", "metrics_closer", digits=4), "J23", digits=4),
     "arm_selection": query(
-        lambda s, d: J.pick_arm(J.relative_to_baseline(arm_table(s, d), "M0", _ARM_METRICS), ["M0", "M1", "M3"], 4, 1e9),
-        with_(REP, f", {_REL} SELECT coalesce((SELECT arm FROM rel WHERE metrics_closer >= 4 AND maximum_degradation <= 1e9 ORDER BY arm LIMIT 1), 'NONE') AS selected"), "J23"),
+        lambda s, d: J.pick_arm(J.relative_to_baseline(arm_table(s, d), "M0", _ARM_METRICS), ["M0", "M1", "M3"], 4, 0.1),
+        with_(REP, f", {_REL} SELECT coalesce((SELECT arm FROM rel WHERE metrics_closer >= 4 AND maximum_degradation <= 0.1 ORDER BY arm LIMIT 1), 'NONE') AS selected"), "J23"),
     "fingerprints": query(
         lambda s, d: J.fingerprint(replicates(s, d), ["scenario"], "key", "observed"),
         with_(REP, " SELECT scenario, count(*) AS n, sum(('0x' || substr(sha256(key || ':' || printf('%.6f', observed)), 1, 15))::BIGINT)::VARCHAR || ':' || sum(('0x' || substr(sha256(key || ':' || printf('%.6f', observed)), 16, 15))::BIGINT)::VARCHAR AS digest FROM rp GROUP BY 1"), "J24"),

@@ -115,8 +115,8 @@ QUERIES: dict[str, Query] = {
         lambda s, d: A.registry_overlap(R.table(s, d, "customer").select(F.col("c_custkey").alias("key")), R.table(s, d, "orders").select(F.col("o_custkey").alias("key")), "key"),
         "SELECT c_custkey AS key FROM customer INTERSECT SELECT o_custkey FROM orders", "A10"),
     "registry_fresh": query(
-        lambda s, d: A.fresh_keys(R.table(s, d, "customer").select(F.col("c_custkey").alias("key")), R.table(s, d, "orders").select(F.col("o_custkey").alias("key")), "key"),
-        "SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders", "A10"),
+        lambda s, d: A.fresh_keys(R.table(s, d, "orders").select(F.col("o_orderkey").alias("key")), R.table(s, d, "lineitem").select(F.col("l_orderkey").alias("key")), "key"),
+        "SELECT o_orderkey AS key FROM orders EXCEPT SELECT l_orderkey FROM lineitem", "A10"),
     "registry_sources": query(
         lambda s, d: A.registry_sources(R.table(s, d, "orders"), "o_orderstatus", "o_custkey"),
         "SELECT o_orderstatus, count(DISTINCT o_custkey) AS keys FROM orders GROUP BY 1", "A10"),
