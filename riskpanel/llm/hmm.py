@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ from riskpanel.session import materialise
 STATES, SYMBOLS, PIECE, ROUNDS, HEAD = 8, 4096, 256, 5, 500_000
 END = np.uint64(0x5EED0F7E870F7E97)  # key of the end of text
 _SLICE = 512  # classes in one block of expected counts
+FAN = 1024  # tasks whose blocks are added up together, before the sums are
 
 
 def tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -165,9 +167,12 @@ def train(spark: SparkSession, symbols: DataFrame, share: np.ndarray, states: in
             if total is not None:
                 start, moves, counts, fit = total
                 cells = [counts[i : i + _SLICE].ravel() for i in range(0, len(counts), _SLICE)] + [np.concatenate([start, moves.ravel(), [fit]])]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(cells)), pa.int32()), pa.array(cells, pa.list_(pa.float64()))], names=["block", "cells"])
+                lane = pa.array([TaskContext.get().partitionId() // FAN] * len(cells), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(cells)), pa.int32()), lane, pa.array(cells, pa.list_(pa.float64()))], names=["block", "lane", "cells"])
 
-        parts = symbols.mapInArrow(step, "block int, cells array<double>").groupBy("block").applyInArrow(_summed, "block int, cells array<double>")
+        kind = "block int, lane int, cells array<double>"
+        parts = symbols.mapInArrow(step, kind).groupBy("block", "lane").applyInArrow(_summed, kind)  # blocks of FAN tasks first
+        parts = parts.groupBy("block").applyInArrow(_summed, kind).select("block", "cells")
         blocks = [np.array(r["cells"]) for r in sorted(parts.collect())]  # states x classes numbers, whatever the corpus
         shared.unpersist()
         if not blocks:
@@ -184,7 +189,7 @@ def train(spark: SparkSession, symbols: DataFrame, share: np.ndarray, states: in
 def _summed(table: pa.Table) -> pa.Table:
     cells = table.column("cells").combine_chunks()
     total = np.asarray(cells.flatten()).reshape(table.num_rows, -1).sum(0)
-    return pa.table({"block": table.column("block")[:1], "cells": pa.array([total], pa.list_(pa.float64()))})
+    return pa.table({"block": table.column("block")[:1], "lane": table.column("lane")[:1], "cells": pa.array([total], pa.list_(pa.float64()))})
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_of: int = 7, held_out: int = 2,

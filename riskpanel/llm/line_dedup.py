@@ -93,7 +93,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     met = pinned(met, **{lines: F.split(text, "\n"), numbers: F.coalesce(with_words, F.array().cast("array<int>"))})
     drop = free_name(met, "dedup_drop")
     met = pinned(met, **{drop: F.array_distinct(F.flatten(F.transform(F.col(gone), lambda s: F.slice(F.col(numbers), s["first"], s["size"]))))})
-    kept = F.filter(F.col(lines), lambda x, i: ~F.array_contains(F.col(drop), i))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))  # by a hash set: long texts have many lines on both sides
+    kept = F.transform(left, lambda i: F.get(F.col(lines), i))
     some = F.col(gone).isNotNull()
     told = F.struct(F.when(some, F.array_join(kept, "\n")).otherwise(text).alias("text"), F.size(numbers).alias("n_lines"),
                     F.when(some, F.size(drop)).otherwise(0).alias("n_removed"))
