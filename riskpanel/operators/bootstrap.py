@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import MULTIPLIERS, finite_p
-from .fqi import Design, FitRule, Models, Randomness, _matrix, contributions, few_tasks, fit, process_table, sum_arrays
+from .fqi import Design, FitRule, Models, Randomness, _matrix, contributions, fit, process_table, sum_arrays
 from .process import LAYERS, Prepared, layer_columns, unpivot_layers
 from .quantiles import exact_quantiles
 
@@ -54,7 +54,7 @@ def multiplier_sums(contrib: DataFrame, draws: int, seed: int, law: str = "gauss
         if first is not None:
             yield pd.DataFrame({"draw": np.arange(draws), "v": list(np.hstack([first, second]))})
 
-    return sum_arrays(few_tasks(rows).mapInPandas(task, "draw long, v array<double>"), ["draw"], "v")
+    return sum_arrays(rows.mapInPandas(task, "draw long, v array<double>"), ["draw"], "v")
 
 
 def multiplier_process(contrib: DataFrame, proc: DataFrame, cuts: Sequence[int], n_z: int, draws: int, seed: int,
@@ -69,7 +69,7 @@ def multiplier_process(contrib: DataFrame, proc: DataFrame, cuts: Sequence[int],
     cut = F.element_at(F.array(*[F.lit(int(c)) for c in cuts]), (F.floor(F.col("p") / n_z) + 1).cast("int"))
     long = sums.select("draw", pairs).select("draw", cut.cast("long").alias("candidate"), F.pmod("p", F.lit(n_z)).cast("long").alias("z"),
                                              F.col("s.s1").alias("s1"), F.col("s.s2").alias("s2"))
-    x = long.join(F.broadcast(proc.select("candidate", "z", "clusters", "variance", "boundary")), ["candidate", "z"])
+    x = long.join(proc.select("candidate", "z", "clusters", "variance", "boundary"), ["candidate", "z"])
     g = F.col("clusters").cast("double")
     if arm == "M1":
         star = g / (g - 1.0) * (F.col("s2") - F.col("s1") * F.col("s1") / g)
@@ -104,7 +104,7 @@ def centred_draws(draws: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Subtract the draw mean of every (candidate, z)."""
     point = [*keys, "candidate", "z"]
     means = draws.groupBy(*point).agg(*[F.avg(c).alias(f"_{c}") for c in ("raw", "normalized", "joint")])
-    return draws.join(F.broadcast(means), point).select(*keys, "draw", "candidate", "z", *[
+    return draws.join(means, point).select(*keys, "draw", "candidate", "z", *[
         (F.col(c) - F.col(f"_{c}")).alias(c) for c in ("raw", "normalized", "joint")])
 
 

@@ -198,15 +198,46 @@ def _side_moments(x: dict, cuts: Sequence[int], scale: np.ndarray, beta: np.ndar
     return out
 
 
-def few_tasks(df: DataFrame) -> DataFrame:
-    """Merge input splits (no shuffle) so that there are about as many partial results as cores."""
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+def sum_arrays(df: DataFrame, keys: Sequence[str], col: str, lanes: int = 64) -> DataFrame:
+    """Element-wise sum of equal-length arrays by key, without a row for every cell.
 
+    Partial results are first added up by (key, lane of the input split), then by key; rows of a key arrive
+    next to each other, so a task holds one sum at a time. ``lanes=0`` leaves the first step out, for keys with few rows.
+    """
+    keep = list(keys)
+    if lanes:
+        laned = df.select(*keep, F.pmod(F.spark_partition_id(), F.lit(lanes)).alias("_lane"), col)
+        df = _summed(laned, [*keep, "_lane"], col).drop("_lane")
+    return _summed(df.select(*keep, col), keep, col)
+
+
+def _summed(df: DataFrame, keys: list[str], col: str) -> DataFrame:
+    kind = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + f", {col} array<double>"
 
-def sum_arrays(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
-    """Element-wise sum of equal-length arrays by key with map-side combination."""
-    long = df.select(*keys, F.posexplode(col).alias("_p", "_x")).groupBy(*keys, "_p").agg(F.sum("_x").alias("_x"))
-    return long.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_x"))), lambda e: e["_x"]).alias(col))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, total = None, None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            new = np.zeros(len(pdf), bool)
+            for k in keys:
+                v = pdf[k].to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            new[0] = True
+            at = np.flatnonzero(new)
+            sums = np.add.reduceat(_matrix(pdf[col]), at, axis=0)
+            heads = [tuple(pdf[k].iloc[i] for k in keys) for i in at]
+            if last is not None and heads[0] == last:
+                sums[0] += total
+            elif last is not None:
+                heads, sums = [last, *heads], np.vstack([total[None], sums])
+            last, total = heads[-1], sums[-1].copy()
+            if len(heads) > 1:
+                yield pd.DataFrame({**dict(zip(keys, zip(*heads[:-1]))), col: list(sums[:-1])})
+        if last is not None:
+            yield pd.DataFrame({**{k: [v] for k, v in zip(keys, last)}, col: [total]})
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, kind)
 
 
 def _scale(d: Design, rule: FitRule, totals: np.ndarray | None, draws: int) -> np.ndarray:
@@ -242,7 +273,7 @@ def _moments(d: Design, rule: FitRule, rnd: Randomness, ids: np.ndarray, scale:
         if acc:
             yield pd.DataFrame({"i": list(acc), "v": [a.ravel() for a in acc.values()]})
 
-    parts = few_tasks(d.rows).mapInPandas(task, "i int, v array<double>")
+    parts = d.rows.mapInPandas(task, "i int, v array<double>")
     out = np.zeros((len(ids), len(cuts), 2, 6 * q * q + 2 * q))
     for r in sum_arrays(parts, ["i"], "v").collect():
         out[r["i"]] = np.asarray(r["v"]).reshape(out.shape[1:])
@@ -374,7 +405,7 @@ def entity_scores(d: Design, rule: FitRule, models: Models, rnd: Randomness = Ra
 
     kind = d.rows.schema["entity_id"].dataType.simpleString()
     schema = ("draw long, " if own else "") + f"entity_id {kind}, v array<double>"
-    return sum_arrays(d.rows.mapInPandas(task, schema), [*by, "entity_id"], "v")
+    return sum_arrays(d.rows.mapInPandas(task, schema), [*by, "entity_id"], "v", lanes=0)
 
 
 def contribution_maps(d: Design, models: Models, z_design: np.ndarray, weighted: bool) -> np.ndarray:
@@ -477,7 +508,7 @@ def process_table(d: Design, models: Models, contrib: DataFrame, z_design: np.nd
                 live += act.sum(axis=0)[None]
         yield pd.DataFrame({"kind": [0, 1], "v": [np.concatenate([sq.ravel(), live.ravel()]), top.ravel()]})
 
-    parts = few_tasks(contrib).mapInPandas(task, "kind int, v array<double>").select("kind", F.posexplode("v").alias("p", "x"))
+    parts = contrib.mapInPandas(task, "kind int, v array<double>").select("kind", F.posexplode("v").alias("p", "x"))
     got = parts.groupBy("kind", "p").agg(F.when(F.first("kind") == 0, F.sum("x")).otherwise(F.max("x")).alias("x")).collect()
     vec = {k: np.zeros(b_count * c * (z + 1) if k == 0 else b_count * c) for k in (0, 1)}
     for r in got:

@@ -1,22 +1,17 @@
-"""Generative null models and draw-parallel parametric bootstrap trajectories."""
+"""Generative null models, fitted to the panel."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, fields
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .fqi import FitRule, _matrix, _mix, contributions, fit, prepare, process_table, sum_arrays
-from .process import harmonic
-from .support import entity_sides, screen_sides
 
 MINIMUM_SD = 1e-6
-ROWS_PER_BLOCK = 200_000
 
 
 def least_squares(rows: DataFrame, x: Sequence[str], y: Sequence[str], ridge: float = 0.0, minimum: float = MINIMUM_SD,
@@ -100,7 +95,7 @@ def penalised_logistic(rows: DataFrame, x: Sequence[str], y: str, penalty: float
 
 @dataclass(frozen=True)
 class Stationary:
-    """Fitted stationary law of the trajectories (everything a simulation task needs)."""
+    """Fitted stationary law of the trajectories."""
 
     initial_mean: np.ndarray
     initial_sd: np.ndarray
@@ -197,122 +192,11 @@ def fit_bridge_null(panel: DataFrame, dim: int, ridge: float = 1.0, c: float = 1
                       np.concatenate([[reward.intercept], reward.coefficients.toArray()]), None), {"effect_sd": effect}
 
 
-def entity_horizons(panel: DataFrame, window: tuple[int, int] | None = None) -> DataFrame:
-    """Follow-up length, first index and trait of each entity: what a simulated draw keeps fixed.
-
-    The length is the entity's own span, or the whole ``window`` for the complete-design arm.
-    """
-    span = (F.max("elapsed_index") - F.min("elapsed_index") + 1) if window is None else F.lit(window[1] - window[0])
-    first = F.min("elapsed_index") if window is None else F.lit(window[0])
-    return panel.groupBy("entity_id").agg(
-        span.cast("int").alias("length"), first.cast("int").alias("first_index"), F.min_by("state", "elapsed_index").alias("state0"))
-
-
-def simulate(model: Stationary, horizons: DataFrame, draws: Sequence[int], seed: int) -> DataFrame:
-    """Simulated panel rows of every (draw, entity): a pure function of (seed, draw, entity, step).
-
-    Tasks receive (draw, entity) pairs and emit their steps in bounded blocks; nothing is gathered.
-    """
-    dim = len(model.initial_mean)
-    kind = horizons.schema["entity_id"].dataType.simpleString()
-    schema = f"draw long, entity_id {kind}, elapsed_index long, action int, reward double, state array<double>, next_state array<double>"
-    pairs = horizons.select("*", F.xxhash64("entity_id").alias("eh"), F.explode(F.array(*[F.lit(int(d)) for d in draws])).alias("draw"))
-    pairs = pairs.repartition("draw", "entity_id")
-
-    def uniform(base: np.ndarray, stream: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            z = _mix(base + np.uint64(stream) * np.uint64(0x9E3779B97F4A7C15))
-        return ((z >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
-
-    def normal(base: np.ndarray, stream: int) -> np.ndarray:
-        return np.sqrt(-2.0 * np.log(uniform(base, 2 * stream))) * np.cos(2.0 * np.pi * uniform(base, 2 * stream + 1))
-
-    def sigmoid(x: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
-
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            with np.errstate(over="ignore"):
-                key = _mix(_mix(pdf["eh"].to_numpy(np.int64).view(np.uint64)) ^ _mix(
-                    pdf["draw"].to_numpy(np.int64).astype(np.uint64) * np.uint64(2654435761) + np.uint64(seed)))
-            state0 = _matrix(pdf["state0"])
-            x = model.initial_mean + model.initial_sd * np.column_stack([normal(key, 10 + i) for i in range(dim)])
-            for i in model.fixed:
-                x[:, i] = state0[:, i]
-                x[:, 0] += model.initial_fixed_slope * state0[:, i]
-            effect = model.effect_sd * normal(key, 3)
-            length, first = pdf["length"].to_numpy(), pdf["first_index"].to_numpy()
-            out, held = [], 0
-            for t in range(int(length.max())):
-                with np.errstate(over="ignore"):
-                    step = _mix(key ^ _mix(np.full(len(key), t + 1, dtype=np.uint64)))
-                p = np.clip(sigmoid(model.action[0] + x @ model.action[1:] + effect), *model.clip)
-                a = (uniform(step, 1) < p).astype(int)
-                full = np.column_stack([np.ones(len(x)), x, a])
-                noise = np.column_stack([normal(step, 20 + i) for i in range(dim)])
-                nxt = full @ model.transition.T + noise * model.transition_sd
-                for i in model.fixed:
-                    nxt[:, i] = x[:, i]
-                mu = full @ model.reward
-                r = (uniform(step, 5) < sigmoid(mu)).astype(float) if model.reward_sd is None else mu + model.reward_sd * normal(step, 6)
-                live = np.flatnonzero(t < length)
-                out.append(pd.DataFrame({
-                    "draw": pdf["draw"].to_numpy()[live], "entity_id": pdf["entity_id"].to_numpy()[live], "elapsed_index": first[live] + t,
-                    "action": a[live], "reward": r[live], "state": list(x[live]), "next_state": list(nxt[live])}))
-                held += len(live)
-                if held >= ROWS_PER_BLOCK:
-                    yield pd.concat(out)
-                    out, held = [], 0
-                x = nxt
-            if out:
-                yield pd.concat(out)
-
-    return pairs.mapInPandas(task, schema)
-
-
-def screened_draws(boot: DataFrame, cuts: Sequence[int], start: int, end: int, rule, dim: int) -> DataFrame:
-    """Support screen of every draw; a draw that loses a required cut is recorded, not replaced."""
-    view = boot.select("draw", "entity_id", "elapsed_index", "action")
-    return screen_sides(entity_sides(view, cuts, start, end, by=["draw"]), rule, dim, ["draw", "candidate"])
-
-
-def parametric_draws(model: Stationary, horizons: DataFrame, cuts: Sequence[int], start: int, end: int, support_rule, fit_rule: FitRule,
-                     z_design: np.ndarray, total_entities: int, draws: int, seed: int, block: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Draw tables of the parametric arm: simulate, re-screen, refit all cuts, studentise.
-
-    Returns the draw cube and one accounting row per draw (``message`` is NULL when the draw is valid).
-    """
-    from .bootstrap import draw_frame
-
-    spark, dim, cube, log = horizons.sparkSession, len(model.initial_mean), None, []
-    for at in range(0, draws, block):
-        ids = list(range(at, min(draws, at + block)))
-        boot = materialise(simulate(model, horizons, ids, seed), "draws")
-        screened = screened_draws(boot, cuts, start, end, support_rule, dim)
-        nominal = F.sqrt((F.col("candidate") - start) * (end - F.col("candidate")) / F.lit(float(end - start)))
-        bound = nominal * F.sqrt(harmonic(F.col("left_transitions_entities"), F.col("right_transitions_entities")) / float(total_entities))
-        rows = screened.select("draw", "candidate", "admissible", bound.alias("b")).collect()
-        lost, bounds = {}, {}
-        for r in rows:
-            bounds[(r["draw"], r["candidate"])] = r["b"]
-            if not r["admissible"]:
-                lost.setdefault(r["draw"], []).append(r["candidate"])
-        live = [d for d in ids if d not in lost and any((d, c) in bounds for c in cuts)]
-        log += [(d, "invalid_support_draw:" + ",".join(map(str, sorted(lost.get(d, []))))) for d in ids if d not in live]
-        if not live:
-            continue
-        design = prepare(boot.where(F.col("draw").isin(live)), cuts, start, end, dim, "boot")
-        models = fit(design, fit_rule)
-        var = process_table(design, models, contributions(design, fit_rule, models, z_design), z_design)
-        raw = (models.beta[:, :, 0] - models.beta[:, :, 1]) @ z_design.T
-        own = np.asarray([[bounds[(d, c)] for c in design.cuts] for d in design.draws])
-        ok = models.converged.all(axis=(1, 2)) & np.isfinite(var).all(axis=(1, 2))
-        log += [(int(d), None if ok[i] else "fqi did not converge") for i, d in enumerate(design.draws)]
-        part = draw_frame(spark, design.draws, design.cuts, raw, var, own[0], ok, own)
-        cube = part if cube is None else cube.unionByName(part)
-    account = spark.createDataFrame(sorted(log, key=lambda r: r[0]), "draw long, message string")
-    if cube is None:
-        cube = spark.createDataFrame([], "draw long, candidate long, z long, raw double, normalized double, joint double")
-    return cube, account
+def coefficient_table(spark, model: Stationary) -> DataFrame:
+    """Every number of a fitted null: the name of its part, its place there and its value."""
+    rows = []
+    for f in fields(model):
+        value = getattr(model, f.name)
+        if value is not None:
+            rows += [(f.name, i, float(x)) for i, x in enumerate(np.ravel(np.asarray(value, dtype=float)))]
+    return spark.createDataFrame(rows, "part string, position long, value double")

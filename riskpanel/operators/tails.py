@@ -34,7 +34,7 @@ def thresholds(bank: DataFrame, reference: str, q: Sequence[float] = THRESHOLDS,
 def exceedances(bank: DataFrame, cuts: DataFrame, event: str = "absolute") -> DataFrame:
     """Sparse exceedance events (bank, threshold, draw, coord, ...)."""
     x = F.abs("value") if event == "absolute" else F.col("value")
-    return bank.join(F.broadcast(cuts), "coord").where(x > F.col("cut")).drop("cut", "value")
+    return bank.join(cuts, "coord").where(x > F.col("cut")).drop("cut", "value")
 
 
 def joint_counts(events: DataFrame, n_coords: int, keys: Sequence[str], weight: str | None = None) -> DataFrame:
@@ -55,8 +55,7 @@ def joint_counts(events: DataFrame, n_coords: int, keys: Sequence[str], weight:
         for pdf in batches:
             for key, part in pdf.groupby(keep, sort=False):
                 e = np.zeros((len(part), n_coords))
-                for r, cs in enumerate(part["cs"]):
-                    e[r, np.asarray(cs, dtype=int)] = 1.0
+                e[np.repeat(np.arange(len(part)), part["cs"].map(len)), np.concatenate(part["cs"].to_numpy()).astype(int)] = 1.0
                 got = e.T @ (e * part["w"].to_numpy(float)[:, None])
                 acc[key] = acc[key] + got if key in acc else got
         for key, m in acc.items():
@@ -240,7 +239,7 @@ def pair_table(meta: DataFrame, errors: DataFrame) -> DataFrame:
     cols = ["candidate_index", "candidate", "z", "base_index", "value_action", "trait", "source_entity"]
     left = meta.select(F.col("coord").alias("i"), *[F.col(c).alias(f"{c}_i") for c in cols])
     right = meta.select(F.col("coord").alias("j"), *[F.col(c).alias(f"{c}_j") for c in cols])
-    t = errors.where(F.col("i") != F.col("j")).join(F.broadcast(left), "i").join(F.broadcast(right), "j")
+    t = errors.where(F.col("i") != F.col("j")).join(left, "i").join(right, "j")
     def same(c: str) -> Column:
         return F.col(f"{c}_i") == F.col(f"{c}_j")
     t = t.select("*", F.abs(F.col("candidate_index_i") - F.col("candidate_index_j")).alias("candidate_distance"),
@@ -407,23 +406,6 @@ def association_attenuation(rows: DataFrame, designs: Sequence[str], first: str,
     return out.withColumn("attenuation", F.abs("first_correlation") - F.abs("second_correlation"))
 
 
-def gaussian_maxima(bank: DataFrame, n_coords: int, name: str, draws: int, seed: int) -> DataFrame:
-    """Maxima of a Gaussian process with one bank's covariance, draws generated inside the tasks."""
-    from .fqi import keyed_draws
-
-    mean, cov, _ = covariance(bank, n_coords, name)
-    vals, vecs = np.linalg.eigh(cov)
-    root = vecs * np.sqrt(np.maximum(vals, 0.0))
-
-    def task(batches):
-        for pdf in batches:
-            if len(pdf):
-                z = keyed_draws("gaussian", seed, pdf["id"].to_numpy(), np.arange(n_coords))
-                yield pd.DataFrame({"draw": pdf["id"], "value": np.abs(mean + z @ root.T).max(axis=1)})
-
-    return bank.sparkSession.range(draws).mapInPandas(task, "draw long, value double")
-
-
 def innovation_diagnostics(rows: DataFrame, value: str, order: str, keys: Sequence[str], width: int = 4096) -> DataFrame:
     """Moments of innovations, lag-1 correlation within entity and the share of adjacent extremes."""
     from .timeline import CHUNK, neighbours

@@ -12,8 +12,7 @@ from ..operators import nullmodel as N
 from ..operators import panel as PN
 from ..operators import process as H
 from ..operators import support as S
-from ..params import SupportRule
-from ..session import materialise, shared_table
+from ..session import materialise, shared_table, source_state
 from . import panel_queries as PQ
 from . import roles as R
 from .registry import Query, query, rounded
@@ -24,13 +23,12 @@ START, END = R.WINDOW
 MID = 15
 SEED, DRAWS = 11, 199
 REFIT_DRAWS = 20
-BRIDGE_RULE = SupportRule(22, 0.0, 2, 2, 2, 0.95, 0.95)
 Z_STATES = 16
 _CACHE: dict = {}
 
 
 def _once(s: SparkSession, d: str, name: str, build):
-    key = (s.sparkContext.applicationId, d, name)
+    key = (s.sparkContext.applicationId, d, name, source_state(s, d))
     if key not in _CACHE:
         _CACHE[key] = build()
     return _CACHE[key]
@@ -174,16 +172,6 @@ def refit_calibration(s: SparkSession, d: str, draws: DataFrame) -> DataFrame:
     return B.calibrate(B.draw_layers(draws, p.midpoint), H.layers(observed(s, d), p.midpoint))
 
 
-def bridge(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    def build():
-        p, panel = prepared(s, d), PQ.panel(s, d)
-        model, _ = N.fit_bridge_null(panel, R.STATE_DIM)
-        cube, log = N.parametric_draws(model, N.entity_horizons(panel), p.design.cuts, START, END, BRIDGE_RULE, RULE, p.z_design,
-                                       entity_total(s, d), REFIT_DRAWS, SEED)
-        return materialise(cube, "bridge-cube"), materialise(log, "bridge-log")
-    return _once(s, d, "bridge", build)
-
-
 def trait_panel(s: SparkSession, d: str) -> DataFrame:
     """Panel whose second coordinate is a time-invariant trait of the entity, as the parametric null requires."""
     trait = F.pmod("entity_id", F.lit(2)).cast("double")
@@ -192,19 +180,19 @@ def trait_panel(s: SparkSession, d: str) -> DataFrame:
     return PQ.panel(s, d).select("entity_id", "elapsed_index", "action", "reward", put("state"), put("next_state"))
 
 
-def parametric(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    def build():
-        panel = materialise(trait_panel(s, d), "trait-panel")
-        cuts = admissible(s, d)
-        design = Q.prepare(panel, cuts, START, END, 4, "trait")
-        zd = PN.evaluation_sample(panel, Z_STATES, PQ.SEED).collect()
-        x = np.asarray([r["state"] for r in zd], dtype=float)
-        z = np.vstack([Q.action_design(x, np.zeros(len(x))), Q.action_design(x, np.ones(len(x)))])
-        prep = H.prepare_process(design, RULE, z, bounds(s, d), min(cuts, key=lambda u: (abs(u - MID), u)))
-        model, _ = N.fit_parametric_null(panel, 4)
-        cube, log = N.parametric_draws(model, N.entity_horizons(panel, R.WINDOW), cuts, START, END, BRIDGE_RULE, RULE, z, entity_total(s, d), REFIT_DRAWS, SEED)
-        return materialise(cube, "m4-cube"), materialise(log, "m4-log"), prep
-    return _once(s, d, "m4", build)
+def parametric_null(s: SparkSession, d: str) -> DataFrame:
+    return N.coefficient_table(s, N.fit_parametric_null(materialise(trait_panel(s, d), "trait-panel"), 4)[0])
+
+
+def bridge_null(s: SparkSession, d: str) -> DataFrame:
+    return N.coefficient_table(s, N.fit_bridge_null(PQ.panel(s, d), R.STATE_DIM)[0])
+
+
+def refit_accounting(s: SparkSession, d: str) -> DataFrame:
+    """Valid and failed draws of the two refit arms; a draw without a value anywhere did not converge."""
+    log = m2(s, d).select(F.lit("M2").alias("arm"), "draw", "joint").unionByName(m3(s, d).select(F.lit("M3").alias("arm"), "draw", "joint"))
+    failed = F.max(F.col("joint").isNull())
+    return B.draw_accounting(log.groupBy("arm", "draw").agg(F.when(failed, F.lit("fqi did not converge")).alias("message")), ["arm"])
 
 
 def jackknife(s: SparkSession, d: str) -> DataFrame:
@@ -438,12 +426,9 @@ QUERIES: dict[str, Query] = {
         "entity_id", "norm"), None, "I7"),
     "m3_draws": query(m3, None, "I8"),
     "m3_calibration": query(lambda s, d: refit_calibration(s, d, m3(s, d)), None, "I8 I13"),
-    "m4_draws": query(lambda s, d: parametric(s, d)[0], None, "I9 I10"),
-    "m4_calibration": query(lambda s, d: B.calibrate(B.draw_layers(parametric(s, d)[0], parametric(s, d)[2].midpoint),
-                                                    H.layers(parametric(s, d)[2].table(s), parametric(s, d)[2].midpoint)), None, "I10 I13"),
-    "bridge_draws": query(lambda s, d: bridge(s, d)[0], None, "I11"),
-    "bridge_calibration": query(lambda s, d: refit_calibration(s, d, bridge(s, d)[0]), None, "I11 I13"),
-    "bridge_accounting": query(lambda s, d: B.draw_accounting(bridge(s, d)[1]), None, "I12"),
+    "parametric_null": query(parametric_null, None, "I9"),
+    "bridge_null": query(bridge_null, None, "I11"),
+    "refit_accounting": query(refit_accounting, None, "I12"),
 }
 
 

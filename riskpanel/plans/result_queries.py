@@ -141,15 +141,18 @@ def outer_tables(s, d):
 
 
 # --------------------------------------------------------------- process banks (draws)
+RESAMPLES = 500
+
+
 def bank(s: SparkSession, d: str) -> DataFrame:
     """Reference, comparison and noise-floor banks from the multiplier draws of the panel."""
     def build():
         m0, m1 = CQ.shift_draws(s, d, "M0"), CQ.shift_draws(s, d, "M1")
         coord = (F.col("candidate") / 3 - 2).cast("long") * 4 + F.col("z")
-        def tag(df, name, keep, shift=0):
-            return df.where(keep).select(F.lit(name).alias("bank"), (F.col("draw") - shift).alias("draw"), ((F.col("draw") - shift) % 10).alias("cluster"),
-                                         coord.alias("coord"), "candidate", "z", F.col("joint").alias("value"))
-        return tag(m0, "ref", F.col("draw") < 100).unionByName(tag(m0, "rep", F.col("draw") >= 100, 100)).unionByName(tag(m1, "cmp", F.col("draw") < 100))
+        def tag(df, name, draw):
+            return df.select(F.lit(name).alias("bank"), draw.alias("draw"), (draw % 10).alias("cluster"), coord.alias("coord"), "candidate", "z", F.col("joint").alias("value"))
+        half = F.floor(F.col("draw") / 2)
+        return tag(m0.where("draw % 2 = 0"), "ref", half).unionByName(tag(m0.where("draw % 2 = 1"), "rep", half)).unionByName(tag(m1, "cmp", F.col("draw")))
     return shared_table(s, d, "bank", build)
 
 
@@ -179,19 +182,25 @@ def layer_rows(s, d):
     return wide.select("bank", "draw", p.alias("p")).select("bank", "draw", "p.*")
 
 
-def resampled(s, d, unit):
-    b = bank(s, d)
-    ref = K.multinomial_weights(s, 100, 12, 5)
-    other = K.multinomial_weights(s, 10, 12, 6) if unit == "cluster" else K.multinomial_weights(s, 100, 12, 6)
-    return K.resampled_metric(b, "ref", "cmp", N, 0.9, ref, other, unit)
+def units(s, d) -> dict[tuple[str, str], int]:
+    """Number of draws and of clusters of every bank."""
+    rows = bank(s, d).groupBy("bank").agg(F.count_distinct("draw").alias("draw"), F.count_distinct("cluster").alias("cluster")).collect()
+    return {(r["bank"], u): r[u] for r in rows for u in ("draw", "cluster")}
+
+
+def resampled(s, d, unit, size=None):
+    """Resampled metric; ``size`` draws a replicate, or as many as the bank has units."""
+    n = units(s, d)
+    ref = K.multinomial_weights(s, n["ref", "draw"], RESAMPLES, 5, size)
+    other = K.multinomial_weights(s, n["cmp", unit], RESAMPLES, 6, size)
+    return K.resampled_metric(bank(s, d), "ref", "cmp", N, 0.9, ref, other, unit)
 
 
 def precision_plan(s, d):
-    """Spread of the resampled metric at several reference sample sizes."""
+    """Spread of the resampled metric at several sample sizes."""
     out = None
     for n in (25, 50, 100):
-        m = K.resampled_metric(bank(s, d), "ref", "cmp", N, 0.9, K.multinomial_weights(s, 100, 12, 5, n), K.multinomial_weights(s, 100, 12, 6, n), "draw")
-        part = K.uncertainty(m).withColumn("sample_size", F.lit(n).cast("long"))
+        part = K.uncertainty(resampled(s, d, "draw", n)).withColumn("sample_size", F.lit(n).cast("long"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -201,7 +210,7 @@ def convergence(s, d):
     b, out = bank(s, d), None
     for n in (40, 80):
         keep = K.cluster_balanced(b.where("bank = 'cmp'"), n, 9).select("bank", "draw")
-        part = b.where("bank = 'ref'").unionByName(b.join(F.broadcast(keep), ["bank", "draw"], "left_semi"))
+        part = b.where("bank = 'ref'").unionByName(b.join(keep, ["bank", "draw"], "left_semi"))
         m = K.threshold_metrics(K.pair_errors(K.exceedance_table(part, "ref", N), "ref"))
         m = m.select(F.lit(n).cast("long").alias("sample_size"), "threshold", "standardised_joint_mae", "conditional_mae")
         out = m if out is None else out.unionByName(m)
@@ -217,8 +226,7 @@ def design_norms(s, d):
 _M1 = "s1 / sqrt(greatest(clusters / (clusters - 1.0) * (s2 - s1 * s1 / clusters), 1e-15))"
 BANK = SHIFT + draws_sql("M0") + f""",
 dr1 AS (SELECT draw, candidate, z, s1 AS raw, {_M1} AS normalized, boundary * ({_M1}) AS joint FROM sm JOIN pr USING (candidate, z)),
-bk0 AS (SELECT 'ref' AS bank, draw, candidate, z, joint FROM dr WHERE draw < 100 UNION ALL SELECT 'rep', draw - 100, candidate, z, joint FROM dr WHERE draw >= 100
-    UNION ALL SELECT 'cmp', draw, candidate, z, joint FROM dr1 WHERE draw < 100),
+bk0 AS (SELECT CASE draw % 2 WHEN 0 THEN 'ref' ELSE 'rep' END AS bank, draw // 2 AS draw, candidate, z, joint FROM dr UNION ALL SELECT 'cmp', draw, candidate, z, joint FROM dr1),
 bank AS MATERIALIZED (SELECT bank, draw, draw % 10 AS cluster, (candidate // 3 - 2) * 4 + z AS coord, candidate, z, joint AS value FROM bk0)"""
 _Q = "(VALUES (0.9::DOUBLE), (0.925), (0.95), (0.975)) q(threshold)"
 EVENTS = BANK + f""",
@@ -269,21 +277,21 @@ _KS = """(SELECT max(abs((SELECT count(*) FROM lr a WHERE a.bank = 'ref' AND a.l
     FROM lr y WHERE y.layer = x.layer AND y.bank IN ('ref', x.bank))"""
 
 
-def _weights_sql(name: str, units: int, reps: int, seed: int, size: int) -> str:
+def _weights_sql(name: str, bank: str, unit: str, seed: int, size: int | None) -> str:
     u = md5_uniform(f"'{seed}:' || rep || ':' || slot")
-    return (f"{name} AS (SELECT rep, floor({u} * {units})::BIGINT AS unit, count(*) AS w FROM generate_series(0, {reps - 1}) a(rep) CROSS JOIN generate_series(0, {size - 1}) b(slot) GROUP BY 1, 2)")
+    n = f"(SELECT count(DISTINCT {unit}) FROM bank WHERE bank = '{bank}')"
+    return (f"{name} AS (SELECT rep, floor({u} * {n})::BIGINT AS unit, count(*) AS w FROM generate_series(0, {RESAMPLES - 1}) a(rep) "
+            f"CROSS JOIN (SELECT unnest(range({n if size is None else size})) AS slot) GROUP BY 1, 2)")
 
 
-def _resample_sql(unit: str, size: int = 100) -> str:
-    units = 10 if unit == "cluster" else 100
-    n2 = 10 if unit == "cluster" else size
-    return EVENTS + ", " + _weights_sql("wr", 100, 12, 5, size) + ", " + _weights_sql("wc", units, 12, 6, n2) + f""",
+def _resample_sql(unit: str, size: int | None = None) -> str:
+    return EVENTS + ", " + _weights_sql("wr", "ref", "draw", 5, size) + ", " + _weights_sql("wc", "cmp", unit, 6, size) + f""",
 nr AS (SELECT rep, sum(w) AS draws FROM wr JOIN (SELECT DISTINCT draw FROM bank WHERE bank = 'ref') b ON b.draw = unit GROUP BY 1),
 nc AS (SELECT rep, sum(w) AS draws FROM wc JOIN (SELECT DISTINCT draw, cluster FROM bank WHERE bank = 'cmp') b ON b.{unit} = unit GROUP BY 1),
 e9 AS (SELECT * FROM xe WHERE threshold = 0.9),
 ja AS (SELECT rep, a.coord AS i, b.coord AS j, sum(w) AS n FROM e9 a JOIN e9 b ON a.bank = b.bank AND a.draw = b.draw JOIN wr ON wr.unit = a.draw WHERE a.bank = 'ref' AND a.coord <> b.coord GROUP BY 1, 2, 3),
 jb AS (SELECT rep, a.coord AS i, b.coord AS j, sum(w) AS n FROM e9 a JOIN e9 b ON a.bank = b.bank AND a.draw = b.draw JOIN wc ON wc.unit = a.{unit} WHERE a.bank = 'cmp' AND a.coord <> b.coord GROUP BY 1, 2, 3),
-rg AS (SELECT rep, i, j FROM generate_series(0, 11) r(rep) CROSS JOIN generate_series(0, 27) a(i) CROSS JOIN generate_series(0, 27) b(j) WHERE i <> j),
+rg AS (SELECT rep, i, j FROM generate_series(0, {RESAMPLES - 1}) r(rep) CROSS JOIN generate_series(0, 27) a(i) CROSS JOIN generate_series(0, 27) b(j) WHERE i <> j),
 mt AS (SELECT g.rep, avg(abs(coalesce(ja.n, 0) / nr.draws - coalesce(jb.n, 0) / nc.draws)) / (1 - 0.9::DOUBLE) AS metric FROM rg g LEFT JOIN ja USING (rep, i, j) LEFT JOIN jb USING (rep, i, j)
     JOIN nr USING (rep) JOIN nc USING (rep) GROUP BY 1)"""
 
@@ -547,9 +555,6 @@ QUERIES: dict[str, Query] = {
             l AS (UNPIVOT e ON transitions, action_rate, state_cov_trace, state_range_mean INTO NAME design VALUE x),
             r AS (SELECT design, corr(x, ln(1 + first)) AS first_correlation, corr(x, ln(1 + second)) AS second_correlation FROM l JOIN nm USING (entity_id) GROUP BY 1)
             SELECT *, abs(first_correlation) - abs(second_correlation) AS attenuation FROM r"""), "first_correlation second_correlation attenuation"), "K22"),
-    "gaussian_maxima": query(
-        lambda s, d: K.two_sample_ks(K.gaussian_maxima(bank(s, d), N, "ref", 500, 4).select("value", F.lit(True).alias("_r")).unionByName(
-            layer_rows(s, d).where("bank = 'ref' AND layer = 'D4'").select("value", F.lit(False).alias("_r"))).withColumn("arm", F.lit("ref")), ["arm"], "value", F.col("_r")), None, "K23"),
     "innovation_diagnostics": query(
         lambda s, d: K.innovation_diagnostics(CQ.H.transition_residuals(PQ.panel(s, d).select("entity_id", "elapsed_index", F.element_at("state", 1).alias("x"), F.lit("all").alias("component")), "x"),
                                               "centred", "elapsed_index", ["component"], width=10),

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -48,12 +49,18 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def source_state(spark: SparkSession, folder: str) -> int:
+    """A number that changes with the names, sizes or times of the files of a folder's tables."""
+    files = spark.read.format("binaryFile").load(f"{folder}/*.parquet").select("path", "length", "modificationTime")
+    return files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()[0]
 
 
 def shared_table(spark: SparkSession, scope: str, label: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A derived table that several queries of one application read; built on first use."""
-    key = (spark.sparkContext.applicationId, scope, label)
+    key = (spark.sparkContext.applicationId, scope, label, source_state(spark, scope))
     if key not in _SHARED:
         _SHARED[key] = materialise(build(), label)
     return _SHARED[key]

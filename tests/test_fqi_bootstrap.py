@@ -204,12 +204,22 @@ def test_least_squares_and_logistic(spark):
         assert abs(np.sum((p - a)[e == k]) + eff[k]) < 1e-6
 
 
-def test_simulation_is_a_function_of_its_keys(spark):
+def test_bridge_null_solves_its_moment_equations(spark):
     panel = spark.createDataFrame(make(), SCHEMA).withColumn("reward", (F.col("reward") > 0).cast("double"))
     model, _ = N.fit_bridge_null(panel, P)
-    hz = N.entity_horizons(panel)
-    a = N.simulate(model, hz, [0, 1], 5).orderBy("draw", "entity_id", "elapsed_index").toPandas()
-    b = N.simulate(model, hz.repartition(6), [1], 5).orderBy("draw", "entity_id", "elapsed_index").toPandas()
-    one = a[a.draw == 1].reset_index(drop=True)
-    assert len(one) == len(b) and np.allclose(np.vstack(one.state), np.vstack(b.state)) and (one.action == b.action).all()
-    assert a.groupby(["draw", "entity_id"]).size().tolist() == [20 - e % 4 for e in range(9)] * 2
+    rows = panel.toPandas()
+    x = np.column_stack([np.ones(len(rows)), np.vstack(rows.state)])
+    score = x.T @ (rows.action.to_numpy() - 1 / (1 + np.exp(-(x @ model.action))))
+    score[1:] -= model.action[1:]  # the penalty of the slopes
+    assert np.abs(score).max() < 1e-3
+    told = N.coefficient_table(spark, model).where("part = 'action'").orderBy("position").toPandas()
+    assert np.allclose(told.value, model.action)
+
+
+@pytest.mark.parametrize("lanes", [0, 3])
+def test_array_sums(spark, lanes):
+    rows = [(k, None if k == 4 else f"g{k % 3}", [float(i), 1.0]) for i in range(200) for k in ([0] * 3 + [k for k in range(4) if i % 2])]
+    df = spark.createDataFrame(rows, "k long, g string, v array<double>").repartition(7)
+    got = {r["k"]: r["v"] for r in Q.sum_arrays(df, ["k", "g"], "v", lanes).collect()}
+    want = {k: [sum(v[i] for kk, _, v in rows if kk == k) for i in (0, 1)] for k in range(4)}
+    assert got == want
