@@ -36,3 +36,12 @@ def test_language_of_the_larger_share_in_either_order(spark, tongues):
     got = told(spark, known, [x for f, e in pairs for x in (f + " " + e, e + " " + f)])
     assert [r["lang"] for r in got] == ["en"] * 6
     assert all(abs(a["margin"] - b["margin"]) < 0.01 for a, b in zip(got[::2], got[1::2], strict=True))
+
+
+def test_margin_does_not_fall_with_the_length(spark, tongues):
+    known, write = tongues
+    short, long = told(spark, known, [write("en", 20_000), write("en", 4_000_000)])
+    assert short["lang"] == long["lang"] == "en" and not long["rejected"]
+    assert long["margin"] > 0.8 * short["margin"]
+    whole = told(spark, known, [write("de", 2_000_000), write("es", 3_000_000)])
+    assert [(r["lang"], r["rejected"]) for r in whole] == [("de", False), ("es", False)]
