@@ -1,10 +1,12 @@
 """Cases in which an operator once did less than the whole job."""
 
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from riskpanel.llm import language
+from riskpanel.llm import language, licenses
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +47,47 @@ def test_margin_does_not_fall_with_the_length(spark, tongues):
     assert long["margin"] > 0.8 * short["margin"]
     whole = told(spark, known, [write("de", 2_000_000), write("es", 3_000_000)])
     assert [(r["lang"], r["rejected"]) for r in whole] == [("de", False), ("es", False)]
+
+
+def test_notices_among_other_words(spark):
+    notice = {n: t for n, t in licenses.TEMPLATES}
+    full = dict(licenses.FULL)
+    texts = [
+        ("The corpus tool is free. Released under the MIT License.", "MIT"),
+        ("MIT License Copyright (c) 2020 A. Holder " + full["MIT"], "MIT"),
+        ("filler words here " * 300 + full["BSD-3-Clause"] + " more of it" * 300, "BSD-3-Clause"),
+        ("Some words first, then " + "\n".join(notice["MPL-2.0"].split(" ")) + "\nand words behind", "MPL-2.0"),
+        ("all of this is mine; all rights, all rights reserved! and so on and on", "proprietary"),
+        ("The license is under discussion, and the rights of the author are not.", None),
+    ]
+    df = spark.createDataFrame(list(enumerate(t for t, _ in texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.report(df).collect()}
+    assert [got[i] for i in range(len(texts))] == [x for _, x in texts]
+
+
+def test_windows_against_brute_force(spark):
+    known = [(n, licenses.bigrams(t), len(re.findall(licenses.WORD, t.lower())) - 1) for n, t in [*licenses.TEMPLATES, *licenses.FULL]]
+    draw = random.Random(3)
+    texts = []
+    for name, t in [*licenses.TEMPLATES, *licenses.FULL]:
+        words = t.split()
+        for _ in range(2):  # some words left out, some put in
+            kept = [x for w in words for x in ([w] if draw.random() > 0.05 else [] if draw.random() < 0.5 else [w, "the", "x"])]
+            texts.append(" ".join(["one line of", *kept, "and", *draw.choices(words, k=30)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: {tuple(x) for x in r["found"]} for r in df.select("doc_id", licenses.windows(licenses.plain(F.col("text")), [*licenses.TEMPLATES, *licenses.FULL], licenses.LEAST).alias("found")).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(licenses.WORD, t.lower())
+        g = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+        want = set()
+        for name, b, pairs in known:
+            top, reach = 0.0, int(pairs * 1.5 + 1e-9)
+            for s in range(len(g)) if len(set(g) & b) >= len(b) * 2 / 3 - 1e-9 else ():
+                a, m = set(), 0
+                for x in g[s : s + reach]:
+                    m += x in b and x not in a
+                    a.add(x)
+                    top = max(top, 2.0 * m / (len(a) + len(b)))
+            if top >= licenses.LEAST:
+                want.add((name, top))
+        assert got[i] == want, i
