@@ -227,15 +227,15 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fingerprint bits and component_id (the smallest doc_id reachable) of every row."""
+    """doc_id, fingerprint bits, component_id (the smallest doc_id reachable) and the component's root of every row."""
     rows, s = add_struct(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), [F.col("text")], _fingerprints, "bits long", keep=["doc_id"])
     rows = materialise(rows.select("doc_id", F.col(s)["bits"].alias("bits")), "simhash-rows")
     prints = materialise(rows.groupBy("bits").agg(F.min("doc_id").alias("least")), "simhash-prints")
     roots = components(edges(prints.select("bits"), radius, bucket))
     member = prints.join(roots, prints["bits"] == roots["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialise(member.join(least, "root").select("bits", "component_id"), "simhash-named")
-    return rows.join(named, "bits").select("doc_id", "bits", "component_id")
+    named = materialise(member.join(least, "root").select("bits", "component_id", "root"), "simhash-named")
+    return rows.join(named, "bits").select("doc_id", "bits", "component_id", "root")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
@@ -244,14 +244,21 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each component, that with the smallest id; of rows that repeat an id one stays.
+    """One document of each component, that with the smallest id; of its rows in one component one stays.
 
-    Rows without an id are in no component and stay.
+    Ids with rows in several components are told apart by fingerprint. Rows without an id are in no component and stay.
     """
     found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col=id_col, **options)
-    keeper = found.where("doc_id = component_id").select("doc_id").distinct()
-    flag = free_name(docs, "kept_id")
-    held = docs.join(keeper.withColumnRenamed("doc_id", flag), F.col(id_col) == F.col(flag), "left_semi")
+    torn = found.groupBy("doc_id").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("doc_id")
+    torn = materialise(torn, "simhash-torn")
+    keeper = found.where("doc_id = component_id")
+    flag, place = free_name(docs, "kept_id"), free_name(docs, "kept_root")
+    held = docs.join(keeper.select("doc_id").distinct().join(torn, "doc_id", "left_anti").withColumnRenamed("doc_id", flag), F.col(id_col) == F.col(flag), "left_semi")
     rows = [F.col(f"`{c}`") for c in docs.columns]
-    first = held.groupBy(F.col(id_col).alias(flag)).agg(F.min_by(F.struct(*rows), F.xxhash64(*rows)).alias("row"))
-    return first.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))
+    first = held.groupBy(F.col(id_col).alias(flag)).agg(F.min_by(F.struct(*rows), F.xxhash64(*rows)).alias("row")).select("row.*")
+    apart, s = add_struct(docs.join(torn.withColumnRenamed("doc_id", flag), F.col(id_col) == F.col(flag), "left_semi"), [F.col(options.get("text_col", "text"))], _fingerprints, "bits long")
+    apart = apart.select(F.struct(*rows).alias("row"), F.xxhash64(*rows).alias("draw"), F.col(id_col).alias(flag), F.col(s)["bits"].alias("kept_bits"))
+    roots = keeper.join(torn, "doc_id", "left_semi").select(F.col("doc_id").alias("kept_doc"), "bits", F.col("root").alias(place)).distinct()
+    each = apart.join(roots, (F.col(flag) == F.col("kept_doc")) & (F.col("kept_bits") == F.col("bits")))
+    each = each.groupBy(flag, place).agg(F.min_by("row", "draw").alias("row")).select("row.*")
+    return first.unionByName(each).unionByName(docs.where(F.col(id_col).isNull()))

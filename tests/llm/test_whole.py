@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from riskpanel.llm import language, licenses
+from riskpanel.llm import language, licenses, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,3 +91,12 @@ def test_windows_against_brute_force(spark):
             if top >= licenses.LEAST:
                 want.add((name, top))
         assert got[i] == want, i
+
+
+def test_rows_that_share_an_id_but_not_a_text_stay(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(200)) for x in ("red", "blue", "green"))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, c), (3, a), (4, b)]
+    out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, out)) == sorted([(1, a), (2, b), (3, c)])
+    out = simhash.keep_one(spark.createDataFrame([(1, a), (1, b), (1, a)], "doc_id long, text string")).collect()
+    assert sorted(map(tuple, out)) == sorted([(1, a), (1, b)])
