@@ -145,8 +145,8 @@ def _entity_weights(rnd: Randomness, draws: np.ndarray, ehash: np.ndarray) -> np
 
 
 # --------------------------------------------------------------------------- kernels
-def _matrix(col: pd.Series) -> np.ndarray:
-    return np.vstack(col.to_numpy()).astype(float)
+def _matrix(col: pd.Series | np.ndarray) -> np.ndarray:
+    return np.vstack(np.asarray(col)).astype(float)
 
 
 def _arrays(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
@@ -199,7 +199,7 @@ def _side_moments(x: dict, cuts: Sequence[int], scale: np.ndarray, beta: np.ndar
 
 
 def sum_arrays(df: DataFrame, keys: Sequence[str], col: str, lanes: int = 64) -> DataFrame:
-    """Element-wise sum of equal-length arrays by key, without a row for every cell.
+    """Element-wise sum of arrays by key, without a row for every cell; arrays of one key have one length.
 
     Partial results are first added up by (key, lane of the input split), then by key; rows of a key arrive
     next to each other, so a task holds one sum at a time. ``lanes=0`` leaves the first step out, for keys with few rows.
@@ -225,15 +225,15 @@ def _summed(df: DataFrame, keys: list[str], col: str) -> DataFrame:
                 new[1:] |= v[1:] != v[:-1]
             new[0] = True
             at = np.flatnonzero(new)
-            sums = np.add.reduceat(_matrix(pdf[col]), at, axis=0)
             heads = [tuple(pdf[k].iloc[i] for k in keys) for i in at]
+            sums = [_matrix(part).sum(axis=0) for part in np.split(pdf[col].to_numpy(), at[1:])]
             if last is not None and heads[0] == last:
                 sums[0] += total
             elif last is not None:
-                heads, sums = [last, *heads], np.vstack([total[None], sums])
-            last, total = heads[-1], sums[-1].copy()
+                heads, sums = [last, *heads], [total, *sums]
+            last, total = heads[-1], sums[-1]
             if len(heads) > 1:
-                yield pd.DataFrame({**dict(zip(keys, zip(*heads[:-1]))), col: list(sums[:-1])})
+                yield pd.DataFrame({**dict(zip(keys, zip(*heads[:-1]))), col: sums[:-1]})
         if last is not None:
             yield pd.DataFrame({**{k: [v] for k, v in zip(keys, last)}, col: [total]})
 

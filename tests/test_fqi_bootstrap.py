@@ -223,3 +223,9 @@ def test_array_sums(spark, lanes):
     got = {r["k"]: r["v"] for r in Q.sum_arrays(df, ["k", "g"], "v", lanes).collect()}
     want = {k: [sum(v[i] for kk, _, v in rows if kk == k) for i in (0, 1)] for k in range(4)}
     assert got == want
+
+
+def test_array_sums_of_unequal_lengths(spark):
+    rows = [(k, [float(i)] * (k + 1)) for i in range(50) for k in range(3)]
+    got = {r["k"]: r["v"] for r in Q.sum_arrays(spark.createDataFrame(rows, "k long, v array<double>").repartition(5), ["k"], "v").collect()}
+    assert got == {k: [1225.0] * (k + 1) for k in range(3)}

@@ -15,10 +15,11 @@ needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are n
 
 def test_contract():
     import __spark_entry__ as entry
+    from riskpanel.plans.catalog import ALL
 
     q, sql = entry.queries(), entry.oracle_sql()
-    assert set(sql) <= set(q) and len(q) > 150
-    assert not [n for n in q if "pipeline" in n or n.startswith("op")]
+    assert set(sql) <= set(q) and len(ALL) > 150 and set(ALL) <= set(q)
+    assert not [n for n in ALL if "pipeline" in n or n.startswith("op")]
 
 
 @needs_data
