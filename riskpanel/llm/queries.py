@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskpanel.llm import decontaminate, hmm, language, licenses, line_dedup, packing, quality, secrets, simhash, urls
+from riskpanel.llm import (
+    conversation_trie, decontaminate, hmm, language, licenses, line_dedup, mixing, packing, quality, secrets, simhash, urls, vector_codes)
 from riskpanel.llm.text import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -62,6 +63,18 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(documents(spark, sf_dir))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.report(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_line_dedup, op2_decontaminate, op3_license_scan, op4_lm_score, op5_language_id, op6_secret_scan, op7_quality_rules, op8_url_filter,
-              op9_simhash, op10_pack, pipeline)
+              op9_simhash, op10_pack, op11_vector_codes, op12_mixing, op13_conversation_trie, pipeline)
 }
 
 #: The others have no SQL: trained models, fingerprints of XXH64, token ids. Their tests hold them against brute force.
@@ -80,4 +93,7 @@ SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.SQL,
     "op3_license_scan": licenses.SQL,
     "op6_secret_scan": secrets.SQL,
+    "op11_vector_codes": vector_codes.SQL,
+    "op12_mixing": mixing.SQL,
+    "op13_conversation_trie": conversation_trie.SQL,
 }
