@@ -10,12 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import MULTIPLIERS, finite_p
-from .fqi import Design, FitRule, Models, Randomness, _matrix, contributions, fit, process_table, sum_arrays
+from ..session import materialise
+from .fqi import Design, FitRule, Models, Randomness, _matrix, draws_per_block, fit, influence_moments, keyed_draws, sum_arrays
 from .process import LAYERS, Prepared, layer_columns, unpivot_layers
 from .quantiles import exact_quantiles
 
-# Arms that need one row of a dense system per entity stop here with a clear error.
-MAX_PROJECTION_ENTITIES = 4000
 # Ordered failure categories and the message fragments that select them.
 FAILURE_PATTERNS = (
     ("SUPPORT_REJECTION", ("invalid_support_draw", "no_admissible_candidate")),
@@ -156,46 +155,58 @@ def variance_versions(contrib: DataFrame, leverage: DataFrame | None = None) ->
 
 
 # ------------------------------------------------------------------------ refit arms
-def _blocks(draws: int, models_per_draw: int, dim: int) -> list[range]:
-    from .fqi import MODEL_BUDGET
-
-    size = max(1, min(64, MODEL_BUDGET // (3 * models_per_draw * dim * dim)))
-    return [range(a, min(draws, a + size)) for a in range(0, draws, size)]
-
-
-def draw_frame(spark, ids, cuts, raw: np.ndarray, var: np.ndarray, bound: np.ndarray, valid: np.ndarray, own_bound=None) -> DataFrame:
-    norm = raw / np.sqrt(np.maximum(var, 1e-15))
-    b = bound[None, :] if own_bound is None else own_bound
-    joint = norm * b[:, :, None]
-    for a in (raw, norm, joint):
-        a[~valid] = np.nan
-    n, c, z = raw.shape
-    pdf = pd.DataFrame({
-        "draw": np.repeat(np.asarray(ids), c * z).astype("int64"), "candidate": np.tile(np.repeat(np.asarray(cuts, dtype="int64"), z), n),
-        "z": np.tile(np.arange(z), n * c).astype("int64"), "raw": raw.ravel(), "normalized": norm.ravel(), "joint": joint.ravel()})
-    df = spark.createDataFrame(pdf, "draw long, candidate long, z long, raw double, normalized double, joint double")
-    return df.select("draw", "candidate", "z", *[F.when(~F.isnan(x), F.col(x)).alias(x) for x in ("raw", "normalized", "joint")])
+def draw_process(prep: Prepared, design: Design, models: Models, centre: bool = False) -> DataFrame:
+    """Process of a block of refitted draws: (draw, candidate, z, raw, normalized, joint), NULL where a model of the draw did not converge.
 
+    The variance at a point is a quadratic form in the draw's influence moments, evaluated by the task that has their sum.
+    """
+    beta, ids, valid = models.beta, np.asarray(models.extra["ids"]), models.converged.all(axis=(1, 2))
+    z, cuts, bound, live = prep.z_design, np.asarray(design.cuts, dtype="int64"), prep.bound, design.active
+    shift = prep.contrast if centre else 0.0
+    c, n, dim = len(cuts), len(z), z.shape[1]
 
-def refit_draws(prep: Prepared, design: Design, draws: int, rnd: Randomness, centre: bool) -> DataFrame:
+    def task(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                second = np.asarray(r.v).reshape(c, dim, dim)
+                var = (live / np.maximum(live - 1.0, 1.0))[:, None] * np.einsum("zp,cpq,zq->cz", z, second, z)
+                raw = (beta[r.i, :, 0] - beta[r.i, :, 1]) @ z.T - shift
+                norm = raw / np.sqrt(np.maximum(var, 1e-15))
+                out = pd.DataFrame({"draw": ids[r.i], "candidate": np.repeat(cuts, n), "z": np.tile(np.arange(n), c), "raw": raw.ravel(),
+                                    "normalized": norm.ravel(), "joint": (norm * bound[:, None]).ravel()})
+                if not valid[r.i]:
+                    out[["raw", "normalized", "joint"]] = None
+                yield out.astype({"raw": float, "normalized": float, "joint": float})
+
+    rows = influence_moments(design, models).mapInPandas(task, "draw long, candidate long, z long, raw double, normalized double, joint double")
+    return rows.select("draw", "candidate", "z", *[F.when(~F.isnan(x), F.col(x)).alias(x) for x in ("raw", "normalized", "joint")])
+
+
+def refit_draws(prep: Prepared, design: Design, draws: int, rnd: Randomness, centre: bool, start: np.ndarray) -> DataFrame:
     """Full refit of every draw that shares the observed rows (wild-residual M2 or weighted M3).
 
-    Draws run in blocks sized so that the model table stays small; ``centre`` subtracts the observed
-    contrast, as the weighted arm requires.
+    Draws run in blocks whose systems stay small, from the coefficients ``start``; ``centre`` subtracts the observed contrast, as
+    the weighted arm requires. Tasks write the draws of a block before the next block starts.
     """
-    spark, out = design.rows.sparkSession, None
-    for block in _blocks(draws, len(design.cuts) * 2, 2 * design.q):
-        models = fit(design, prep.rule, rnd, list(block))
-        contrib = contributions(design, prep.rule, models, prep.z_design, rnd)
-        var = process_table(design, models, contrib, prep.z_design)
-        raw = (models.beta[:, :, 0] - models.beta[:, :, 1]) @ prep.z_design.T
-        if centre:
-            raw = raw - prep.contrast[None]
-        part = draw_frame(spark, list(block), design.cuts, raw, var, prep.bound, models.converged.all(axis=(1, 2)))
+    out, size = None, draws_per_block(design)
+    for first in range(0, draws, size):
+        models = fit(design, prep.rule, rnd, range(first, min(draws, first + size)), start)
+        part = materialise(draw_process(prep, design, models, centre), "refit-draws")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def zero_draw(prep: Prepared, design: Design, start: np.ndarray) -> DataFrame:
+    """The draw without perturbation: base rewards alone give both sides the common model, so the contrast vanishes.
+
+    A side that does not converge is an error, since every other draw is then doubtful.
+    """
+    models = fit(design, prep.rule, Randomness("reward", "zeros"), [0], start)
+    if not models.converged.all():
+        raise ValueError("fqi did not converge on the draw without perturbation")
+    return draw_process(prep, design, models).drop("draw")
+
+
 def restricted_null(panel: DataFrame, start: int, end: int, state_dim: int, rule: FitRule) -> tuple[DataFrame, np.ndarray, dict]:
     """Common fit of the whole window: panel with ridge-offset base reward and entity-centred residual."""
     from .fqi import prepare
@@ -228,38 +239,41 @@ def estimating_gap(models: Models, rule: FitRule, offset: np.ndarray) -> np.ndar
     return models.extra["gram"][0, 0, 0] @ offset - rule.alpha * models.beta[0, 0, 0]
 
 
-def bounded_entities(panel: DataFrame, limit: int = MAX_PROJECTION_ENTITIES) -> list:
-    """The entity ids, only when there are at most ``limit`` of them."""
-    found = [r["entity_id"] for r in panel.select("entity_id").distinct().limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} entities: this arm fits one system per entity")
-    return sorted(found)
-
-
-def project_on_multipliers(draws: DataFrame, entities: Sequence[int], seed: int, law: str = "gaussian") -> DataFrame:
-    """Least-squares projection of the draw process on the entity multipliers (normal equations, centred)."""
-    from .fqi import keyed_draws
+def project_on_multipliers(draws: DataFrame, entities: DataFrame, seed: int, law: str = "gaussian") -> DataFrame:
+    """Least-squares projection of the draw process on the centred entity multipliers; the shortest solution where it is not unique.
 
-    spark = draws.sparkSession
-    keys = np.asarray([r["h"] for r in spark.createDataFrame([(int(e),) for e in entities], "entity_id long").select(
-        F.xxhash64("entity_id").alias("h")).collect()], dtype=np.int64)
-    e = len(entities)
-    if e > MAX_PROJECTION_ENTITIES:
-        raise ValueError(f"projection needs one {e} x {e} system; at most {MAX_PROJECTION_ENTITIES} entities are supported")
+    Solved in the space of draws: with X the centred multipliers (draws x entities), X+ = X'(XX')+, and XX' (draws x draws) is a sum
+    over entities. So any number of entities is projected; each one's row of the answer is computed where the entity is.
+    """
+    vec = draws.where(F.col("joint").isNotNull()).groupBy("draw").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("candidate", "z", "joint"))), lambda s: s["joint"]).alias("y")).orderBy("draw").collect()
+    ids = np.array([r["draw"] for r in vec], dtype=np.int64)
+    y = np.array([r["y"] for r in vec], dtype=float)
+    keyed = entities.select("entity_id", F.xxhash64("entity_id").alias("h"))
 
-    def task(batches):
+    def gram(batches):
+        total = np.zeros((len(ids), len(ids)))
+        for pdf in batches:
+            if len(pdf):
+                xi = keyed_draws(law, seed, ids, pdf["h"].to_numpy())
+                xi -= xi.mean(axis=0)
+                total += xi @ xi.T
+        yield pd.DataFrame({"i": np.arange(len(ids)), "v": list(total)})
+
+    kernel = np.zeros((len(ids), len(ids)))
+    for r in sum_arrays(keyed.mapInPandas(gram, "i long, v array<double>"), ["i"], "v").collect():
+        kernel[r["i"]] = r["v"]
+    values, vectors = np.linalg.eigh(kernel)
+    keep = values > values.max(initial=0.0) * len(ids) * np.finfo(float).eps * 16
+    inverse = (vectors[:, keep] / values[keep]) @ vectors[:, keep].T
+    weight = inverse @ (y - y.mean(axis=0)) if len(ids) else np.zeros((0, 0))
+
+    def rows(batches):
         for pdf in batches:
             if len(pdf):
-                xi = keyed_draws(law, seed, pdf["draw"].to_numpy(), keys)
-                xi = np.hstack([np.ones((len(xi), 1)), xi])
-                y = _matrix(pdf["y"])
-                yield pd.DataFrame({"k": [0, 1], "v": [(xi.T @ xi).ravel(), (xi.T @ y).ravel()]})
+                xi = keyed_draws(law, seed, ids, pdf["h"].to_numpy())
+                coef = (xi - xi.mean(axis=0)).T @ weight
+                yield pd.DataFrame({"entity_id": pdf["entity_id"], "projection": list(coef), "norm": np.sqrt((coef ** 2).sum(axis=1))})
 
-    vec = draws.where(F.col("joint").isNotNull()).groupBy("draw").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("candidate", "z", "joint"))), lambda s: s["joint"]).alias("y"))
-    got = {r["k"]: np.asarray(r["v"]) for r in sum_arrays(vec.mapInPandas(task, "k int, v array<double>"), ["k"], "v").collect()}
-    gram = got[0].reshape(e + 1, e + 1)
-    rhs = got[1].reshape(e + 1, -1)
-    coef = np.linalg.lstsq(gram, rhs, rcond=None)[0][1:]
-    rows = [(int(en), [float(v) for v in coef[i]], float(np.linalg.norm(coef[i]))) for i, en in enumerate(entities)]
-    return spark.createDataFrame(rows, "entity_id long, projection array<double>, norm double")
+    kind = entities.schema["entity_id"].dataType.simpleString()
+    return keyed.mapInPandas(rows, f"entity_id {kind}, projection array<double>, norm double")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
-from .fqi import Design, FitRule, Models, Randomness, contributions, fit, process_table
+from .fqi import Design, FitRule, Models, contributions, fit, process_table
 
 # Layer names.
 LAYERS = ("D0", "D1", "D2", "D3", "D4")
@@ -159,6 +159,18 @@ def prepare_process(design: Design, rule: FitRule, z_design: np.ndarray, bound:
     return Prepared(design, rule, models, z_design, bound, midpoint, variance, contrib)
 
 
+def jackknife(left_out: DataFrame) -> DataFrame:
+    """Pseudo-contributions of (entity_id, candidate, leave_one_out) and their variance per candidate.
+
+    An entity without which a side is empty has no value; it counts neither as an entity nor in the mean.
+    """
+    v, g = F.col("leave_one_out"), F.col("_g").cast("double")
+    mean = left_out.groupBy("candidate").agg(F.avg("leave_one_out").alias("_mean"), F.count("leave_one_out").alias("_g"))
+    pseudo = left_out.join(F.broadcast(mean), "candidate").withColumn("pseudo", -(g - 1.0) / g * (v - F.col("_mean")))
+    var = pseudo.groupBy("candidate").agg((F.first("_g") / (F.first("_g") - 1.0) * F.sum(F.col("pseudo") ** 2)).alias("variance"))
+    return pseudo.join(F.broadcast(var), "candidate").select("entity_id", "candidate", "leave_one_out", "pseudo", "variance")
+
+
 def fit_table(spark: SparkSession, design: Design, rule: FitRule, models: Models) -> DataFrame:
     """One row per (draw, cut, side): status, convergence, conditions and coefficients."""
     rows = []
@@ -255,7 +267,7 @@ def estimating_equation(design: Design, rule: FitRule, betas: np.ndarray, cut: i
     from .fqi import _matrix, sum_arrays
 
     j, q, gamma, k = design.cuts.index(cut), design.q, rule.gamma, len(betas)
-    g = float(design.entities[0, j, side])
+    g = float(design.entities[j, side])
 
     def task(batches):
         import pandas as pd
@@ -340,7 +352,7 @@ def transition_cluster_variance(design: Design, rule: FitRule, models: Models, z
 
     cuts, q, beta, gamma = design.cuts, design.q, models.beta[0], rule.gamma
     maps = z_design @ np.linalg.inv(models.W[0])
-    n, g = design.transitions[0], design.entities[0]
+    n, g = design.transitions, design.entities
     pooled = rule.estimator == "pooled"
     mean = rule.alpha * beta / n[..., None]
 

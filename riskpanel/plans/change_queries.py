@@ -22,8 +22,7 @@ RULE = Q.FitRule(gamma=0.9, alpha=1.0)
 START, END = R.WINDOW
 MID = 15
 SEED, DRAWS = 11, 199
-REFIT_DRAWS = 20
-Z_STATES = 16
+Z_STATES = 32
 _CACHE: dict = {}
 
 
@@ -153,18 +152,26 @@ def calibrated(s: SparkSession, d: str, arm: str, law: str = "gaussian") -> Data
 
 
 # ------------------------------------------------------------------------ refit arms
+def null_design(s: SparkSession, d: str) -> tuple[Q.Design, np.ndarray]:
+    """Rows with base rewards and residuals of the common fit, and its coefficients for every cut and side."""
+    def build():
+        cuts = prepared(s, d).design.cuts
+        null, beta, _ = B.restricted_null(PQ.panel(s, d), START, END, R.STATE_DIM, RULE)
+        return Q.prepare(null, cuts, START, END, R.STATE_DIM, "m2"), np.tile(beta, (len(cuts), 2, 1))
+    return _once(s, d, "null", build)
+
+
 def m2(s: SparkSession, d: str) -> DataFrame:
     def build():
-        p = prepared(s, d)
-        null, _, _ = B.restricted_null(PQ.panel(s, d), START, END, R.STATE_DIM, RULE)
-        design = Q.prepare(null, p.design.cuts, START, END, R.STATE_DIM, "m2")
-        return B.refit_draws(p, design, REFIT_DRAWS, Q.Randomness("reward", "gaussian", SEED), centre=False)
+        design, beta = null_design(s, d)
+        return B.refit_draws(prepared(s, d), design, DRAWS, Q.Randomness("reward", "gaussian", SEED), False, beta)
     return shared_table(s, d, "m2", build)
 
 
 def m3(s: SparkSession, d: str) -> DataFrame:
+    p = prepared(s, d)
     return shared_table(s, d, "m3", lambda: B.refit_draws(
-        prepared(s, d), prepared(s, d).design, REFIT_DRAWS, Q.Randomness("weight", "exponential", SEED), centre=True))
+        p, p.design, DRAWS, Q.Randomness("weight", "exponential", SEED), True, p.models.beta[0]))
 
 
 def refit_calibration(s: SparkSession, d: str, draws: DataFrame) -> DataFrame:
@@ -196,22 +203,12 @@ def refit_accounting(s: SparkSession, d: str) -> DataFrame:
 
 
 def jackknife(s: SparkSession, d: str) -> DataFrame:
-    """Leave-one-entity-out refits of the middle cut as pseudo-contributions and their variance."""
-    p, panel = prepared(s, d), PQ.panel(s, d)
-    design = Q.prepare(panel, [p.midpoint], START, END, R.STATE_DIM, "jackknife")
-    B.bounded_entities(panel)
-    ids = [(r["entity_id"], r["h"]) for r in design.counts.select("entity_id", F.xxhash64("entity_id").alias("h")).orderBy("entity_id").collect()]
-    rnd = Q.Randomness("weight", "leave_one_out", 0, tuple(h for _, h in ids))
-    values = []
-    for block in B._blocks(len(ids), 2, 2 * design.q):
-        models = Q.fit(design, RULE, rnd, list(block))
-        values += list((models.beta[:, 0, 0] - models.beta[:, 0, 1]) @ p.z_design[0])
-    v = np.asarray(values)
-    g = len(v)
-    pseudo = -(g - 1.0) / g * (v - v.mean())
-    var = g / (g - 1.0) * float(np.sum(pseudo ** 2))
-    return s.createDataFrame([(int(e), float(x), float(y), var) for (e, _), x, y in zip(ids, v, pseudo)],
-                             "entity_id long, leave_one_out double, pseudo double, variance double")
+    """Leave-one-entity-out refits of every cut as pseudo-contributions and their variance."""
+    def build():
+        p = prepared(s, d)
+        left = Q.leave_one_out(p.design, RULE, p.models, p.z_design[:1])
+        return H.jackknife(left.select("entity_id", "candidate", F.element_at("value", 1).alias("leave_one_out")))
+    return shared_table(s, d, "jackknife", build)
 
 
 def jacobian_check(s: SparkSession, d: str) -> DataFrame:
@@ -422,8 +419,9 @@ QUERIES: dict[str, Query] = {
                 "observed critical_value p_value"), "I17"),
     "m2_draws": query(m2, None, "I5 I6"),
     "m2_calibration": query(lambda s, d: refit_calibration(s, d, m2(s, d)), None, "I5 I13"),
-    "m2_projection": query(lambda s, d: B.project_on_multipliers(m2(s, d), B.bounded_entities(PQ.panel(s, d)), SEED).select(
+    "m2_projection": query(lambda s, d: B.project_on_multipliers(m2(s, d), PQ.panel(s, d).select("entity_id").distinct(), SEED).select(
         "entity_id", "norm"), None, "I7"),
+    "m2_zero_draw": query(lambda s, d: B.zero_draw(prepared(s, d), *null_design(s, d)), None, "I7"),
     "m3_draws": query(m3, None, "I8"),
     "m3_calibration": query(lambda s, d: refit_calibration(s, d, m3(s, d)), None, "I8 I13"),
     "parametric_null": query(parametric_null, None, "I9"),

@@ -229,3 +229,132 @@ def test_array_sums_of_unequal_lengths(spark):
     rows = [(k, [float(i)] * (k + 1)) for i in range(50) for k in range(3)]
     got = {r["k"]: r["v"] for r in Q.sum_arrays(spark.createDataFrame(rows, "k long, v array<double>").repartition(5), ["k"], "v").collect()}
     assert got == {k: [1225.0] * (k + 1) for k in range(3)}
+
+
+# ------------------------------------------------------------- moment table, draws, leave-one-out
+def _deltas(contrib, draws, points):
+    return {r["entity_id"]: np.array(r["delta"]).reshape(draws, len(CUTS), points) for r in contrib.collect()}
+
+
+@pytest.fixture
+def apart(spark):
+    """Small shuffle partitions stay apart, so that pieces of an entity meet different tasks."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_split_entities_and_small_blocks_change_nothing(spark, fitted, monkeypatch, apart):
+    rows, _, models = fitted
+    z = Q.action_design(np.array([[0.2, -0.1]]), np.array([1]))
+    monkeypatch.setattr(Q, "STRETCH", 5)  # an entity's rows are dealt over four stretches
+    monkeypatch.setattr(Q, "BLOCK_DOUBLES", 400)
+    design = Q.prepare(spark.createDataFrame(rows, SCHEMA).repartition(3), CUTS, START, END, P)
+    again = Q.fit(design, RULE)
+    assert again.extra["pass"].blocks.where("split").count() > 0
+    assert np.allclose(again.beta, models.beta, atol=1e-9) and np.allclose(again.W, models.W, atol=1e-9)
+    whole = _deltas(Q.contributions(fitted[1], RULE, models, z), 1, 1)
+    pieces = _deltas(Q.contributions(design, RULE, again, z), 1, 1)
+    assert set(whole) == set(pieces) and all(np.allclose(whole[e], pieces[e], atol=1e-9) for e in whole)
+
+
+@pytest.mark.parametrize("estimator", ["balanced", "pooled", "sums"])
+def test_flips_against_a_reference_policy_give_the_same_models(fitted, estimator):
+    _, design, models = fitted
+    rule = Q.FitRule(gamma=0.9, alpha=1.0, tolerance=1e-9, estimator=estimator)
+    rnd = Q.Randomness("weight", "exponential", 5)
+    plain = Q.fit(design, rule, rnd, range(12))
+    near = Q.fit(design, rule, rnd, range(12), models.beta[0])
+    assert plain.converged.all() and near.converged.all()
+    assert np.allclose(plain.beta, near.beta, atol=1e-6) and np.allclose(plain.W, near.W, atol=1e-7)
+
+
+class _Prep:
+    rule, bound = RULE, np.array([0.7, 0.9])
+    z_design = Q.action_design(np.array([[0.2, -0.1], [1.0, 0.5]]), np.array([0, 1]))
+    contrast = np.array([[0.1, 0.2], [0.3, 0.4]])
+
+
+def test_draw_process_equals_the_contributions_of_every_draw(fitted):
+    _, design, models = fitted
+    rnd = Q.Randomness("weight", "exponential", 5)
+    got = B.refit_draws(_Prep, design, 7, rnd, True, models.beta[0]).toPandas().sort_values(["draw", "candidate", "z"])
+    drawn = Q.fit(design, RULE, rnd, range(7), models.beta[0])
+    delta = _deltas(Q.contributions(design, RULE, drawn, _Prep.z_design, rnd), 7, 2)
+    g = np.array([len({r[0] for r in fitted[0]})] * 2)[:, None]
+    var = g / (g - 1) * sum(v ** 2 for v in delta.values())
+    raw = (drawn.beta[:, :, 0] - drawn.beta[:, :, 1]) @ _Prep.z_design.T - _Prep.contrast
+    assert len(got) == 7 * 2 * 2
+    assert np.allclose(got.raw.to_numpy().reshape(raw.shape), raw, atol=1e-9)
+    assert np.allclose(got.joint.to_numpy().reshape(raw.shape), raw / np.sqrt(var) * _Prep.bound[:, None], rtol=1e-6)
+
+
+def test_blocks_of_draws_do_not_matter(fitted, monkeypatch):
+    _, design, models = fitted
+    rnd = Q.Randomness("weight", "exponential", 5)
+    one = B.refit_draws(_Prep, design, 5, rnd, False, models.beta[0]).orderBy("draw", "candidate", "z").toPandas()
+    monkeypatch.setattr(B, "draws_per_block", lambda d: 2)
+    three = B.refit_draws(_Prep, design, 5, rnd, False, models.beta[0]).orderBy("draw", "candidate", "z").toPandas()
+    assert np.allclose(one, three, atol=1e-9)
+
+
+def test_null_draws_and_the_draw_without_perturbation(spark):
+    panel = spark.createDataFrame(make(3, 12), SCHEMA)
+    null, beta, _ = B.restricted_null(panel, START, END, P, Q.FitRule(gamma=0.9, alpha=1.0, tolerance=1e-9))
+    design = Q.prepare(null, CUTS, START, END, P)
+    start = np.tile(beta, (2, 2, 1))
+    zero = B.zero_draw(_Prep, design, start).toPandas()
+    assert len(zero) == 4 and np.isfinite(zero.raw).all()
+    rnd = Q.Randomness("reward", "gaussian", 9)
+    drawn = Q.fit(design, Q.FitRule(gamma=0.9, alpha=1.0, tolerance=1e-9), rnd, range(3), start)
+    pdf = null.withColumn("h", F.xxhash64("entity_id")).toPandas()
+    xi = Q.keyed_draws("gaussian", 9, np.array([2]), pdf.h.to_numpy())[0]
+    made = [(r.entity_id, r.elapsed_index, r.action, r.base_reward + x * r.residual, list(r.state), list(r.next_state)) for r, x in zip(pdf.itertuples(), xi, strict=True)]
+    for s in (0, 1):
+        want, big, _ = reference_side(_side(made, CUTS[0], s), tol=1e-11)
+        assert np.abs(drawn.beta[2, 0, s] - want).max() < 1e-6 and np.abs(drawn.W[2, 0, s] - big).max() < 1e-6
+
+
+@pytest.mark.parametrize("stretch,doubles", [(4096, 4_000_000), (6, 200)])
+def test_leave_one_out_against_refits(spark, monkeypatch, apart, stretch, doubles):
+    monkeypatch.setattr(Q, "STRETCH", stretch)
+    rows = [r for r in make(5, 20) if not (r[0] == 4 and r[1] < 12)] + [(99, 3, 1, 1.0, [0.1, 0.2], [0.0, 0.3])]
+    design = Q.prepare(spark.createDataFrame(rows, SCHEMA).repartition(4), CUTS, START, END, P)
+    rule = Q.FitRule(gamma=0.9, alpha=0.05, tolerance=1e-9)
+    models = Q.fit(design, rule)
+    monkeypatch.setattr(Q, "BLOCK_DOUBLES", doubles)  # the second case sends the rows near a policy border in many slices
+    z = Q.action_design(np.array([[0.2, -0.1], [1.0, 0.5]]), np.array([0, 1]))
+    got = {(r["entity_id"], r["candidate"]): np.array(r["value"]) for r in Q.leave_one_out(design, rule, models, z).collect()}
+    ids = sorted({r[0] for r in rows})
+    assert len(got) == len(ids) * len(CUTS)
+    for e in ids:
+        rest = [r for r in rows if r[0] != e]
+        for cut in CUTS:
+            left, right = (reference_side(_side(rest, cut, s), alpha=0.05, tol=1e-11)[0] for s in (0, 1))
+            assert np.abs(got[e, cut] - z @ (left - right)).max() < 1e-6, (e, cut)
+
+
+def test_leave_one_out_where_a_side_becomes_empty(spark):
+    rows = [r for r in make() if r[0] == 0 or r[1] >= 8]
+    design = Q.prepare(spark.createDataFrame(rows, SCHEMA), [8], START, END, P)
+    left = Q.leave_one_out(design, RULE, Q.fit(design, RULE), np.eye(6)[:1])
+    table = H.jackknife(left.select("entity_id", "candidate", F.element_at("value", 1).alias("leave_one_out"))).toPandas()
+    assert table.loc[table.entity_id == 0, "leave_one_out"].isna().all() and table.leave_one_out.notna().sum() == 8
+    v = table.leave_one_out.dropna()
+    pseudo = -(7 / 8) * (v - v.mean())
+    assert np.allclose(table.pseudo.dropna(), pseudo) and np.allclose(table.variance, 8 / 7 * (pseudo ** 2).sum())
+
+
+@pytest.mark.parametrize("draws", [6, 40])
+def test_projection_against_least_squares(spark, draws):
+    ids = list(range(15))
+    entities = spark.createDataFrame([(i,) for i in ids], "entity_id long").repartition(4)
+    h = {r["entity_id"]: r["h"] for r in entities.select("entity_id", F.xxhash64("entity_id").alias("h")).collect()}
+    rng = np.random.default_rng(draws)
+    y = rng.normal(size=(draws, 3))
+    cube = [(d, c, 0, float(y[d, c])) for d in range(draws) for c in range(3)] + [(draws, 0, 0, None)]
+    got = {r["entity_id"]: r["projection"] for r in B.project_on_multipliers(
+        spark.createDataFrame(cube, "draw long, candidate long, z long, joint double"), entities, 3).collect()}
+    xi = Q.keyed_draws("gaussian", 3, np.arange(draws), np.array([h[i] for i in ids]))
+    want = np.linalg.lstsq(xi - xi.mean(axis=0), y - y.mean(axis=0), rcond=1e-10)[0]
+    assert np.allclose([got[i] for i in ids], want, atol=1e-8)
