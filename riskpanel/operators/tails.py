@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .fqi import _matrix, sum_arrays
+from ..session import materialise
+from . import tiles as TL
 from .quantiles import cumulative_cells, exact_quantile_table, exact_quantiles
 
 # Tail thresholds and distance bins.
 THRESHOLDS = (0.90, 0.925, 0.95, 0.975)
 EVAL_BINS = ((0, 0, "0"), (1, 3, "1-3"), (4, 7, "4-7"), (8, 15, "8-15"), (16, 31, "16-31"), (32, 63, "32-63"))
 GLOBAL_BINS = ((1, 7, "1-7"), (8, 31, "8-31"), (32, 63, "32-63"), (64, 127, "64-127"), (128, 255, "128-255"), (256, None, "256+"))
-MAX_COORDINATES = 2000
 
 
 def _named(q: Sequence[float]) -> dict[str, float]:
@@ -37,36 +35,6 @@ def exceedances(bank: DataFrame, cuts: DataFrame, event: str = "absolute") -> Da
     return bank.join(cuts, "coord").where(x > F.col("cut")).drop("cut", "value")
 
 
-def joint_counts(events: DataFrame, n_coords: int, keys: Sequence[str], weight: str | None = None) -> DataFrame:
-    """Number of draws in which i and j exceed together, for every ordered pair (diagonal = marginal).
-
-    A draw is one row with the (bounded) list of its exceeding coordinates; tasks add up small
-    coordinate-by-coordinate matrices, so draws are never joined with each other.
-    """
-    if n_coords > MAX_COORDINATES:
-        raise ValueError(f"{n_coords} coordinates exceed the pair-matrix limit {MAX_COORDINATES}")
-    w = F.lit(1.0) if weight is None else F.first(weight).cast("double")
-    per = events.groupBy(*keys, "draw", *(["cluster"] if "cluster" in events.columns else [])).agg(
-        F.collect_set("coord").alias("cs"), w.alias("w"))
-    keep = list(keys)
-
-    def task(batches):
-        acc: dict[tuple, np.ndarray] = {}
-        for pdf in batches:
-            for key, part in pdf.groupby(keep, sort=False):
-                e = np.zeros((len(part), n_coords))
-                e[np.repeat(np.arange(len(part)), part["cs"].map(len)), np.concatenate(part["cs"].to_numpy()).astype(int)] = 1.0
-                got = e.T @ (e * part["w"].to_numpy(float)[:, None])
-                acc[key] = acc[key] + got if key in acc else got
-        for key, m in acc.items():
-            frame = {k: [v] * n_coords for k, v in zip(keep, key)}
-            yield pd.DataFrame({**frame, "i": np.arange(n_coords), "v": list(m)})
-
-    fields = ", ".join(f"{k} {per.schema[k].dataType.simpleString()}" for k in keep)
-    rows = sum_arrays(per.mapInPandas(task, f"{fields}, i long, v array<double>"), [*keep, "i"], "v")
-    return rows.select(*keep, "i", F.posexplode("v").alias("j", "n")).withColumn("j", F.col("j").cast("long"))
-
-
 def joint_probabilities(joint: DataFrame, draws: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Joint, marginal and conditional P(j | i) = joint / marginal_i."""
     on = [k for k in keys if k in draws.columns]
@@ -81,7 +49,7 @@ def draw_counts(bank: DataFrame) -> DataFrame:
 
 def exceedance_table(bank: DataFrame, reference: str, n_coords: int, q: Sequence[float] = THRESHOLDS) -> DataFrame:
     ev = exceedances(bank, thresholds(bank, reference, q))
-    return joint_probabilities(joint_counts(ev, n_coords, ["bank", "threshold"]), draw_counts(bank), ["bank", "threshold"])
+    return joint_probabilities(TL.joint_counts(ev, n_coords, ["bank", "threshold"]), draw_counts(bank), ["bank", "threshold"])
 
 
 def pair_errors(table: DataFrame, reference: str) -> DataFrame:
@@ -116,50 +84,42 @@ def integrated_contrast(metrics: DataFrame, comparison: str, noise: str) -> Data
 
 
 # ----------------------------------------------------------------- centre and covariance
-def covariance(bank: DataFrame, n_coords: int, name: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean vector, ddof=1 covariance and draw count of one bank from two moment passes."""
-    if n_coords > MAX_COORDINATES:
-        raise ValueError("too many coordinates for a driver-side covariance")
-    x = bank.where(F.col("bank") == name)
-    rows = x.groupBy("coord").agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("n")).collect()
-    mean, n = np.zeros(n_coords), 0
-    for r in rows:
-        mean[r["coord"]], n = r["m"], r["n"]
-    vec = x.groupBy("draw").agg(F.transform(F.array_sort(F.collect_list(F.struct("coord", "value"))), lambda s: s["value"]).alias("y"))
-
-    def task(batches):
-        acc = np.zeros((n_coords, n_coords))
-        for pdf in batches:
-            if len(pdf):
-                y = _matrix(pdf["y"]) - mean
-                acc += y.T @ y
-        yield pd.DataFrame({"i": np.arange(n_coords), "v": list(acc)})
-
-    got = sum_arrays(vec.mapInPandas(task, "i long, v array<double>"), ["i"], "v").collect()
-    cov = np.zeros((n_coords, n_coords))
-    for r in got:
-        cov[r["i"]] = r["v"]
-    return mean, cov / (n - 1.0), n
-
-
-def covariance_metrics(bank: DataFrame, n_coords: int, reference: str, comparisons: Sequence[str], leading: int = 10) -> DataFrame:
-    """Centre, scale, spectrum and correlation errors of each bank against the reference."""
-    spark: SparkSession = bank.sparkSession
-    m0, c0, n0 = covariance(bank, n_coords, reference)
-    s0, e0 = np.sqrt(np.maximum(np.diag(c0), 1e-15)), np.linalg.eigvalsh(c0)
-    r0 = c0 / np.outer(s0, s0)
-    off, rows = ~np.eye(n_coords, dtype=bool), []
-    for name in comparisons:
-        m, c, n = covariance(bank, n_coords, name)
-        s, e = np.sqrt(np.maximum(np.diag(c), 0)), np.linalg.eigvalsh(c)
-        r = c / np.maximum(np.outer(s, s), 1e-15)
-        k = min(leading, n_coords)
-        rows.append((name, n0, n, float(np.sqrt(np.mean(((m - m0) / s0) ** 2))), float(s.mean() / s0.mean()), float(e[-1] / e0[-1]),
-                     [float(v) for v in (e[-k:] / np.maximum(e0[-k:], 1e-15))[::-1]],
-                     float((e.sum() ** 2 / (e ** 2).sum()) / (e0.sum() ** 2 / (e0 ** 2).sum())),
-                     float(np.linalg.norm(r - r0) / np.linalg.norm(r0)), float(np.abs((r - r0)[off]).mean())))
-    return spark.createDataFrame(rows, "bank string, reference_draws long, draws long, mean_rms double, sd_ratio double, leading_ratio double, "
-                                       "leading_ratios array<double>, effective_rank_ratio double, correlation_frobenius double, correlation_mae double")
+def covariance_metrics(bank: DataFrame, n_coords: int, reference: str, leading: int = 10) -> DataFrame:
+    """Centre, scale, spectrum and correlation errors of every other bank against the reference, from tiles of co-moments."""
+    tiles = materialise(TL.comoments(bank, n_coords), "comoments")
+    table = materialise(TL.covariance_table(tiles, n_coords), "covariances")
+    k, top = min(leading, n_coords), TL.leading_eigenvalues(tiles, n_coords, leading)
+    spectrum = bank.sparkSession.createDataFrame([(b, [float(x) for x in v]) for b, v in top.items()], "bank string, leading array<double>")
+    is_ref = F.col("bank") == reference
+    floor = F.when(is_ref, F.lit(1e-15)).otherwise(F.lit(0.0))
+    sd = table.where("i = j").select("bank", "i", "n", F.col("mean_i").alias("m"), F.sqrt(F.greatest("cov", floor)).alias("s"))
+    ref = sd.where(is_ref).select("i", F.col("n").alias("reference_draws"), F.col("m").alias("m0"), F.col("s").alias("s0"))
+    centre = sd.where(~is_ref).join(ref, "i").groupBy("bank").agg(
+        F.first("reference_draws").alias("reference_draws"), F.first("n").alias("draws"), F.sqrt(F.avg(((F.col("m") - F.col("m0")) / F.col("s0")) ** 2)).alias("mean_rms"),
+        (F.avg("s") / F.avg("s0")).alias("sd_ratio"))
+    rank = table.groupBy("bank").agg((F.sum(F.when(F.col("i") == F.col("j"), F.col("cov"))) ** 2 / F.sum(F.col("cov") ** 2)).alias("rank")).join(spectrum, "bank")
+    base = rank.where(is_ref).select(F.col("rank").alias("rank0"), F.col("leading").alias("leading0"))
+    shape = rank.where(~is_ref).join(F.broadcast(base)).select(
+        "bank", (F.element_at("leading", 1) / F.element_at("leading0", 1)).alias("leading_ratio"),
+        F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.element_at("leading", i) / F.greatest(F.element_at("leading0", i), F.lit(1e-15))).alias("leading_ratios"),
+        (F.col("rank") / F.col("rank0")).alias("effective_rank_ratio"))
+    s = sd.select("bank", "i", "s")
+    r = table.join(s.withColumnRenamed("s", "si"), ["bank", "i"]).join(s.select("bank", F.col("i").alias("j"), F.col("s").alias("sj")), ["bank", "j"]).select(
+        "bank", "i", "j", (F.col("cov") / F.greatest(F.col("si") * F.col("sj"), F.lit(1e-15))).alias("r"))
+    gap = F.col("r") - F.col("r0")
+    corr = r.where(~is_ref).join(r.where(is_ref).select("i", "j", F.col("r").alias("r0")), ["i", "j"]).groupBy("bank").agg(
+        (F.sqrt(F.sum(gap ** 2)) / F.sqrt(F.sum(F.col("r0") ** 2))).alias("correlation_frobenius"),
+        F.avg(F.when(F.col("i") != F.col("j"), F.abs(gap))).alias("correlation_mae"))
+    return centre.join(shape, "bank").join(corr, "bank")
+
+
+def process_covariance(bank: DataFrame, n_coords: int) -> DataFrame:
+    """Covariance of the process about its mean and second moment about zero, per replicate (cluster) and averaged over them."""
+    keys = ["bank", "cluster"]
+    table = TL.covariance_table(TL.comoments(bank, n_coords, keys), n_coords, keys)
+    direct = F.col("cov") * (F.col("n") - 1.0) / F.col("n") + F.col("mean_i") * F.col("mean_j")
+    return table.groupBy("bank", "i", "j").agg(F.count(F.lit(1)).alias("replicates"), F.avg("cov").alias("centred"), F.avg(direct).alias("direct"))
+
 
 
 def marginal_tails(bank: DataFrame, reference: str, q: Sequence[float] = THRESHOLDS) -> DataFrame:
@@ -204,19 +164,13 @@ def max_distribution(layer_rows: DataFrame, reference: str) -> DataFrame:
         "q95_ratio", F.col("q95") / F.col("ref_q95"))
 
 
-def spearman(bank: DataFrame, name: str) -> np.ndarray:
-    """Rank-correlation matrix (average ranks) of one bank's coordinates."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Correlation
-
-    vec = bank.where(F.col("bank") == name).groupBy("draw").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("coord", "value"))), lambda s: s["value"]).alias("y")).select(array_to_vector("y").alias("y"))
-    return Correlation.corr(vec, "y", "spearman").collect()[0][0].toArray()
-
-
-def matrix_table(spark: SparkSession, m: np.ndarray, name: str) -> DataFrame:
-    i, j = np.meshgrid(np.arange(m.shape[0]), np.arange(m.shape[1]), indexing="ij")
-    return spark.createDataFrame(pd.DataFrame({"i": i.ravel(), "j": j.ravel(), name: m.ravel()}), f"i long, j long, {name} double")
+def spearman(bank: DataFrame, n_coords: int, name: str) -> DataFrame:
+    """Rank correlations (i, j, rank_correlation) of one bank's coordinates, ties at their average rank."""
+    x = TL.complete(bank.where(F.col("bank") == name).select("bank", "draw", "coord", "value"), n_coords, ["bank"])
+    ties = Window.partitionBy("bank", "coord", "value")
+    rank = F.rank().over(Window.partitionBy("bank", "coord").orderBy("value")) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
+    table = TL.covariance_table(TL.comoments(x.withColumn("value", rank), n_coords), n_coords)
+    return TL.correlation_table(materialise(table, "rank-covariances")).select("i", "j", F.col("r").alias("rank_correlation"))
 
 
 # --------------------------------------------------------------------------- structure
@@ -316,25 +270,18 @@ def resampled_metric(bank: DataFrame, reference: str, comparison: str, n_coords:
                      unit_cmp: str = "draw") -> DataFrame:
     """Standardised joint error of every bootstrap replicate, from weighted joint counts.
 
-    The reference resamples draws, the comparison resamples draws or whole clusters; thresholds
-    are re-used, and the replicates are one more key of the same matrix sums.
+    The reference resamples draws, the comparison resamples draws or whole clusters; thresholds and event sets are
+    re-used, and a replicate is the bit planes of its weights.
     """
-    cuts = thresholds(bank, reference, [q])
-    ev = exceedances(bank, cuts)
+    ev = exceedances(bank, thresholds(bank, reference, [q]))
     size = bank.select("bank", "draw", "cluster").distinct()
 
-    def side(name: str, w: DataFrame, unit: str) -> tuple[DataFrame, DataFrame]:
-        link = w.withColumnRenamed("unit", unit)
-        e = ev.where(F.col("bank") == name).withColumn(unit, F.col(unit).cast("long")).join(link, unit)
-        total = size.where(F.col("bank") == name).withColumn(unit, F.col(unit).cast("long")).join(link, unit).groupBy("rep").agg(F.sum("w").alias("draws"))
-        return joint_counts(e, n_coords, ["rep"], weight="w"), total
+    def side(name: str, w: DataFrame, unit: str) -> DataFrame:
+        link = w.select("rep", F.col("unit").alias("_unit"), "w")
+        return size.where(F.col("bank") == name).join(link, F.col(unit).cast("long") == F.col("_unit")).select("bank", "rep", "draw", "w")
 
-    ref, n_ref = side(reference, weights_ref, "draw")
-    cmp_, n_cmp = side(comparison, weights_cmp, unit_cmp)
-    a = ref.join(F.broadcast(n_ref), "rep").select("rep", "i", "j", (F.col("n") / F.col("draws")).alias("pa"))
-    b = cmp_.join(F.broadcast(n_cmp), "rep").select("rep", "i", "j", (F.col("n") / F.col("draws")).alias("pb"))
-    return a.join(b, ["rep", "i", "j"]).where(F.col("i") != F.col("j")).groupBy("rep").agg(
-        (F.avg(F.abs(F.col("pa") - F.col("pb"))) / (1.0 - q)).alias("metric"))
+    weights = materialise(side(reference, weights_ref, "draw").unionByName(side(comparison, weights_cmp, unit_cmp)), "resample-weights")
+    return TL.weighted_gap(ev, weights, n_coords, reference, comparison).select("rep", (F.col("gap") / (1.0 - q)).alias("metric"))
 
 
 def uncertainty(metric: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -372,17 +319,16 @@ def nested_variance(bank: DataFrame) -> DataFrame:
 
 def nested_spectrum(bank: DataFrame, n_coords: int, name: str) -> DataFrame:
     """Leading-eigenvalue shares of the within- and between-cluster covariance of one bank."""
-    x = bank.where(F.col("bank") == name)
+    x = TL.complete(bank.where(F.col("bank") == name).select("bank", "draw", "cluster", "coord", "value"), n_coords, ["bank"])
     means = x.groupBy("cluster", "coord").agg(F.avg("value").alias("m"))
-    within = x.join(means, ["cluster", "coord"]).select("bank", "draw", "coord", (F.col("value") - F.col("m")).alias("value"))
-    between = x.join(means, ["cluster", "coord"]).select("bank", "draw", "coord", F.col("m").alias("value"))
-    _, ct, n = covariance(x, n_coords, name)
-    _, cw, _ = covariance(within, n_coords, name)
-    _, cb, _ = covariance(between, n_coords, name)
-    top = np.linalg.eigvalsh(ct)[-1]
-    return bank.sparkSession.createDataFrame([(name, n, float(np.linalg.eigvalsh(cw)[-1] / top), float(np.linalg.eigvalsh(cb)[-1] / top),
-                                               float(np.linalg.norm(ct - cw - cb) / np.linalg.norm(ct)))],
-                                             "bank string, draws long, within_leading double, between_leading double, identity_error double")
+    parts = {"total": F.col("value"), "within": F.col("value") - F.col("m"), "between": F.col("m")}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), v.alias("value")) for k, v in parts.items()]))
+    split = x.join(means, ["cluster", "coord"]).select("draw", "coord", each.alias("p")).select(F.col("p.part").alias("bank"), "draw", "coord", "p.value")
+    tiles = materialise(TL.comoments(split, n_coords), "nested-comoments")
+    top = {k: float(v[0]) for k, v in TL.leading_eigenvalues(tiles, n_coords, 1).items()}
+    table = TL.covariance_table(tiles, n_coords).groupBy("i", "j").agg(*[F.sum(F.when(F.col("bank") == k, F.col("cov"))).alias(k) for k in parts], F.max("n").alias("n"))
+    return table.agg(F.max("n").alias("draws"), (F.sqrt(F.sum((F.col("total") - F.col("within") - F.col("between")) ** 2)) / F.sqrt(F.sum(F.col("total") ** 2))).alias("identity_error")).select(
+        F.lit(name).alias("bank"), "draws", F.lit(top["within"] / top["total"]).alias("within_leading"), F.lit(top["between"] / top["total"]).alias("between_leading"), "identity_error")
 
 
 def conditional_means(bank: DataFrame, reference: str, by: str) -> DataFrame:

@@ -17,7 +17,6 @@ from .registry import Query, query, rounded
 from .sql import DAILY, with_
 
 N = 28
-BANKS = ("cmp", "rep")
 
 
 # ------------------------------------------------------------ replicate table (orders)
@@ -454,9 +453,14 @@ QUERIES: dict[str, Query] = {
         rounded(with_(_TM, """, m AS (SELECT bank, avg(standardised_joint_mae) AS x FROM tm GROUP BY 1)
             SELECT (SELECT x FROM m WHERE bank = 'cmp') AS raw, (SELECT x FROM m WHERE bank = 'rep') AS noise_floor, (SELECT x FROM m WHERE bank = 'cmp') - (SELECT x FROM m WHERE bank = 'rep') AS excess"""),
             "raw noise_floor excess"), "K4"),
-    "covariance_metrics": query(lambda s, d: K.covariance_metrics(bank(s, d), N, "ref", BANKS).drop("leading_ratios"), None, "K5"),
+    "covariance_metrics": query(lambda s, d: K.covariance_metrics(bank(s, d), N, "ref").drop("leading_ratios"), None, "K5"),
+    "process_covariance": query(
+        lambda s, d: K.process_covariance(bank(s, d), N),
+        rounded(with_(BANK, """, c AS (SELECT a.bank, a.cluster, a.coord AS i, b.coord AS j, covar_samp(a.value, b.value) AS cov, avg(a.value * b.value) AS second
+            FROM bank a JOIN bank b ON a.bank = b.bank AND a.draw = b.draw GROUP BY ALL)
+            SELECT bank, i, j, count(*) AS replicates, avg(cov) AS centred, avg(second) AS direct FROM c GROUP BY 1, 2, 3"""), "centred direct", "i j replicates"), "I16"),
     "covariance_errors": query(
-        lambda s, d: K.covariance_metrics(bank(s, d), N, "ref", BANKS).select("bank", "mean_rms", "sd_ratio", "correlation_frobenius", "correlation_mae"),
+        lambda s, d: K.covariance_metrics(bank(s, d), N, "ref").select("bank", "mean_rms", "sd_ratio", "correlation_frobenius", "correlation_mae"),
         rounded(with_(BANK, """, st AS (SELECT bank, coord, avg(value) AS m, stddev_samp(value) AS s FROM bank GROUP BY 1, 2),
             co AS (SELECT a.bank, a.coord AS i, b.coord AS j, corr(a.value, b.value) AS r FROM bank a JOIN bank b ON a.bank = b.bank AND a.draw = b.draw GROUP BY 1, 2, 3),
             x AS (SELECT o.bank, sqrt(avg(((o.m - r.m) / r.s) ** 2)) AS mean_rms, avg(o.s) / avg(r.s) AS sd_ratio FROM st o JOIN st r USING (coord) WHERE o.bank <> 'ref' AND r.bank = 'ref' GROUP BY 1),
@@ -489,7 +493,7 @@ QUERIES: dict[str, Query] = {
             SELECT candidate, max(abs(fa - fb)) AS ks FROM c GROUP BY 1"""), "ks"), "K8"),
     "coordinate_metadata": query(metadata, rounded(with_(BANK, f", {_META} SELECT * FROM meta"), "", "coord candidate_index candidate z base_index value_action trait source_entity"), "K10"),
     "spearman": query(
-        lambda s, d: K.matrix_table(s, K.spearman(bank(s, d), "ref"), "rank_correlation"),
+        lambda s, d: K.spearman(bank(s, d), N, "ref"),
         rounded(with_(BANK, """, r AS (SELECT draw, coord, rank() OVER (PARTITION BY coord ORDER BY value) + (count(*) OVER (PARTITION BY coord, value) - 1) / 2.0 AS rk FROM bank WHERE bank = 'ref')
             SELECT a.coord AS i, b.coord AS j, corr(a.rk, b.rk) AS rank_correlation FROM r a JOIN r b USING (draw) GROUP BY 1, 2"""), "rank_correlation", "i j"), "K11"),
     "pair_table": query(
