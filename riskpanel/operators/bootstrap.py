@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import MULTIPLIERS, finite_p
 from ..session import materialise
 from .fqi import Design, FitRule, Models, Randomness, _matrix, draws_per_block, fit, influence_moments, keyed_draws, sum_arrays
-from .process import LAYERS, Prepared, layer_columns, unpivot_layers
+from .process import LAYERS, Prepared, jackknife, layer_columns, unpivot_layers
 from .quantiles import exact_quantiles
 
 # Ordered failure categories and the message fragments that select them.
@@ -32,6 +32,38 @@ def multipliers(entities: DataFrame, draws: int, seed: int, law: str = "gaussian
     return entities.select("entity_id", F.transform(ids, lambda d: make(F.lit(str(seed)), F.col("entity_id"), d)).alias("xi"))
 
 
+def multinomial_entities(entities: DataFrame, draws: int, seed: int, leaf: int = 512) -> DataFrame:
+    """(entity_id, w): exact multinomial counts of as many picks as there are entities, an array over draws.
+
+    Entities hang in a binary tree of hash prefixes. Counts go down it by conditional binomials, left against right by the numbers
+    of entities below, so they sum to the number of entities in every draw; the leaves, about ``leaf`` entities each, deal
+    their count in tasks of their own. Only counts by prefix (at most 2**16) reach the driver. The answer depends on ids and seed alone.
+    """
+    keyed = materialise(entities.select("entity_id").distinct().select("entity_id", F.xxhash64("entity_id").alias("h")), "multinomial-entities")
+    n = keyed.count()
+    depth = int(min(16, max(0, np.ceil(np.log2(max(n, 1) / leaf)))))
+    prefix = F.shiftrightunsigned("h", 64 - depth).cast("int") if depth else F.lit(0)
+    size = np.zeros(1 << depth, np.int64)
+    for r in keyed.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect():
+        size[r["p"]] = r["n"]
+    count = np.full((draws, 1), n, np.int64)
+    for level in range(1, depth + 1):
+        below = size.reshape(1 << level, -1).sum(axis=1)
+        left, both = below[::2], below[::2] + below[1::2]
+        share = np.divide(left, both, out=np.zeros(len(both)), where=both > 0)
+        first = np.random.default_rng([seed, level]).binomial(count, share[None, :])
+        count = np.stack([first, count - first], axis=-1).reshape(draws, -1)
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h", "entity_id"])
+        p, m = int(pdf["p"].iloc[0]), len(pdf)
+        w = np.random.default_rng([seed, 1 << 20, p]).multinomial(count[:, p], np.full(m, 1.0 / m))
+        return pd.DataFrame({"entity_id": pdf["entity_id"], "w": list(w.T.astype(float))})
+
+    kind = entities.schema["entity_id"].dataType.simpleString()
+    return keyed.withColumn("p", prefix).groupBy("p").applyInPandas(deal, f"entity_id {kind}, w array<double>")
+
+
 def multiplier_sums(contrib: DataFrame, draws: int, seed: int, law: str = "gaussian") -> DataFrame:
     """Per draw, the sums of xi*delta and of (xi*delta)^2 over entities, as arrays over (cut, z).
 
@@ -137,21 +169,61 @@ def draw_accounting(draws: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return counts.join(F.broadcast(counts.agg(F.sum("n").alias("draws")))).withColumn("rate", F.col("n") / F.col("draws"))
 
 
-def variance_versions(contrib: DataFrame, leverage: DataFrame | None = None) -> DataFrame:
-    """Fixed, leverage-corrected (delta / sqrt(1-h), re-centred) and jackknife-scaled variances per (candidate, z)."""
+def adjusted_contributions(contrib: DataFrame) -> DataFrame:
+    """(entity_id, candidate, z, delta, hat, adjusted): hat value delta^2 / sum delta^2, delta / sqrt(1 - hat) less its mean."""
     point = ["candidate", "z"]
-    x = contrib if leverage is None else contrib.join(leverage, ["entity_id", "candidate"])
-    h = F.lit(0.0) if leverage is None else F.col("leverage")
-    x = x.withColumn("_adj", F.col("delta") / F.sqrt(1.0 - F.least(h, F.lit(0.999))))
-    s = x.groupBy(*point).agg(
-        F.count(F.lit(1)).cast("double").alias("g"), F.sum(F.col("delta") ** 2).alias("s2"), F.sum("delta").alias("s1"),
-        F.sum(F.col("_adj") ** 2).alias("a2"), F.sum("_adj").alias("a1"))
-    g = F.col("g")
-    versions = {"fixed": g / (g - 1) * F.col("s2"), "recentred": g / (g - 1) * (F.col("s2") - F.col("s1") ** 2 / g),
-                "leverage_corrected": g / (g - 1) * (F.col("a2") - F.col("a1") ** 2 / g),
-                "jackknife": (g - 1) / g * (F.col("s2") - F.col("s1") ** 2 / g) * (g / (g - 1)) ** 2}
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("version"), v.alias("variance")) for n, v in versions.items()]))
-    return s.select(*point, pairs.alias("v")).select(*point, "v.version", "v.variance")
+    total = contrib.groupBy(*point).agg(F.greatest(F.sum(F.col("delta") ** 2), F.lit(np.finfo(float).tiny)).alias("_ss"))
+    hat = F.col("delta") ** 2 / F.col("_ss")
+    x = contrib.join(F.broadcast(total), point).withColumn("hat", hat).withColumn("_adj", F.col("delta") / F.sqrt(F.greatest(1.0 - F.col("hat"), F.lit(1e-8))))
+    mean = x.groupBy(*point).agg(F.avg("_adj").alias("_m"))
+    return x.join(F.broadcast(mean), point).select("entity_id", *point, "delta", "hat", (F.col("_adj") - F.col("_m")).alias("adjusted"))
+
+
+def variance_versions(contrib: DataFrame, left_out: DataFrame, contrast: DataFrame, draws: int, seed: int, law: str = "gaussian") -> DataFrame:
+    """Multiplier draws of the statistic under five variances, per (candidate, z, version): observed value, p-value, moments and quantiles.
+
+    raw: no variance; fixed: that of the contributions; draw_specific: that of the multiplied contributions in every draw;
+    jackknife: pseudo-contributions of real leave-one-out values (entity_id, candidate, z, leave_one_out), with theirs; cr2: contributions
+    adjusted by their hat values, with theirs. Candidates and points are bounded by the design, so their tables are broadcast.
+    """
+    point = ["candidate", "z"]
+    adjusted, pseudo = adjusted_contributions(contrib), jackknife(left_out, point)
+    g = F.count(F.lit(1)).cast("double")
+    stats = adjusted.groupBy(*point).agg(g.alias("g"), (g / (g - 1.0) * F.sum(F.col("delta") ** 2)).alias("fixed"), (g / (g - 1.0) * F.sum(F.col("adjusted") ** 2)).alias("cr2"))
+    stats = stats.join(pseudo.groupBy(*point).agg(F.first("variance").alias("jackknife")), point).join(contrast.select(*point, "contrast"), point)
+    points = stats.orderBy(*point).collect()
+    numbered = stats.sparkSession.createDataFrame([(r["candidate"], r["z"], i) for i, r in enumerate(points)], "candidate long, z long, p int")
+    x = adjusted.join(pseudo.select("entity_id", *point, "pseudo"), ["entity_id", *point], "left").join(F.broadcast(numbered), point)
+    make, ids = MULTIPLIERS[law], F.sequence(F.lit(0), F.lit(draws - 1))
+    rows = x.groupBy("entity_id").agg(F.collect_list(F.struct("p", "delta", F.coalesce("pseudo", F.lit(0.0)).alias("pseudo"), "adjusted")).alias("c")).select(
+        *[F.col(f"c.{k}").alias(k) for k in ("p", "delta", "pseudo", "adjusted")], F.transform(ids, lambda d: make(F.lit(str(seed)), F.col("entity_id"), d)).alias("xi"))
+    n = len(points)
+
+    def task(batches):
+        total = np.zeros((draws, 4 * n))
+        for pdf in batches:
+            if len(pdf):
+                d = np.zeros((len(pdf), 3, n))
+                for i, r in enumerate(pdf.itertuples(index=False)):
+                    d[i][:, np.asarray(r.p)] = np.stack([r.delta, r.pseudo, r.adjusted])
+                xi = _matrix(pdf["xi"]).T
+                total += np.hstack([xi @ d.reshape(len(pdf), -1), (xi * xi) @ (d[:, 0] ** 2)])
+        yield pd.DataFrame({"draw": np.arange(draws), "v": list(total)})
+
+    sums = sum_arrays(rows.mapInPandas(task, "draw long, v array<double>"), ["draw"], "v")
+    cell = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(*[F.get("v", i + k * n).alias(c) for k, c in enumerate(("s1", "sj", "sa", "s2"))])))
+    per = sums.select("draw", cell.alias("p", "s")).select("draw", "p", "s.*").join(F.broadcast(numbered), "p").join(F.broadcast(stats), point)
+    spread = F.col("g") / (F.col("g") - 1.0) * (F.col("s2") - F.col("s1") ** 2 / F.col("g"))
+    size = F.abs("contrast")
+    versions = {"raw": (F.abs("s1"), size), "fixed": (F.abs("s1") / F.sqrt("fixed"), size / F.sqrt("fixed")),
+                "draw_specific": (F.abs("s1") / F.sqrt(F.greatest(spread, F.lit(1e-15))), size / F.sqrt("fixed")),
+                "jackknife": (F.abs("sj") / F.sqrt("jackknife"), size / F.sqrt("jackknife")), "cr2": (F.abs("sa") / F.sqrt("cr2"), size / F.sqrt("cr2"))}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("version"), a.alias("value"), b.alias("observed")) for k, (a, b) in versions.items()]))
+    long = materialise(per.select(*point, each.alias("v")).select(*point, "v.*"), "variance-draws")
+    group = [*point, "version"]
+    base = long.groupBy(*group).agg(F.first("observed").alias("observed"), finite_p(F.count_if(F.col("value") >= F.col("observed")), F.count("value")).alias("p_value"),
+                                    F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    return base.join(exact_quantiles(long, group, "value", {"q025": .025, "q05": .05, "q95": .95, "q975": .975}), group)
 
 
 # ------------------------------------------------------------------------ refit arms

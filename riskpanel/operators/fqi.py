@@ -9,6 +9,7 @@ solved where its sums are. No pass moves a panel row, and no task needs a whole
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -278,20 +279,18 @@ def _entity_moments(owner: np.ndarray, n: np.ndarray, a: np.ndarray, idx: np.nda
     return out / np.maximum(n, 1.0)[..., None]
 
 
-def entity_blocks(d: Design, rewards: Sequence[str], ref: np.ndarray | None = None, weights: DataFrame | None = None) -> DataFrame:
+def entity_blocks(d: Design, rewards: Sequence[str], ref: np.ndarray | None = None) -> DataFrame:
     """The moment table: one row per (block of entities) with every entity's Gram, right-hand-side and cross blocks by (cut, side, action).
 
     One scan of the rows, dealt by (entity, stretch of time) so that no entity needs to fit into a task. ``ref`` (cuts x 2 x 2q)
-    is the policy the cross blocks follow; later passes only add what flips against it. ``weights`` is (entity_id, w array)
-    for laws that are not a function of the entity's hash. The table is written once and read by every pass.
+    is the policy the cross blocks follow; later passes only add what flips against it. The table is written once and read by
+    every pass.
     """
     cuts, q = d.cuts, d.q
     lay = Layout(q, len(rewards))
     most = max(1, BLOCK_DOUBLES // (2 * len(cuts) * lay.size))
     stretch = F.floor(F.col("idx") / STRETCH)
     rows = d.rows.select("entity_id", "ehash", "idx", "action", "state", "next_state", "n_left", "n_right", *rewards)
-    if weights is not None:
-        rows = rows.join(weights.select("entity_id", "w"), "entity_id")
     kind = d.rows.schema["entity_id"].dataType.simpleString()
 
     def block(pdf: pd.DataFrame, first: np.ndarray) -> dict:
@@ -304,9 +303,7 @@ def entity_blocks(d: Design, rewards: Sequence[str], ref: np.ndarray | None = No
         m = _entity_moments(owner, n, a, idx, phi, phin, pdf[list(rewards)].to_numpy(float), cuts, ref)
         split = np.bincount(owner, minlength=len(n)) != n[:, 0].sum(axis=-1)
         out = {"ids": head["entity_id"].tolist(), "split": bool(split.any()), "eh": head["ehash"].to_numpy(np.int64).tobytes(), "n": n.tobytes(),
-               "owner": owner.astype(np.int32).tobytes(), "x": np.hstack([a[:, None], idx[:, None], phi[:, 1:], phin[:, 1:]]).astype(float).tobytes(), "m": m.tobytes(), "w": None}
-        if weights is not None:
-            out["w"] = _matrix(head["w"]).tobytes()
+               "owner": owner.astype(np.int32).tobytes(), "x": np.hstack([a[:, None], idx[:, None], phi[:, 1:], phin[:, 1:]]).astype(float).tobytes(), "m": m.tobytes(), "block": uuid.uuid4().hex}
         return out
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -322,11 +319,18 @@ def entity_blocks(d: Design, rewards: Sequence[str], ref: np.ndarray | None = No
         if rest is not None and len(rest):
             yield pd.DataFrame([block(rest, first)])
 
-    schema = f"ids array<{kind}>, split boolean, eh binary, n binary, owner binary, x binary, m binary, w binary"
+    schema = f"ids array<{kind}>, split boolean, eh binary, n binary, owner binary, x binary, m binary, block string"
     dealt = rows.repartition(F.col("entity_id"), stretch).sortWithinPartitions("entity_id")
     return materialise(dealt.mapInPandas(task, schema), "entity-blocks")
 
 
+def weighted_blocks(blocks: DataFrame, weights: DataFrame) -> DataFrame:
+    """The moment table with ``w``, every block's entities x draws of a table (entity_id, w array); only weights are shuffled."""
+    each = blocks.select("block", F.posexplode("ids").alias("at", "entity_id")).join(weights, "entity_id")
+    packed = each.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "w"))), lambda c: c["w"]).alias("w"))
+    return materialise(blocks.join(packed, "block"), "weighted-blocks")
+
+
 def read_block(row, cuts: int, q: int, lay: Layout, moments: bool = True) -> Block:
     eh = np.frombuffer(row.eh, np.int64)
     x = np.frombuffer(row.x).reshape(-1, 2 * q)
@@ -335,7 +339,7 @@ def read_block(row, cuts: int, q: int, lay: Layout, moments: bool = True) -> Blo
     return Block(eh, np.frombuffer(row.n).reshape(len(eh), cuts, 2), np.frombuffer(row.owner, np.int32), x[:, 0].astype(int), x[:, 1].astype(int),
                  np.hstack([one, x[:, 2:q + 1]]), np.hstack([one, x[:, q + 1:]]),
                  np.frombuffer(row.m).reshape(len(eh), cuts, 2, lay.size) if moments else None,
-                 None if w is None else np.frombuffer(w).reshape(len(eh), -1).T)
+                 None if w is None else np.vstack(w).T)
 
 
 @dataclass(frozen=True)
@@ -395,6 +399,7 @@ class Pass:
 def _each_block(p: Pass, columns: Sequence[str], work, moments: bool = True) -> DataFrame:
     """``work(block)`` summed over the blocks of a task: arrays with one row per draw."""
     cuts, lay = len(p.cuts), p.lay
+    columns = [*columns, *(["w"] if "w" in p.blocks.columns else [])]
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -424,7 +429,7 @@ def draw_sums(p: Pass) -> DataFrame:
         moved = np.einsum("be,ecv->bcv", w, flat.reshape(len(b.eh), -1, lay.size)[..., g + r:g + 2 * r], optimize=True)
         return np.concatenate([total[..., :g], total[..., g:g + r] + moved, total[..., lay.rhs:]], axis=-1).reshape(len(p.ids), -1)
 
-    return materialise(sum_arrays(_each_block(p, ["eh", "n", "owner", "x", "m", "w"], work), ["i"], "v"), "draw-sums")
+    return materialise(sum_arrays(_each_block(p, ["eh", "n", "owner", "x", "m"], work), ["i"], "v"), "draw-sums")
 
 
 def _flip_sums(p: Pass, beta: np.ndarray) -> DataFrame:
@@ -445,7 +450,7 @@ def _flip_sums(p: Pass, beta: np.ndarray) -> DataFrame:
                     out[:, j, s, a] += v[:, mine] @ outer[mine]
         return out.reshape(len(p.ids), -1)
 
-    return _each_block(p, ["eh", "n", "owner", "x", "w"], work, moments=False)
+    return _each_block(p, ["eh", "n", "owner", "x"], work, moments=False)
 
 
 def _system(p: Pass, sums: np.ndarray, moved: np.ndarray | None) -> tuple[np.ndarray, ...]:
@@ -533,10 +538,12 @@ def _score_means(models: Models) -> tuple[np.ndarray, np.ndarray]:
 
 def _pass(d: Design, rule: FitRule, rnd: Randomness, ids: Sequence[int], ref: np.ndarray | None) -> Pass:
     rewards = ("base_reward", "residual") if rnd.kind == "reward" else ("reward",)
-    key = (rewards, None if ref is None else ref.tobytes(), id(rnd.table))
+    key = (rewards, None if ref is None else ref.tobytes())
     if key not in d.cache:
-        d.cache[key] = entity_blocks(d, rewards, ref, rnd.table)
-    return Pass(d.cache[key], d.cuts, Layout(d.q, len(rewards)), rule, rnd, np.asarray(ids, dtype=int), ref)
+        d.cache[key] = entity_blocks(d, rewards, ref)
+    if rnd.table is not None and (*key, rnd.table) not in d.cache:
+        d.cache[*key, rnd.table] = weighted_blocks(d.cache[key], rnd.table)
+    return Pass(d.cache[key if rnd.table is None else (*key, rnd.table)], d.cuts, Layout(d.q, len(rewards)), rule, rnd, np.asarray(ids, dtype=int), ref)
 
 
 def draws_per_block(d: Design) -> int:
@@ -714,7 +721,7 @@ def _near_rows(p: Pass, cover: np.ndarray) -> DataFrame:
                             v = np.column_stack([b.action[at], w, margin[at] > 0, b.phi[at], b.phin[at]])
                             yield pd.DataFrame({"j": j, "s": s, "eh": b.eh[b.owner[at]], "v": list(v)})
 
-    return materialise(p.blocks.select("eh", "n", "owner", "x", "w").mapInPandas(task, "j int, s int, eh long, v array<double>"), "near-rows")
+    return materialise(p.blocks.select("eh", "n", "owner", "x").mapInPandas(task, "j int, s int, eh long, v array<double>"), "near-rows")
 
 
 def _slices(near: DataFrame, q: int) -> Iterator[tuple[dict, bool]]:

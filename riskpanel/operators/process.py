@@ -159,16 +159,17 @@ def prepare_process(design: Design, rule: FitRule, z_design: np.ndarray, bound:
     return Prepared(design, rule, models, z_design, bound, midpoint, variance, contrib)
 
 
-def jackknife(left_out: DataFrame) -> DataFrame:
-    """Pseudo-contributions of (entity_id, candidate, leave_one_out) and their variance per candidate.
+def jackknife(left_out: DataFrame, by=("candidate",)) -> DataFrame:
+    """Pseudo-contributions of (entity_id, ``by``, leave_one_out) and their variance per candidate or point.
 
     An entity without which a side is empty has no value; it counts neither as an entity nor in the mean.
     """
     v, g = F.col("leave_one_out"), F.col("_g").cast("double")
-    mean = left_out.groupBy("candidate").agg(F.avg("leave_one_out").alias("_mean"), F.count("leave_one_out").alias("_g"))
-    pseudo = left_out.join(F.broadcast(mean), "candidate").withColumn("pseudo", -(g - 1.0) / g * (v - F.col("_mean")))
-    var = pseudo.groupBy("candidate").agg((F.first("_g") / (F.first("_g") - 1.0) * F.sum(F.col("pseudo") ** 2)).alias("variance"))
-    return pseudo.join(F.broadcast(var), "candidate").select("entity_id", "candidate", "leave_one_out", "pseudo", "variance")
+    point = list(by)
+    mean = left_out.groupBy(*point).agg(F.avg("leave_one_out").alias("_mean"), F.count("leave_one_out").alias("_g"))
+    pseudo = left_out.join(F.broadcast(mean), point).withColumn("pseudo", -(g - 1.0) / g * (v - F.col("_mean")))
+    var = pseudo.groupBy(*point).agg((F.first("_g") / (F.first("_g") - 1.0) * F.sum(F.col("pseudo") ** 2)).alias("variance"))
+    return pseudo.join(F.broadcast(var), point).select("entity_id", *point, "leave_one_out", "pseudo", "variance")
 
 
 def fit_table(spark: SparkSession, design: Design, rule: FitRule, models: Models) -> DataFrame:

@@ -128,6 +128,19 @@ def shift_contributions(s: SparkSession, d: str) -> DataFrame:
     return shared_table(s, d, "shift_contributions", build)
 
 
+def shift_left_out(s: SparkSession, d: str) -> DataFrame:
+    """The mean shift without each entity: a closed form, NULL where a side is then empty."""
+    def build():
+        x = mean_shift(s, d)
+        m = x.groupBy("candidate", "z").agg(F.avg("lm").alias("ml"), F.avg("rm").alias("mr"), F.count("lm").alias("gl"), F.count("rm").alias("gr"))
+
+        def without(own: str, mean: str, g: str):
+            return F.when(F.col(own).isNull(), F.col(mean)).when(F.col(g) > 1, (F.col(g) * F.col(mean) - F.col(own)) / (F.col(g) - 1.0))
+
+        return x.join(F.broadcast(m), ["candidate", "z"]).select("entity_id", "candidate", "z", (without("lm", "ml", "gl") - without("rm", "mr", "gr")).alias("leave_one_out"))
+    return shared_table(s, d, "shift_left_out", build)
+
+
 def shift_wide(s: SparkSession, d: str) -> DataFrame:
     """One vector over (cut, z) per entity; its length is fixed by the grid."""
     slots = [F.coalesce(F.sum(F.when((F.col("candidate") == c) & (F.col("z") == z), F.col("delta"))), F.lit(0.0)) for c in R.CUTS for z in range(N_Z)]
@@ -174,6 +187,18 @@ def m3(s: SparkSession, d: str) -> DataFrame:
         p, p.design, DRAWS, Q.Randomness("weight", "exponential", SEED), True, p.models.beta[0]))
 
 
+def count_weights(s: SparkSession, d: str) -> DataFrame:
+    """Multinomial entity counts of all draws."""
+    return shared_table(s, d, "count-weights", lambda: B.multinomial_entities(PQ.panel(s, d).select("entity_id").distinct(), DRAWS, SEED))
+
+
+def m3_counts(s: SparkSession, d: str) -> DataFrame:
+    """The weighted arm under multinomial counts: whole entities drawn with replacement."""
+    p = prepared(s, d)
+    return shared_table(s, d, "m3-counts", lambda: B.refit_draws(
+        p, p.design, DRAWS, Q.Randomness("weight", "table", SEED, table=count_weights(s, d)), True, p.models.beta[0]))
+
+
 def refit_calibration(s: SparkSession, d: str, draws: DataFrame) -> DataFrame:
     p = prepared(s, d)
     return B.calibrate(B.draw_layers(draws, p.midpoint), H.layers(observed(s, d), p.midpoint))
@@ -202,13 +227,24 @@ def refit_accounting(s: SparkSession, d: str) -> DataFrame:
     return B.draw_accounting(log.groupBy("arm", "draw").agg(F.when(failed, F.lit("fqi did not converge")).alias("message")), ["arm"])
 
 
+def left_out(s: SparkSession, d: str) -> DataFrame:
+    """Contrasts at all points of the models refitted without each entity."""
+    p = prepared(s, d)
+    return shared_table(s, d, "left-out", lambda: Q.leave_one_out(p.design, RULE, p.models, p.z_design))
+
+
 def jackknife(s: SparkSession, d: str) -> DataFrame:
-    """Leave-one-entity-out refits of every cut as pseudo-contributions and their variance."""
-    def build():
-        p = prepared(s, d)
-        left = Q.leave_one_out(p.design, RULE, p.models, p.z_design[:1])
-        return H.jackknife(left.select("entity_id", "candidate", F.element_at("value", 1).alias("leave_one_out")))
-    return shared_table(s, d, "jackknife", build)
+    """Leave-one-entity-out refits of every cut as pseudo-contributions and their variance, at the first point."""
+    return H.jackknife(left_out(s, d).select("entity_id", "candidate", F.element_at("value", 1).alias("leave_one_out")))
+
+
+def fitted_versions(s: SparkSession, d: str) -> DataFrame:
+    """The five variances of the fitted contrast at all points of every cut."""
+    p = prepared(s, d)
+    contrib = H.long_contributions(p.contrib, p.design.cuts, len(p.z_design)).select("entity_id", F.col("candidate").cast("long"), F.col("z").cast("long"), "delta")
+    points = F.transform(F.sequence(F.lit(1), F.lit(len(p.z_design))), lambda i: F.element_at("value", i))
+    out = left_out(s, d).select("entity_id", "candidate", F.posexplode(points).alias("z", "leave_one_out")).withColumn("z", F.col("z").cast("long"))
+    return B.variance_versions(contrib, out, observed(s, d), DRAWS, SEED)
 
 
 def jacobian_check(s: SparkSession, d: str) -> DataFrame:
@@ -259,6 +295,48 @@ def sweep(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def grid_sweep(s: SparkSession, d: str) -> DataFrame:
+    """One change at a time from the fitted process: evaluation points, number of draws, clusters of single transitions, pooled weights."""
+    p = prepared(s, d)
+    half = len(p.z_design) // 2  # points are all states under action 0, then all under action 1
+
+    def points(n: int) -> np.ndarray:
+        return np.r_[0:n, half:half + n]
+
+    def prep(z: np.ndarray, variance: np.ndarray, models=None, rule=RULE, contrib=None) -> H.Prepared:
+        bound = dict(zip(p.design.cuts, p.bound))
+        return H.Prepared(p.design, rule, models or p.models, z, bound, p.midpoint, variance, contrib)
+
+    def told(variant: str, value: int, one: H.Prepared, draws: DataFrame | None = None) -> DataFrame:
+        table = one.table(s)
+        row = H.change_point(table).crossJoin(H.layers(table, p.midpoint).select("D4"))
+        if draws is not None:
+            row = row.crossJoin(B.calibrate(B.draw_layers(draws, p.midpoint), H.layers(table, p.midpoint)).where("layer = 'D4'").select("p_value", "valid_draws"))
+        else:
+            row = row.withColumn("p_value", F.lit(None).cast("double")).withColumn("valid_draws", F.lit(None).cast("long"))
+        return row.select(F.lit(variant).alias("variant"), F.lit(value).cast("long").alias("value"), "tau_hat", "statistic", "D4", "p_value", "valid_draws")
+
+    out = []
+    for n in sorted({1, half // 4, half // 2, half} - {0}):
+        at = points(n)
+        out.append(told("states", n, prep(p.z_design[at], p.variance[:, :, at])))
+    everything, proc = prep(p.z_design, p.variance), _variance_counts(s, d)
+    for n in (49, 99, 199):
+        draws = B.multiplier_process(p.contrib.select("entity_id", "delta"), proc, p.design.cuts, len(p.z_design), n, SEED, "M0")
+        out.append(told("draws", n, everything, draws))
+    single = H.transition_cluster_variance(p.design, RULE, p.models, p.z_design)
+    out.append(told("transition_clusters", 1, prep(p.z_design, single[None])))
+    pooled_rule = Q.FitRule(gamma=RULE.gamma, alpha=RULE.alpha, estimator="pooled")
+    pooled = Q.fit(p.design, pooled_rule)
+    contrib = materialise(Q.contributions(p.design, pooled_rule, pooled, p.z_design), "pooled")
+    out.append(told("pooled_entities", 1, prep(p.z_design, Q.process_table(p.design, pooled, contrib, p.z_design), pooled, pooled_rule)))
+    out.append(told("pooled_transitions", 1, prep(p.z_design, H.transition_cluster_variance(p.design, pooled_rule, pooled, p.z_design)[None], pooled, pooled_rule)))
+    rows = out[0]
+    for o in out[1:]:
+        rows = rows.unionByName(o)
+    return rows
+
+
 def _values(s: SparkSession, d: str, side: int = 0) -> DataFrame:
     p = prepared(s, d)
     return H.row_values(p.design, RULE, p.models, p.midpoint, side)
@@ -308,6 +386,15 @@ dr AS (SELECT draw, candidate, z, {raw} AS raw, {norm} AS normalized, boundary *
 dl AS (SELECT draw, {_LAY.format(raw='raw')} FROM dr GROUP BY 1)"""
 
 
+VERSIONS = f""",
+lo AS (SELECT s.entity_id, s.candidate, s.z, CASE WHEN lm IS NULL THEN ml WHEN gl > 1 THEN (gl * ml - lm) / (gl - 1.0) END - CASE WHEN rm IS NULL THEN mr WHEN gr > 1 THEN (gr * mr - rm) / (gr - 1.0) END AS v
+    FROM ms s JOIN mm USING (candidate, z)),
+jk AS (SELECT entity_id, candidate, z, v, g, -(g - 1.0) / g * (v - m) AS pseudo FROM (SELECT *, count(v) OVER w AS g, avg(v) OVER w AS m FROM lo WINDOW w AS (PARTITION BY candidate, z))),
+vj AS (SELECT candidate, z, any_value(g) / (any_value(g) - 1.0) * sum(pseudo * pseudo) AS vj FROM jk GROUP BY 1, 2),
+ht AS (SELECT *, delta * delta / greatest(sum(delta * delta) OVER (PARTITION BY candidate, z), {float(np.finfo(float).tiny)!r}) AS hat FROM ct),
+a0 AS (SELECT *, delta / sqrt(greatest(1 - hat, 1e-8)) AS a FROM ht),
+ad AS (SELECT *, a - avg(a) OVER (PARTITION BY candidate, z) AS adj FROM a0),
+va AS (SELECT candidate, z, count(*) / (count(*) - 1.0) * sum(adj * adj) AS va FROM ad GROUP BY 1, 2)"""
 _CAL = """,
 ob AS (SELECT """ + _LAY.format(raw="contrast") + """ FROM pr),
 lo AS (UNPIVOT dl ON "D0", "D1", "D2", "D3", "D4" INTO NAME layer VALUE t),
@@ -387,6 +474,7 @@ QUERIES: dict[str, Query] = {
             SELECT e.*, action_composition_range, gram_distance, gram_trace FROM e JOIN rg USING (entity_id) JOIN gd USING (entity_id)"""),
             "action_rate state_cov_trace state_mean_distance state_range_mean action_composition_range gram_distance gram_trace", "transitions"), "H21"),
     "sensitivity_sweep": query(sweep, None, "H22"),
+    "grid_sweep": query(grid_sweep, None, "H8 H22"),
     "multiplier_draws": query(
         lambda s, d: B.multipliers(PQ.panel(s, d).select("entity_id").distinct(), 50, SEED).select("entity_id", F.posexplode("xi").alias("draw", "xi")),
         rounded(with_(DAILY, f" SELECT entity_id, draw, {md5_normal(repr(str(SEED) + ':') + ' || entity_id || ' + repr(':') + ' || draw')} AS xi FROM (SELECT DISTINCT entity_id FROM panel) CROSS JOIN (SELECT unnest(generate_series(0, 49)) AS draw)"), "xi", "draw"), "I1"),
@@ -398,14 +486,27 @@ QUERIES: dict[str, Query] = {
     "m1_calibration": query(lambda s, d: calibrated(s, d, "M1"), rounded(with_(SHIFT + draws_sql("M1") + _CAL, "SELECT * FROM cal"), "observed critical_value p_value"), "I3 I13"),
     "m0_rademacher_calibration": query(lambda s, d: calibrated(s, d, "M0", "rademacher"), rounded(with_(SHIFT + draws_sql("M0", "rademacher") + _CAL, "SELECT * FROM cal"), "observed critical_value p_value"), "I1 I2"),
     "m0_webb_calibration": query(lambda s, d: calibrated(s, d, "M0", "webb"), rounded(with_(SHIFT + draws_sql("M0", "webb") + _CAL, "SELECT * FROM cal"), "observed critical_value p_value"), "I1 I2"),
+    "hat_values": query(
+        lambda s, d: B.adjusted_contributions(shift_contributions(s, d)),
+        rounded(with_(SHIFT + VERSIONS, "SELECT entity_id, candidate, z, delta, hat, adj AS adjusted FROM ad"), "delta hat adjusted", "candidate z", digits=8), "I15", digits=8),
+    "shift_jackknife": query(
+        lambda s, d: H.jackknife(shift_left_out(s, d), ("candidate", "z")),
+        rounded(with_(SHIFT + VERSIONS, "SELECT entity_id, candidate, z, v AS leave_one_out, pseudo, vj AS variance FROM jk JOIN vj USING (candidate, z)"),
+                "leave_one_out pseudo variance", "candidate z", digits=8), "H16 I15", digits=8),
     "variance_versions": query(
-        lambda s, d: B.variance_versions(shift_contributions(s, d), _leverage(s, d)),
-        rounded(with_(SHIFT, """, lv AS (SELECT entity_id, candidate, n_left / (SELECT max(n_left) FROM sd) / 2 AS leverage FROM sd),
-            ad AS (SELECT *, delta / sqrt(1 - leverage) AS adj FROM ct JOIN lv USING (entity_id, candidate)),
-            sv AS (SELECT candidate, z, count(*) AS g, sum(delta * delta) AS s2, sum(delta) AS s1, sum(adj * adj) AS a2, sum(adj) AS a1 FROM ad GROUP BY 1, 2)
-            SELECT candidate, z, 'fixed' AS version, g / (g - 1) * s2 AS variance FROM sv UNION ALL SELECT candidate, z, 'recentred', g / (g - 1) * (s2 - s1 * s1 / g) FROM sv
-            UNION ALL SELECT candidate, z, 'leverage_corrected', g / (g - 1) * (a2 - a1 * a1 / g) FROM sv
-            UNION ALL SELECT candidate, z, 'jackknife', g / (g - 1) * (s2 - s1 * s1 / g) FROM sv"""), "variance", "candidate z", digits=8), "I15", digits=8),
+        lambda s, d: B.variance_versions(shift_contributions(s, d), shift_left_out(s, d), shift_contrast(s, d), DRAWS, SEED),
+        rounded(with_(SHIFT + draws_sql("M0") + VERSIONS, """, s3 AS (SELECT draw, candidate, z, count(*) AS g, sum(xi * delta) AS s1, sum(xi * xi * delta * delta) AS s2, sum(xi * coalesce(pseudo, 0)) AS sj, sum(xi * adj) AS sa
+                FROM xi JOIN ad USING (entity_id) JOIN jk USING (entity_id, candidate, z) GROUP BY 1, 2, 3),
+            vd AS (SELECT candidate, z, abs(s1) AS raw, abs(s1) / sqrt(variance) AS fixed, abs(s1) / sqrt(greatest(s3.g / (s3.g - 1.0) * (s2 - s1 * s1 / s3.g), 1e-15)) AS draw_specific,
+                abs(sj) / sqrt(vj) AS jackknife, abs(sa) / sqrt(va) AS cr2 FROM s3 JOIN cv USING (candidate, z) JOIN vj USING (candidate, z) JOIN va USING (candidate, z)),
+            un AS (UNPIVOT vd ON raw, fixed, draw_specific, jackknife, cr2 INTO NAME version VALUE value),
+            od AS (SELECT candidate, z, abs(ml - mr) AS raw, abs(ml - mr) / sqrt(variance) AS fixed, abs(ml - mr) / sqrt(variance) AS draw_specific, abs(ml - mr) / sqrt(vj) AS jackknife, abs(ml - mr) / sqrt(va) AS cr2
+                FROM mm JOIN cv USING (candidate, z) JOIN vj USING (candidate, z) JOIN va USING (candidate, z)),
+            uo AS (UNPIVOT od ON raw, fixed, draw_specific, jackknife, cr2 INTO NAME version VALUE observed)
+            SELECT candidate, z, version, any_value(observed) AS observed, (1 + count(*) FILTER (value >= observed)) / (count(*) + 1) AS p_value, avg(value) AS mean, stddev_samp(value) AS sd,
+                quantile_cont(value, 0.025) AS q025, quantile_cont(value, 0.05) AS q05, quantile_cont(value, 0.95) AS q95, quantile_cont(value, 0.975) AS q975
+            FROM un JOIN uo USING (candidate, z, version) GROUP BY 1, 2, 3"""), "observed p_value mean sd q025 q05 q95 q975", "candidate z"), "I15"),
+    "fitted_variance_versions": query(fitted_versions, None, "I15 H16"),
     "m0_moments": query(
         lambda s, d: B.process_moments(shift_draws(s, d, "M0")),
         rounded(with_(SHIFT + draws_sql("M0"), """, c AS (SELECT *, joint - avg(joint) OVER (PARTITION BY candidate, z) AS e FROM dr)
@@ -424,19 +525,18 @@ QUERIES: dict[str, Query] = {
     "m2_zero_draw": query(lambda s, d: B.zero_draw(prepared(s, d), *null_design(s, d)), None, "I7"),
     "m3_draws": query(m3, None, "I8"),
     "m3_calibration": query(lambda s, d: refit_calibration(s, d, m3(s, d)), None, "I8 I13"),
+    "multinomial_totals": query(
+        lambda s, d: count_weights(s, d).select(F.posexplode("w").alias("draw", "w")).groupBy("draw").agg(
+            F.count(F.lit(1)).alias("entities"), F.sum("w").cast("long").alias("total"), F.count_if((F.col("w") < 0) | (F.col("w") != F.floor("w"))).alias("odd")),
+        with_(DAILY, f" SELECT draw::BIGINT AS draw, count(*)::BIGINT AS entities, count(*)::BIGINT AS total, 0::BIGINT AS odd FROM (SELECT DISTINCT entity_id FROM panel) CROSS JOIN (SELECT unnest(generate_series(0, {DRAWS - 1})) AS draw) GROUP BY 1"), "I8"),
+    "m3_multinomial_draws": query(m3_counts, None, "I8"),
+    "m3_multinomial_calibration": query(lambda s, d: refit_calibration(s, d, m3_counts(s, d)), None, "I8 I13"),
     "parametric_null": query(parametric_null, None, "I9"),
     "bridge_null": query(bridge_null, None, "I11"),
     "refit_accounting": query(refit_accounting, None, "I12"),
 }
 
 
-def _leverage(s: SparkSession, d: str) -> DataFrame:
-    """Half the relative left length of an entity: a bounded stand-in for its hat value."""
-    sides = S.entity_sides(PN.support_view(PQ.panel(s, d)), R.CUTS, START, END)
-    top = sides.agg(F.max("n_left").alias("_m"))
-    return sides.join(F.broadcast(top)).select("entity_id", "candidate", (F.col("n_left") / F.col("_m") / 2.0).alias("leverage"))
-
-
 def forget() -> None:
     """Drop the fitted objects of this process (they are rebuilt on next use)."""
     _CACHE.clear()

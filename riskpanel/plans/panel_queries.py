@@ -71,7 +71,7 @@ def strict_panel(s: SparkSession, d: str) -> DataFrame:
 
 
 def screened(s: SparkSession, d: str, rule: SupportRule = PANEL_RULE) -> DataFrame:
-    return S.screen(PN.support_view(panel(s, d)), R.CUTS, *R.WINDOW, rule, R.STATE_DIM)
+    return shared_table(s, d, f"screened-{rule}", lambda: S.screen(PN.support_view(panel(s, d)), R.CUTS, *R.WINDOW, rule, R.STATE_DIM))
 
 
 def _jitter(day) -> "F.Column":

@@ -66,7 +66,7 @@ def shared_table(spark: SparkSession, scope: str, label: str, build: Callable[[]
     """A derived table that several queries of one application read; built on first use."""
     key = (spark.sparkContext.applicationId, scope, label, source_state(spark, scope))
     if key not in _SHARED:
-        _SHARED[key] = materialise(build(), label)
+        _SHARED[key] = materialise(build(), "".join(c if c.isalnum() else "-" for c in label)[:40])
     return _SHARED[key]
 
 

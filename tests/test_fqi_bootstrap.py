@@ -358,3 +358,29 @@ def test_projection_against_least_squares(spark, draws):
     xi = Q.keyed_draws("gaussian", 3, np.arange(draws), np.array([h[i] for i in ids]))
     want = np.linalg.lstsq(xi - xi.mean(axis=0), y - y.mean(axis=0), rcond=1e-10)[0]
     assert np.allclose([got[i] for i in ids], want, atol=1e-8)
+
+
+def test_multinomial_counts(spark):
+    ids = spark.range(3000).select(F.col("id").alias("entity_id"))
+    rows = B.multinomial_entities(ids.repartition(7), 40, 5, leaf=100).toPandas().sort_values("entity_id")
+    w = np.vstack(rows.w)
+    assert w.shape == (3000, 40) and (w.sum(axis=0) == 3000).all() and (w >= 0).all() and (w == np.floor(w)).all()
+    assert abs(w.var() - 1.0) < 0.05 and abs((w == 0).mean() - np.exp(-1)) < 0.01  # one pick an entity on average
+    other = B.multinomial_entities(ids, 40, 5, leaf=100).toPandas().sort_values("entity_id")
+    assert (np.vstack(other.w) == w).all()
+    few = np.vstack(B.multinomial_entities(ids.limit(3), 4000, 6).toPandas().w)
+    assert (few.sum(axis=0) == 3).all() and abs((few == 3).mean() - 1 / 27) < 0.01
+
+
+def test_weights_from_a_table_against_direct_fits(spark, fitted):
+    rows, design, models = fitted
+    ids = sorted({r[0] for r in rows})
+    w = np.random.default_rng(3).integers(0, 3, (len(ids), 4)).astype(float) + (np.arange(len(ids)) < 2)[:, None]
+    table = spark.createDataFrame([(e, x.tolist()) for e, x in zip(ids, w, strict=True)], "entity_id long, w array<double>")
+    drawn = Q.fit(design, Q.FitRule(gamma=0.9, alpha=1.0, tolerance=1e-9), Q.Randomness("weight", "table", 0, table=table), range(4), models.beta[0])
+    for b in range(4):
+        for s in (0, 1):
+            beta, big, _ = reference_side(_side(rows, CUTS[0], s), weights=dict(zip(ids, w[:, b], strict=True)), tol=1e-11)
+            assert np.abs(drawn.beta[b, 0, s] - beta).max() < 1e-6 and np.abs(drawn.W[b, 0, s] - big).max() < 1e-6
+    prep = B.refit_draws(_Prep, design, 4, Q.Randomness("weight", "table", 0, table=table), True, models.beta[0])
+    assert prep.count() == 4 * 2 * 2 and prep.where("joint IS NULL").count() == 0
