@@ -289,7 +289,7 @@ def restricted_null(panel: DataFrame, start: int, end: int, state_dim: int, rule
     beta = models.beta[0, 0, 0]
     offset = np.linalg.solve(models.extra["gram"][0, 0, 0], rule.alpha * beta)
     q = design.q
-    values = transition_residuals(row_values(design, rule, models, end, 0))
+    values = transition_residuals(row_values(design, rule, models).where("side = 'left'"))
     best = F.greatest("next_q0", "next_q1")
 
     def dot(coef: np.ndarray) -> Column:

@@ -188,40 +188,40 @@ def fit_table(spark: SparkSession, design: Design, rule: FitRule, models: Models
                                        "coefficient_delta double, gram_rank long, ridge_condition double, w_condition double, beta array<double>")
 
 
-def row_values(design: Design, rule: FitRule, models: Models, cut: int, side: int) -> DataFrame:
-    """Q-values, greedy action, residual and Q-gap of the rows of one side under its model."""
-    j = design.cuts.index(cut)
-    beta, q, gamma = models.beta[0, j, side], design.q, rule.gamma
-
-    def dot(vec: str, coef: np.ndarray) -> Column:
-        terms = F.lit(float(coef[0]))
+def row_values(design: Design, rule: FitRule, models: Models) -> DataFrame:
+    """Q-values, greedy action, residual and Q-gap of every row under the model of its side, for every cut; one scan."""
+    q, gamma = design.q, rule.gamma
+    coef = [(int(c), side, [float(x) for x in models.beta[0, j, s]]) for j, c in enumerate(design.cuts) for s, side in enumerate(("left", "right"))]
+    table = design.rows.sparkSession.createDataFrame(coef, "candidate long, side string, beta array<double>")
+    cut = F.explode(F.arrays_zip(F.array(*[F.lit(int(c)).cast("long") for c in design.cuts]).alias("candidate"), F.col("inv_n").alias("inv_n")))
+
+    def dot(vec: str, first: int) -> Column:
+        total = F.get("beta", F.lit(first))
         for i in range(1, q):
-            terms = terms + F.lit(float(coef[i])) * F.element_at(vec, i)
-        return terms
-
-    keep = F.col("idx") < cut if side == 0 else F.col("idx") >= cut
-    out = design.rows.where(keep).select(
-        "entity_id", F.col("idx").alias("elapsed_index"), "action", "reward", F.element_at("inv_n", j + 1).alias("inv_n"),
-        dot("state", beta[:q]).alias("q0"), dot("state", beta[q:]).alias("q1"),
-        dot("next_state", beta[:q]).alias("next_q0"), dot("next_state", beta[q:]).alias("next_q1"))
+            total = total + F.get("beta", F.lit(first + i)) * F.element_at(vec, i)
+        return total
+
+    rows = design.rows.select("entity_id", F.col("idx").alias("elapsed_index"), "action", "reward", "state", "next_state", cut.alias("c")).select("*", "c.candidate", "c.inv_n").drop("c")
+    rows = rows.withColumn("side", F.when(F.col("elapsed_index") < F.col("candidate"), "left").otherwise("right")).join(F.broadcast(table), ["candidate", "side"])
+    out = rows.select("candidate", "side", "entity_id", "elapsed_index", "action", "reward", "inv_n", dot("state", 0).alias("q0"), dot("state", q).alias("q1"),
+                      dot("next_state", 0).alias("next_q0"), dot("next_state", q).alias("next_q1"))
     fitted = F.when(F.col("action") == 1, F.col("q1")).otherwise(F.col("q0"))
     return out.withColumn("greedy", (F.col("next_q1") > F.col("next_q0")).cast("int")).withColumn(
         "residual", F.col("reward") + gamma * F.greatest("next_q0", "next_q1") - fitted)
 
 
-def fit_diagnostics(values: DataFrame) -> DataFrame:
-    """Q summaries, residual moments, greedy counts and entities missing an action."""
+def fit_diagnostics(values: DataFrame, keys=("candidate", "side")) -> DataFrame:
+    """Per model: Q summaries, residual moments, greedy counts and entities missing an action."""
     from .quantiles import exact_quantile_table
 
-    base = values.agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("entity_id").alias("entities"), F.sum("action").alias("action1"),
-        F.avg("residual").alias("residual_mean"), F.stddev_pop("residual").alias("residual_sd"), F.sum("greedy").alias("greedy1"),
-        F.count_if((F.abs("q0") > 1e6) | (F.abs("q1") > 1e6)).alias("extreme_q"))
-    missing = values.groupBy("entity_id").agg(F.min("action").alias("lo"), F.max("action").alias("hi")).agg(
-        F.count_if(F.col("lo") == 1).alias("entities_missing_action0"), F.count_if(F.col("hi") == 0).alias("entities_missing_action1"))
-    q = exact_quantile_table(values.withColumn("_k", F.lit(1)), ["_k"], {
-        "q0": F.col("q0"), "q1": F.col("q1"), "gap": F.col("q1") - F.col("q0")}, {"min": 0.0, "median": 0.5, "max": 1.0}).drop("_k")
-    return base.join(missing).join(q)
+    by = list(keys)
+    base = values.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("action").alias("action1"), F.avg("residual").alias("residual_mean"), F.stddev_pop("residual").alias("residual_sd"),
+        F.sum("greedy").alias("greedy1"), F.count_if((F.abs("q0") > 1e6) | (F.abs("q1") > 1e6)).alias("extreme_q"))
+    missing = values.groupBy(*by, "entity_id").agg(F.min("action").alias("lo"), F.max("action").alias("hi")).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("entities"), F.count_if(F.col("lo") == 1).alias("entities_missing_action0"), F.count_if(F.col("hi") == 0).alias("entities_missing_action1"))
+    q = exact_quantile_table(values, by, {"q0": F.col("q0"), "q1": F.col("q1"), "gap": F.col("q1") - F.col("q0")}, {"min": 0.0, "median": 0.5, "max": 1.0})
+    return base.join(missing, by).join(q, by)
 
 
 def range_extrapolation(rows: DataFrame, dim: int) -> DataFrame:
@@ -263,34 +263,35 @@ def entity_design(panel: DataFrame, cuts, dim: int) -> DataFrame:
                     gap.alias("gram_distance"), trace.alias("gram_trace"))
 
 
-def estimating_equation(design: Design, rule: FitRule, betas: np.ndarray, cut: int, side: int) -> np.ndarray:
-    """Weighted score minus the ridge term for many coefficient vectors in one scan of the rows."""
-    from .fqi import _matrix, sum_arrays
+def estimating_equations(design: Design, rule: FitRule, betas: np.ndarray) -> np.ndarray:
+    """Weighted score minus the ridge term for many coefficients (k x cuts x 2 x 2q) in one scan of the rows."""
+    from .fqi import _arrays, sum_arrays
 
-    j, q, gamma, k = design.cuts.index(cut), design.q, rule.gamma, len(betas)
-    g = float(design.entities[j, side])
+    q, gamma, cuts = design.q, rule.gamma, design.cuts
+    k, g = len(betas), np.maximum(design.entities, 1)
 
     def task(batches):
         import pandas as pd
 
-        acc = np.zeros((k, 2 * q))
+        acc = np.zeros(betas.shape)
         for pdf in batches:
             if not len(pdf):
                 continue
-            sel = (pdf["idx"].to_numpy() < cut) == (side == 0)
-            pdf = pdf[sel]
-            if not len(pdf):
-                continue
-            s, sn = _matrix(pdf["state"]), _matrix(pdf["next_state"])
-            x = action_rows(s, pdf["action"].to_numpy())
-            one = np.hstack([np.ones((len(sn), 1)), sn])
-            best = np.maximum(betas[:, :q] @ one.T, betas[:, q:] @ one.T)
-            w = _matrix(pdf["inv_n"])[:, j] / g
-            acc += (w[None, :] * (pdf["reward"].to_numpy(float)[None, :] + gamma * best - betas @ x.T)) @ x
-        yield pd.DataFrame({"k": [0], "v": [acc.ravel()]})
+            x = _arrays(pdf)
+            full = action_rows(x["phi"][:, 1:], x["a"])
+            for j, cut in enumerate(cuts):
+                for s in (0, 1):
+                    at = (x["idx"] < cut) == (s == 0)
+                    b = betas[:, j, s]
+                    best = np.maximum(b[:, :q] @ x["phin"][at].T, b[:, q:] @ x["phin"][at].T)
+                    w = x["inv"][at, j] / g[j, s]
+                    acc[:, j, s] += (w[None, :] * (x["r"][at][None, :] + gamma * best - b @ full[at].T)) @ full[at]
+        yield pd.DataFrame({"i": np.arange(k), "v": list(acc.reshape(k, -1))})
 
-    got = sum_arrays(design.rows.mapInPandas(task, "k int, v array<double>"), ["k"], "v").collect()
-    return np.asarray(got[0]["v"]).reshape(k, 2 * q) - rule.alpha * betas
+    out = np.zeros(betas.shape)
+    for r in sum_arrays(design.rows.mapInPandas(task, "i long, v array<double>"), ["i"], "v").collect():
+        out[r["i"]] = np.asarray(r["v"]).reshape(betas.shape[1:])
+    return out - rule.alpha * betas
 
 
 def action_rows(s: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -299,52 +300,56 @@ def action_rows(s: np.ndarray, a: np.ndarray) -> np.ndarray:
     return action_design(s, a)
 
 
-def numerical_jacobian(design: Design, rule: FitRule, beta: np.ndarray, cut: int, side: int, step: float = 1e-6) -> np.ndarray:
-    """Negative Jacobian of the estimating equation by central differences, all columns in one scan."""
-    dim = len(beta)
-    shifts = np.vstack([beta + step * np.eye(dim), beta - step * np.eye(dim)])
-    psi = estimating_equation(design, rule, shifts, cut, side)
-    return -((psi[:dim] - psi[dim:]) / (2.0 * step)).T
+def numerical_jacobian(design: Design, rule: FitRule, beta: np.ndarray, step: float = 1e-6) -> np.ndarray:
+    """Negative Jacobian (cuts x 2 x 2q x 2q) of the estimating equations at beta (cuts x 2 x 2q) by central differences, all in one scan."""
+    dim = beta.shape[-1]
+    shift = step * np.eye(dim)[:, None, None, :]
+    psi = estimating_equations(design, rule, np.concatenate([beta[None] + shift, beta[None] - shift]))
+    return -np.moveaxis((psi[:dim] - psi[dim:]) / (2.0 * step), 0, -1)
 
 
-def linearised_error(design: Design, rule: FitRule, beta0: np.ndarray, w0: np.ndarray, cut: int, side: int) -> np.ndarray:
-    """First-order error against a reference coefficient vector and influence matrix."""
-    return np.linalg.solve(w0, estimating_equation(design, rule, beta0[None, :], cut, side)[0])
+def linearised_error(design: Design, rule: FitRule, beta0: np.ndarray) -> np.ndarray:
+    """First-order distance of the fit from reference coefficients (cuts x 2 x 2q): Jacobian there, solved for the equation's value there."""
+    return np.linalg.solve(numerical_jacobian(design, rule, beta0), estimating_equations(design, rule, beta0[None])[0][..., None])[..., 0]
 
 
-def greedy_diagnostics(values: DataFrame, design: Design, models: Models, cut: int, side: int, epsilons=(1e-4, 1e-3, 1e-2),
-                       gaps=(1e-4, 1e-3, 1e-2), directions: int = 8, seed: int = 7) -> DataFrame:
-    """Share of small next-state Q-gaps, and how often small coefficient moves switch the greedy action."""
-    from .fqi import keyed_draws
+def greedy_diagnostics(design: Design, models: Models, epsilons=(1e-4, 1e-3, 1e-2), gaps=(1e-4, 1e-3, 1e-2), directions: int = 8, seed: int = 7) -> DataFrame:
+    """Per cut and side: share of small next-state Q-gaps, and how often small coefficient moves switch the greedy action; one scan."""
+    from .fqi import _arrays, keyed_draws, sum_arrays
 
-    dim = 2 * design.q
-    d = keyed_draws("gaussian", seed, np.arange(directions), np.arange(dim))
+    q, cuts, beta = design.q, design.cuts, models.beta[0]
+    d = keyed_draws("gaussian", seed, np.arange(directions), np.arange(2 * q))
     d /= np.linalg.norm(d, axis=1, keepdims=True)
-    rows = design.rows.where(F.col("idx") < cut if side == 0 else F.col("idx") >= cut)
-    beta, q = models.beta[0, design.cuts.index(cut), side], design.q
+    moves = np.concatenate([e * np.concatenate([d, -d]) for e in epsilons])  # (levels x directions x signs) x 2q
+    gap_moves = moves[:, q:] - moves[:, :q]
 
-    def gap(b: np.ndarray) -> Column:
-        out = F.lit(float(b[q] - b[0]))
-        for i in range(1, q):
-            out = out + F.lit(float(b[q + i] - b[i])) * F.element_at("next_state", i)
-        return out
-
-    base = gap(beta)
-    aggs = [F.avg((F.abs(base) <= g).cast("double")).alias(f"gap{i}") for i, g in enumerate(gaps)]
-    names = []
-    for e, eps in enumerate(epsilons):
-        for k in range(directions):
-            for sign, tag in ((1.0, "p"), (-1.0, "m")):
-                names.append((e, f"s{e}_{k}{tag}"))
-                aggs.append(F.avg(((gap(beta + sign * eps * d[k]) > 0) != (base > 0)).cast("double")).alias(names[-1][1]))
-    one = rows.agg(*aggs)
-    parts = [F.struct(F.lit("gap").alias("kind"), F.lit(float(g)).alias("level"), F.col(f"gap{i}").alias("mean"),
-                      F.col(f"gap{i}").alias("max")) for i, g in enumerate(gaps)]
-    for e, eps in enumerate(epsilons):
-        mine = [F.col(n) for i, n in names if i == e]
-        parts.append(F.struct(F.lit("switch").alias("kind"), F.lit(float(eps)).alias("level"),
-                              (sum(mine, F.lit(0.0)) / len(mine)).alias("mean"), F.greatest(*mine).alias("max")))
-    return one.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
+    def task(batches):
+        import pandas as pd
+
+        acc = np.zeros((len(cuts), 2, 1 + len(gaps) + len(moves)))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = _arrays(pdf)
+            for j, cut in enumerate(cuts):
+                for s in (0, 1):
+                    rows = x["phin"][(x["idx"] < cut) == (s == 0)]
+                    base = rows @ (beta[j, s, q:] - beta[j, s, :q])
+                    acc[j, s, 0] += len(rows)
+                    acc[j, s, 1:1 + len(gaps)] += [(np.abs(base) <= g).sum() for g in gaps]
+                    acc[j, s, 1 + len(gaps):] += ((base[None, :] + gap_moves @ rows.T > 0) != (base > 0)[None, :]).sum(axis=1)
+        yield pd.DataFrame({"k": [0], "v": [acc.ravel()]})
+
+    got = sum_arrays(design.rows.mapInPandas(task, "k int, v array<double>"), ["k"], "v").collect()[0]["v"]
+    acc = np.asarray(got).reshape(len(cuts), 2, -1)
+    rows = []
+    for j, c in enumerate(cuts):
+        for s, side in enumerate(("left", "right")):
+            share = acc[j, s, 1:] / max(acc[j, s, 0], 1.0)
+            rows += [(int(c), side, "gap", float(g), float(v), float(v)) for g, v in zip(gaps, share)]
+            switch = share[len(gaps):].reshape(len(epsilons), -1)
+            rows += [(int(c), side, "switch", float(e), float(v.mean()), float(v.max())) for e, v in zip(epsilons, switch)]
+    return design.rows.sparkSession.createDataFrame(rows, "candidate long, side string, kind string, level double, mean double, max double")
 
 
 def transition_cluster_variance(design: Design, rule: FitRule, models: Models, z_design: np.ndarray) -> np.ndarray:

@@ -88,6 +88,53 @@ def scan(s: SparkSession, d: str) -> DataFrame:
     return out.join(F.broadcast(H.change_point(proc).select("tau_hat")))
 
 
+# --------------------------------------- the engine where the answer has a closed form
+CLOSED = Q.FitRule(gamma=0.0, alpha=1.0)
+CLOSED_STATES = (0.5, 2.0)
+
+
+def closed(s: SparkSession, d: str) -> tuple[Q.Design, Q.Models, np.ndarray]:
+    """Without discount and with one state coordinate a model is two ridge lines, which SQL can state; the code path is that of every fit."""
+    def build():
+        one = PQ.panel(s, d).withColumn("state", F.slice("state", 1, 1)).withColumn("next_state", F.slice("next_state", 1, 1))
+        design = Q.prepare(one, R.CUTS, START, END, 1, "closed")
+        x = np.array(CLOSED_STATES)[:, None]
+        return design, Q.fit(design, CLOSED), np.vstack([Q.action_design(x, np.zeros(2)), Q.action_design(x, np.ones(2))])
+    return _once(s, d, "closed", build)
+
+
+def closed_contributions(s: SparkSession, d: str) -> DataFrame:
+    design, models, z = closed(s, d)
+    return H.long_contributions(Q.contributions(design, CLOSED, models, z), design.cuts, len(z)).select(
+        "entity_id", F.col("candidate").cast("long"), F.col("z").cast("long"), "delta")
+
+
+def closed_process(s: SparkSession, d: str) -> DataFrame:
+    design, models, z = closed(s, d)
+    bound = {r["candidate"]: r["boundary"] for r in shift_bounds(s, d).collect()}
+    contrib = Q.contributions(design, CLOSED, models, z)
+    prep = H.Prepared(design, CLOSED, models, z, bound, MID, Q.process_table(design, models, contrib, z), contrib)
+    return prep.table(s)
+
+
+def closed_fit(s: SparkSession, d: str) -> DataFrame:
+    design, models, _ = closed(s, d)
+    return H.fit_table(s, design, CLOSED, models).select("candidate", "side", "status", "converged", F.posexplode("beta").alias("coordinate", "beta"))
+
+
+def closed_jacobian(s: SparkSession, d: str) -> DataFrame:
+    """Negative Jacobian of the estimating equations by differences, and the influence matrix, entry by entry."""
+    design, models, _ = closed(s, d)
+    num, w = H.numerical_jacobian(design, CLOSED, models.beta[0]), models.W[0]
+    rows = [(int(c), side, a, b, float(num[j, k, a, b]), float(w[j, k, a, b])) for j, c in enumerate(design.cuts) for k, side in enumerate(("left", "right")) for a in range(4) for b in range(4)]
+    return s.createDataFrame(rows, "candidate long, side string, a long, b long, jacobian double, influence double")
+
+
+def closed_values(s: SparkSession, d: str) -> DataFrame:
+    design, models, _ = closed(s, d)
+    return H.row_values(design, CLOSED, models).drop("inv_n")
+
+
 # ------------------------------------------------- exact contributions from the panel
 FEATURES = ("s0", "s1", "s2", "reward")
 N_Z = len(FEATURES)
@@ -248,16 +295,15 @@ def fitted_versions(s: SparkSession, d: str) -> DataFrame:
 
 
 def jacobian_check(s: SparkSession, d: str) -> DataFrame:
+    """Every cut and side: the influence matrix against differences, the equation at the fit, and the fit's first-order distance from the common model."""
     p = prepared(s, d)
-    rows = []
-    for side in (0, 1):
-        j = p.design.cuts.index(p.midpoint)
-        beta, w = p.models.beta[0, j, side], p.models.W[0, j, side]
-        num = H.numerical_jacobian(p.design, RULE, beta, p.midpoint, side)
-        psi = H.estimating_equation(p.design, RULE, beta[None], p.midpoint, side)[0]
-        err = H.linearised_error(p.design, RULE, beta, w, p.midpoint, side)
-        rows.append((("left", "right")[side], float(np.abs(num - w).max()), float(np.linalg.norm(psi)), float(np.linalg.norm(err))))
-    return s.createDataFrame(rows, "side string, jacobian_error double, equation_norm double, linearised_norm double")
+    beta, null = p.models.beta[0], null_design(s, d)[1]
+    error = np.abs(H.numerical_jacobian(p.design, RULE, beta) - p.models.W[0]).max(axis=(-1, -2))
+    psi = np.linalg.norm(H.estimating_equations(p.design, RULE, beta[None])[0], axis=-1)
+    linear, whole = H.linearised_error(p.design, RULE, null), beta - null
+    rows = [(int(c), side, float(error[j, k]), float(psi[j, k]), float(np.linalg.norm(linear[j, k])), float(np.linalg.norm(whole[j, k])), float(np.linalg.norm(whole[j, k] - linear[j, k])))
+            for j, c in enumerate(p.design.cuts) for k, side in enumerate(("left", "right"))]
+    return s.createDataFrame(rows, "candidate long, side string, jacobian_error double, equation_norm double, linearised_norm double, distance_norm double, remainder_norm double")
 
 
 def sweep(s: SparkSession, d: str) -> DataFrame:
@@ -337,9 +383,9 @@ def grid_sweep(s: SparkSession, d: str) -> DataFrame:
     return rows
 
 
-def _values(s: SparkSession, d: str, side: int = 0) -> DataFrame:
+def _values(s: SparkSession, d: str) -> DataFrame:
     p = prepared(s, d)
-    return H.row_values(p.design, RULE, p.models, p.midpoint, side)
+    return H.row_values(p.design, RULE, p.models)
 
 
 # ------------------------------------------------------------------------------- SQL
@@ -403,7 +449,48 @@ cal AS (SELECT layer, any_value(observed) AS observed, count(t) AS valid_draws,
     (1 + count(*) FILTER (t >= observed)) / (count(t) + 1) AS p_value, (1 + count(*) FILTER (t >= observed)) / (count(t) + 1) <= 0.05 AS reject
     FROM lo JOIN oo USING (layer) GROUP BY 1)"""
 
+CLOSED_SQL = SHIFT + """,
+sr AS (SELECT entity_id, elapsed_index, action, s0, reward, candidate, (elapsed_index >= candidate)::INT AS sd FROM panel CROSS JOIN (VALUES (6), (9), (12), (15), (18), (21), (24)) c(candidate)),
+sn AS (SELECT *, count(*) OVER (PARTITION BY entity_id, candidate, sd) AS n FROM sr),
+sg AS (SELECT candidate, sd, count(DISTINCT entity_id) AS g FROM sr GROUP BY 1, 2),
+sw AS (SELECT s.*, g, 1.0::DOUBLE / (g * n) AS w FROM sn s JOIN sg USING (candidate, sd)),
+ac AS (SELECT candidate, sd, act AS action, coalesce(sum(w) FILTER (action = act), 0) AS m0, coalesce(sum(w * s0) FILTER (action = act), 0) AS m1, coalesce(sum(w * s0 * s0) FILTER (action = act), 0) AS m2,
+    coalesce(sum(w * reward) FILTER (action = act), 0) AS r0, coalesce(sum(w * s0 * reward) FILTER (action = act), 0) AS r1 FROM sw CROSS JOIN (VALUES (0), (1)) a(act) GROUP BY 1, 2, 3),
+be AS (SELECT *, (m0 + 1) * (m2 + 1) - m1 * m1 AS dt, ((m2 + 1) * r0 - m1 * r1) / ((m0 + 1) * (m2 + 1) - m1 * m1) AS b0, ((m0 + 1) * r1 - m1 * r0) / ((m0 + 1) * (m2 + 1) - m1 * m1) AS b1 FROM ac),
+eu AS (SELECT s.entity_id, s.candidate, s.sd, b.action, any_value(n) AS n, any_value(g) AS g, coalesce(sum(reward - b0 - b1 * s0) FILTER (s.action = b.action), 0) / any_value(n) AS u0,
+    coalesce(sum((reward - b0 - b1 * s0) * s0) FILTER (s.action = b.action), 0) / any_value(n) AS u1 FROM sw s JOIN be b USING (candidate, sd) GROUP BY 1, 2, 3, 4),
+ec AS (SELECT *, u0 - avg(u0) OVER w AS c0, u1 - avg(u1) OVER w AS c1 FROM eu WINDOW w AS (PARTITION BY candidate, sd, action)),
+et2 AS (SELECT entity_id, candidate, sd, action, ((m2 + 1) * c0 - m1 * c1) / dt / g AS e0, ((m0 + 1) * c1 - m1 * c0) / dt / g AS e1 FROM ec JOIN be USING (candidate, sd, action)),
+zs AS (SELECT * FROM (VALUES (0, 0, 0.5::DOUBLE), (1, 0, 2.0), (2, 1, 0.5), (3, 1, 2.0)) z(z, action, x)),
+cd AS (SELECT entity_id, candidate, z, sum(CASE WHEN sd = 0 THEN 1 ELSE -1 END * (e0 + e1 * x)) AS delta FROM et2 JOIN zs USING (action) GROUP BY 1, 2, 3),
+cz AS (SELECT candidate, z, sum(CASE WHEN sd = 0 THEN 1 ELSE -1 END * (b0 + b1 * x)) AS contrast FROM be JOIN zs USING (action) GROUP BY 1, 2),
+cvz AS (SELECT candidate, z, count(*) / (count(*) - 1.0) * sum(delta * delta) AS variance FROM cd GROUP BY 1, 2)"""
+CLOSED_ROWS = """,
+bb AS (SELECT candidate, sd, max(b0) FILTER (action = 0) AS b00, max(b1) FILTER (action = 0) AS b01, max(b0) FILTER (action = 1) AS b10, max(b1) FILTER (action = 1) AS b11 FROM be GROUP BY 1, 2),
+nx AS (SELECT entity_id, elapsed_index, n0 FROM panel),
+rv AS (SELECT candidate, CASE WHEN sd = 0 THEN 'left' ELSE 'right' END AS side, entity_id, elapsed_index, action, reward, b00 + b01 * s0 AS q0, b10 + b11 * s0 AS q1, b00 + b01 * n0 AS next_q0, b10 + b11 * n0 AS next_q1,
+    (b10 + b11 * n0 > b00 + b01 * n0)::BIGINT AS greedy, reward - CASE action WHEN 1 THEN b10 + b11 * s0 ELSE b00 + b01 * s0 END AS residual
+    FROM sw JOIN bb USING (candidate, sd) JOIN nx USING (entity_id, elapsed_index))"""
+_SIDE = "CASE WHEN sd = 0 THEN 'left' ELSE 'right' END AS side"
+
 QUERIES: dict[str, Query] = {
+    "closed_fit": query(closed_fit, rounded(with_(CLOSED_SQL, f"""SELECT candidate, {_SIDE}, 'TESTABLE' AS status, true AS converged, 2 * action + k AS coordinate, CASE k WHEN 0 THEN b0 ELSE b1 END AS beta
+        FROM be CROSS JOIN (VALUES (0), (1)) v(k)"""), "beta", "candidate coordinate"), "H1 H2 H3 H7 H15 H23"),
+    "closed_contributions": query(closed_contributions, rounded(with_(CLOSED_SQL, "SELECT * FROM cd"), "delta", "candidate z", digits=8), "H5 H6 H8", digits=8),
+    "closed_process": query(closed_process, rounded(with_(CLOSED_SQL, """SELECT candidate, z, contrast, variance, boundary, contrast / sqrt(variance) AS normalized, boundary * contrast / sqrt(variance) AS joint,
+        'TESTABLE' AS status FROM cz JOIN cvz USING (candidate, z) JOIN bd USING (candidate)"""), "contrast variance boundary normalized joint", "candidate z"), "H3 H5 H6 H8 H9 H14"),
+    "closed_jacobian": query(closed_jacobian, rounded(with_(CLOSED_SQL, f"""SELECT candidate, {_SIDE}, a, b, CASE WHEN a // 2 <> b // 2 THEN 0.0 WHEN a = b THEN 1.0 + CASE a % 2 WHEN 0 THEN m0 ELSE m2 END ELSE m1 END AS jacobian, jacobian AS influence
+        FROM be CROSS JOIN range(4) p(a) CROSS JOIN range(4) q(b) WHERE action = a // 2"""), "jacobian influence", "candidate a b", digits=5), "H5 H17", digits=5),
+    "closed_values": query(closed_values, rounded(with_(CLOSED_SQL + CLOSED_ROWS, "SELECT * FROM rv"), "reward q0 q1 next_q0 next_q1 residual", "candidate elapsed_index action greedy"), "H4 H7"),
+    "closed_diagnostics": query(
+        lambda s, d: H.fit_diagnostics(closed_values(s, d)),
+        rounded(with_(CLOSED_SQL + CLOSED_ROWS, """, em AS (SELECT candidate, side, entity_id, min(action) AS lo, max(action) AS hi FROM rv GROUP BY 1, 2, 3),
+            e AS (SELECT candidate, side, count(*) AS entities, count(*) FILTER (lo = 1) AS entities_missing_action0, count(*) FILTER (hi = 0) AS entities_missing_action1 FROM em GROUP BY 1, 2)
+            SELECT candidate, side, count(*) AS n, any_value(entities) AS entities, sum(action) AS action1, avg(residual) AS residual_mean, stddev_pop(residual) AS residual_sd, sum(greedy) AS greedy1,
+                count(*) FILTER (abs(q0) > 1e6 OR abs(q1) > 1e6) AS extreme_q, any_value(entities_missing_action0) AS entities_missing_action0, any_value(entities_missing_action1) AS entities_missing_action1,
+                min(q0) AS q0_min, median(q0) AS q0_median, max(q0) AS q0_max, min(q1) AS q1_min, median(q1) AS q1_median, max(q1) AS q1_max, min(q1 - q0) AS gap_min, median(q1 - q0) AS gap_median, max(q1 - q0) AS gap_max
+            FROM rv JOIN e USING (candidate, side) GROUP BY 1, 2"""),
+            "residual_mean residual_sd q0_min q0_median q0_max q1_min q1_median q1_max gap_min gap_median gap_max", "candidate n entities action1 greedy1 extreme_q entities_missing_action0 entities_missing_action1"), "H7 H23"),
     "fit_table": query(lambda s, d: H.fit_table(s, prepared(s, d).design, RULE, prepared(s, d).models).drop("beta"), None, "H1 H2 H3 H5 H7 H15 H23"),
     "fitted_process": query(observed, None, "H3 H6 H8 H9 H14 H15"),
     "change_scan": query(scan, None, "G9 H3 H12 H13 I2 I13"),
@@ -431,7 +518,7 @@ QUERIES: dict[str, Query] = {
         rounded(with_(SHIFT, """SELECT candidate, nominal, nominal * sqrt((2.0 * left_transitions_ess * right_transitions_ess / (left_transitions_ess + right_transitions_ess))
             / (SELECT g FROM tot)) AS boundary FROM bd JOIN screened USING (candidate)"""), "nominal boundary", "candidate"), "H10"),
     "entity_contributions": query(
-        shift_contributions, rounded(with_(SHIFT, "SELECT * FROM ct"), "delta", "candidate z", digits=8), "H6 H8", digits=8),
+        shift_contributions, rounded(with_(SHIFT, "SELECT * FROM ct"), "delta", "candidate z", digits=8), "I2", digits=8),
     "shift_process": query(shift_process, rounded(with_(SHIFT, "SELECT * FROM pr"), "contrast variance boundary normalized joint", "candidate z clusters"), "H9 H14"),
     "candidate_maxima": query(
         lambda s, d: H.candidate_maxima(shift_process(s, d)),
@@ -454,7 +541,7 @@ QUERIES: dict[str, Query] = {
             joint AS "D4" FROM pr"""), "D0 D1 D2 D3 D4", "candidate z"), "H14"),
     "jackknife": query(jackknife, None, "H16"),
     "jacobian_check": query(jacobian_check, None, "H17 H18"),
-    "greedy_diagnostics": query(lambda s, d: H.greedy_diagnostics(_values(s, d), prepared(s, d).design, prepared(s, d).models, prepared(s, d).midpoint, 0), None, "H19"),
+    "greedy_diagnostics": query(lambda s, d: H.greedy_diagnostics(prepared(s, d).design, prepared(s, d).models), None, "H19"),
     "entity_centred_reward": query(
         lambda s, d: H.transition_residuals(PQ.panel(s, d).select("entity_id", "elapsed_index", "reward"), "reward"),
         rounded(with_(DAILY, "SELECT entity_id, elapsed_index, reward, reward - avg(reward) OVER (PARTITION BY entity_id) AS centred FROM panel"), "reward centred", "elapsed_index"), "H20"),

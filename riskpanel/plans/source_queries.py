@@ -47,6 +47,34 @@ def stored_transitions(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(path)
 
 
+# Which child stream an event type is written as, and its attributes.
+XML_STREAMS = {"view": ("glucose_level", "value"), "click": ("meal", "carbs"), "purchase": ("bolus", "dose"), "signup": ("basal", "value"), "error": ("stressors", None)}
+
+
+def event_documents(s: SparkSession, d: str) -> str:
+    """Event XML of the events table: one document per entity and half of the month, one folder a split."""
+    clock = F.date_format("ts", X.TIME_FORMAT)
+    later = F.date_format(F.col("ts") + F.expr("interval 30 minutes"), X.TIME_FORMAT)
+    cell = F.struct("ts", "event_id", clock.alias("begin"), later.alias("end"), F.col("value").cast("string").alias("value"))
+    e = R.table(s, d, "events").select("user_id", "event_type", F.when(F.dayofmonth("ts") <= 15, "training").otherwise("testing").alias("split"), cell.alias("e"))
+
+    def stream(kind: str, tag: str, attr: str | None):
+        def one(c):
+            times = [c["begin"].alias("_ts_begin"), c["end"].alias("_ts_end")] if tag == "bolus" else [c["begin"].alias("_ts")]
+            return F.struct(*times, *([] if attr is None else [c["value"].alias(f"_{attr}")]))
+        return F.struct(F.transform(F.array_sort(F.collect_list(F.when(F.col("event_type") == kind, F.col("e")))), one).alias("event")).alias(tag)
+
+    docs = e.groupBy(F.col("user_id").cast("string").alias("_id"), "split").agg(*[stream(kind, *how) for kind, how in XML_STREAMS.items()])
+    path = _folder(s, "event-xml")
+    for split in ("training", "testing"):
+        docs.where(F.col("split") == split).drop("split").write.format("xml").option("rootTag", "patients").option("rowTag", "patient").save(f"{path}/all-{split}.xml")
+    return path
+
+
+def event_xml(s: SparkSession, d: str) -> DataFrame:
+    return X.read_events(s, event_documents(s, d) + "/*")
+
+
 def manifest_status(s: SparkSession, d: str) -> DataFrame:
     """Drift between two states of a folder with a file a line number: 3 changed, 4 gone, 5 new."""
     lines = R.table(s, d, "lineitem").select("l_linenumber", "l_quantity")
@@ -80,7 +108,15 @@ def check_values(s: SparkSession, d: str) -> DataFrame:
     return shared_table(s, d, "check_values", build)
 
 
+XML_SQL = """WITH x AS (SELECT user_id::VARCHAR AS entity_id, CASE WHEN day(ts) <= 15 THEN 'training' ELSE 'testing' END AS split, event_type, event_id, ts, value FROM events),
+    o AS (SELECT *, row_number() OVER (PARTITION BY entity_id, split, event_type ORDER BY ts, event_id) - 1 AS ordinal FROM x)
+    SELECT entity_id, split, CASE event_type WHEN 'view' THEN 'observation' WHEN 'click' THEN 'exposure' WHEN 'purchase' THEN 'action' WHEN 'signup' THEN 'schedule' ELSE 'context' END AS stream, ordinal,
+        date_trunc('second', ts)::TIMESTAMP AS ts_begin, (date_trunc('second', ts) + CASE WHEN event_type = 'purchase' THEN INTERVAL 30 MINUTE ELSE INTERVAL 0 MINUTE END)::TIMESTAMP AS ts_end,
+        CASE WHEN event_type <> 'error' THEN value END AS value, CASE event_type WHEN 'click' THEN '' WHEN 'purchase' THEN 'normal' WHEN 'error' THEN 'stressor' END AS kind,
+        'point' AS phase, NULL::DOUBLE AS extra FROM o WHERE event_type = 'error' OR value IS NOT NULL"""
+
 QUERIES: dict[str, Query] = {
+    "event_xml": query(event_xml, rounded(XML_SQL, "value extra", "ordinal"), "A1 A2 A3 A4"),
     "tagged_scan": query(
         lambda s, d: s.read.parquet(f"{d}/events.parquet").select(
             F.regexp_extract(F.col("_metadata.file_path"), r"([a-z]+)\.parquet", 1).alias("source")).groupBy("source").agg(F.count(F.lit(1)).alias("n")),

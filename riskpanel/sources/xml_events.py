@@ -21,11 +21,14 @@ POINT_CONTEXT = {"finger_stick": "finger_stick", "hypo_event": "hypo_event", "ex
 INTERVAL_CONTEXT = ("work", "illness", "sleep")
 
 
+CORRUPT = "_corrupt"
+
+
 def _schema(row_tag_id: str) -> T.StructType:
     def events(attrs) -> T.StructType:
         one = T.StructType([T.StructField(f"_{a}", T.StringType()) for a in attrs])
         return T.StructType([T.StructField("event", T.ArrayType(one))])
-    fields = [T.StructField(row_tag_id, T.StringType())]
+    fields = [T.StructField(row_tag_id, T.StringType()), T.StructField(CORRUPT, T.StringType())]
     fields += [T.StructField(tag, events(attrs)) for tag, (_, attrs) in STREAMS.items()]
     fields += [T.StructField(tag, events(("ts",))) for tag in POINT_CONTEXT]
     fields += [T.StructField(tag, events(("ts_begin", "ts_end"))) for tag in INTERVAL_CONTEXT]
@@ -37,53 +40,57 @@ def _time(c: Column) -> Column:
 
 
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Raw documents under ``path``, tagged with the split named in each file's name."""
-    raw = spark.read.format("xml").option("rowTag", "patient").option("mode", "PERMISSIVE").schema(_schema("_id")).load(path)
+    """Raw documents under ``path``, tagged with the split named in each file's or folder's name; ``_corrupt`` holds what does not parse."""
+    raw = spark.read.format("xml").option("rowTag", "patient").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(_schema("_id")).load(path)
     return raw.withColumn("split", split_of(F.col("_metadata.file_path"))).withColumn("entity_id", F.coalesce("_id", F.lit("unknown")))
 
 
 def split_of(file_path: Column) -> Column:
-    return F.when(file_path.rlike("(?i)-testing\\.xml$"), "testing").when(file_path.rlike("(?i)-training\\.xml$"), "training").otherwise("unknown")
+    return F.when(file_path.rlike("(?i)-testing\\.xml(/|$)"), "testing").when(file_path.rlike("(?i)-training\\.xml(/|$)"), "training").otherwise("unknown")
+
+
+def corrupt_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(split, entity_id, document) of documents that do not parse; ``read_events`` takes nothing from them."""
+    return scan_documents(spark, path).where(F.col(CORRUPT).isNotNull()).select("split", "entity_id", F.col(CORRUPT).alias("document"))
+
+
+def _entry(i: Column, stream: str, begin: Column, end: Column, number: Column | None, kind: Column, phase: str = "point", extra: Column | None = None,
+           open_end: bool = True) -> Column:
+    """One event of any stream as text fields; an end left blank is the begin, where that is allowed."""
+    none = F.lit(None).cast("string")
+    blank = end.isNull() | (end == "")
+    return F.struct(F.lit(stream).alias("stream"), i.cast("long").alias("ordinal"), begin.alias("begin"),
+                    F.when(~blank, end).otherwise(begin if open_end else none).alias("end"), (none if number is None else number).alias("number"),
+                    F.lit(number is not None).alias("needs_number"), kind.cast("string").alias("kind"), F.lit(phase).alias("phase"), (none if extra is None else extra).alias("extra"))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """All streams as rows ``(entity_id, split, stream, ordinal, ts_begin, ts_end, value, kind, phase, extra)``.
+    """All streams as rows ``(entity_id, split, stream, ordinal, ts_begin, ts_end, value, kind, phase, extra)``, from one scan.
 
     Rows whose required attributes are missing or do not parse are dropped; an end time defaults to
-    the begin time; interval context becomes one begin and one end row.
+    the begin time; interval context becomes one begin and one end row. Documents that do not parse give no rows.
     """
-    docs = scan_documents(spark, path)
-    parts = []
-    for tag, (stream, attrs) in STREAMS.items():
-        e = docs.select("entity_id", "split", F.posexplode(F.col(f"{tag}.event")).alias("ordinal", "e"))
-        begin = F.col("e._ts_begin") if "ts_begin" in attrs else F.col("e._ts")
-        end = F.col("e._ts_end") if "ts_end" in attrs else begin
-        number = F.col({"bolus": "e._dose", "meal": "e._carbs"}.get(tag, "e._value"))
-        kind = F.coalesce(F.col("e._type"), F.lit("normal")) if tag == "bolus" else (F.coalesce(F.col("e._type"), F.lit("")) if "type" in attrs else F.lit(None).cast("string"))
-        extra = finite_or_null(F.col("e._bwz_carb_input")) if tag == "bolus" else F.lit(None).cast("double")
-        blank_end = end.isNull() | (end == "")
-        rows = e.select("entity_id", "split", F.lit(stream).alias("stream"), F.col("ordinal").cast("long").alias("ordinal"), _time(begin).alias("ts_begin"),
-                        F.when(blank_end, _time(begin)).otherwise(_time(end)).alias("ts_end"), number.try_cast("double").alias("value"), kind.alias("kind"),
-                        F.lit("point").alias("phase"), extra.alias("extra"), blank_end.alias("_open"))
-        if tag == "temp_basal":
-            rows = rows.where(~F.col("_open"))
-        parts.append(rows.where(F.col("ts_begin").isNotNull() & F.col("ts_end").isNotNull() & F.col("value").isNotNull()).drop("_open"))
-
-    def context(tag: str, attr: str, kind: str, phase: str) -> DataFrame:
-        e = docs.select("entity_id", "split", F.posexplode(F.col(f"{tag}.event")).alias("ordinal", "e"))
-        t = _time(F.col(f"e.{attr}"))
-        return e.select("entity_id", "split", F.lit("context").alias("stream"), F.col("ordinal").cast("long").alias("ordinal"), t.alias("ts_begin"), t.alias("ts_end"),
-                        F.lit(None).cast("double").alias("value"), F.lit(kind).alias("kind"), F.lit(phase).alias("phase"), F.lit(None).cast("double").alias("extra")).where(t.isNotNull())
-
-    for tag, kind in POINT_CONTEXT.items():
-        parts.append(context(tag, "_ts", kind, "point"))
-    for tag in INTERVAL_CONTEXT:
-        parts.append(context(tag, "_ts_begin", tag, "begin"))
-        parts.append(context(tag, "_ts_end", tag, "end"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    none = F.lit(None).cast("string")
+
+    def stream(tag: str, name: str, attrs) -> Column:
+        def one(e: Column, i: Column) -> Column:
+            begin = e["_ts_begin"] if "ts_begin" in attrs else e["_ts"]
+            kind = F.coalesce(e["_type"], F.lit("normal" if tag == "bolus" else "")) if "type" in attrs else none
+            return _entry(i, name, begin, e["_ts_end"] if "ts_end" in attrs else begin, e[{"bolus": "_dose", "meal": "_carbs"}.get(tag, "_value")], kind,
+                          extra=e["_bwz_carb_input"] if tag == "bolus" else None, open_end=tag != "temp_basal")
+        return F.transform(F.col(f"{tag}.event"), one)
+
+    def context(tag: str, attr: str, kind: str, phase: str) -> Column:
+        return F.transform(F.col(f"{tag}.event"), lambda e, i: _entry(i, "context", e[attr], e[attr], None, F.lit(kind), phase))
+
+    lists = [stream(tag, name, attrs) for tag, (name, attrs) in STREAMS.items()]
+    lists += [context(tag, "_ts", kind, "point") for tag, kind in POINT_CONTEXT.items()]
+    lists += [context(tag, f"_ts_{phase}", tag, phase) for tag in INTERVAL_CONTEXT for phase in ("begin", "end")]
+    docs = scan_documents(spark, path).where(F.col(CORRUPT).isNull())
+    rows = docs.select("entity_id", "split", F.inline(F.flatten(F.filter(F.array(*lists), lambda x: x.isNotNull()))))
+    out = rows.select("entity_id", "split", "stream", "ordinal", _time(F.col("begin")).alias("ts_begin"), _time(F.col("end")).alias("ts_end"),
+                      F.col("number").try_cast("double").alias("value"), "kind", "phase", finite_or_null(F.col("extra")).alias("extra"), "needs_number")
+    return out.where(F.col("ts_begin").isNotNull() & F.col("ts_end").isNotNull() & (F.col("value").isNotNull() | ~F.col("needs_number"))).drop("needs_number")
 
 
 def merge_splits(training: DataFrame, testing: DataFrame) -> DataFrame:

@@ -111,8 +111,11 @@ def test_duplicating_one_entity_leaves_the_fit_unchanged(spark, fitted):
 
 def test_influence_matrix_is_the_numerical_jacobian(fitted):
     _, design, models = fitted
-    num = H.numerical_jacobian(design, RULE, models.beta[0, 0, 1], CUTS[0], 1)
-    assert np.abs(num - models.W[0, 0, 1]).max() < 1e-6
+    num = H.numerical_jacobian(design, RULE, models.beta[0])
+    assert np.abs(num - models.W[0]).max() < 1e-6
+    assert np.linalg.norm(H.estimating_equations(design, RULE, models.beta)[0], axis=-1).max() < 1e-4
+    near = models.beta[0] + 1e-4
+    assert np.abs(H.linearised_error(design, RULE, near) - (models.beta[0] - near)).max() < 1e-5
 
 
 def test_unit_weights_reproduce_the_observed_fit_and_random_weights_the_direct_one(fitted):

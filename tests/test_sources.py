@@ -44,6 +44,24 @@ def test_event_xml(spark):
     assert merged.select("split").distinct().count() == 1 and merged.count() == len(e)
 
 
+def test_corrupt_documents_are_listed_and_give_no_rows(spark):
+    d = _folder()
+    for name, text in (("77-ws-training.xml", DOC.replace("<meal>", "<meal")), ("78-ws-training.xml", DOC.replace('"77"', '"78"'))):
+        with open(f"{d}/{name}", "w", encoding="utf-8") as h:
+            h.write(text)
+    assert {r["entity_id"] for r in X.read_events(spark, d).collect()} == {"78"}
+    bad = X.corrupt_documents(spark, d).collect()
+    assert len(bad) == 1 and "77" in bad[0]["document"] and bad[0]["split"] == "training"
+
+
+def test_all_streams_come_from_one_scan(spark):
+    d = _folder()
+    with open(f"{d}/77-ws-training.xml", "w", encoding="utf-8") as h:
+        h.write(DOC)
+    plan = X.read_events(spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
 def test_replicate_csv_and_manifest(spark):
     d = _folder()
     df = spark.createDataFrame([(1, 0.5, " TRUE"), (2, None, "false"), (3, 0.25, "")], "key long, p double, flag string")
