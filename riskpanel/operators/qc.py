@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import cases, minutes_between, ratio
+from ..functions.columns import cases, hash_uniform, minutes_between, ratio
 from ..params import FEATURES, KEYS
+from ..session import materialise
+from .fqi import _matrix, sum_arrays
 from .gaps import locate
 from .quantiles import cumulative_cells, exact_quantile_table, exact_quantiles
 from .timeline import CHUNK, chunked, running
@@ -195,30 +200,108 @@ EXTREMES = (0.005, 0.995)
 SUPPORT_PROBS = (0.01, 0.99)
 
 
+@dataclass(frozen=True)
+class CrossFit:
+    """Logistic models (folds + 1) x (1 + features): model k leaves out fold k, the last one leaves out nothing."""
+
+    beta: np.ndarray
+    gradient: np.ndarray  # norm of every model's penalised score at its coefficients
+    passes: int
+
+
+def cross_fitted_logistic(rows: DataFrame, n_folds: int, penalty: float = 1.0, tolerance: float = 1e-8, passes: int = 60) -> CrossFit:
+    """Newton's method for all leave-a-fold-out models and the full one together; (x array, y, fold) in, intercept not penalised.
+
+    A pass over the rows adds up, keyed by model, objective, score and Hessian at that model's own coefficients; a step that does not
+    lower a model's objective is halved. Only these sums, (folds + 1) x (1 + features)^2 numbers, reach the driver.
+    """
+    head = rows.agg(F.max(F.size("x")).alias("p"), F.count(F.lit(1)).alias("n"), F.count_distinct("y").alias("classes")).first()
+    if head["n"] == 0 or head["classes"] < 2:
+        raise ValueError("training rows contain a single action; the score is not identifiable")
+    p, k = head["p"] + 1, n_folds + 1
+    ridge = penalty * np.diag(np.r_[0.0, np.ones(p - 1)])
+
+    def sums(beta: np.ndarray) -> np.ndarray:
+        def task(batches):
+            acc = np.zeros((k, 1 + p + p * p))
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x = np.hstack([np.ones((len(pdf), 1)), _matrix(pdf["x"])])
+                y, eta = pdf["y"].to_numpy(float), x @ beta.T
+                use = pdf["fold"].to_numpy()[:, None] != np.arange(k)[None, :]
+                q = 0.5 * (1.0 + np.tanh(eta / 2.0))
+                acc[:, 0] += ((np.logaddexp(0.0, eta) - y[:, None] * eta) * use).sum(axis=0)
+                acc[:, 1:1 + p] += ((q - y[:, None]) * use).T @ x
+                w = q * (1.0 - q) * use
+                for m in range(k):
+                    acc[m, 1 + p:] += (x.T @ (w[:, m, None] * x)).ravel()
+            yield pd.DataFrame({"m": np.arange(k), "v": list(acc)})
+
+        out = np.zeros((k, 1 + p + p * p))
+        for r in sum_arrays(rows.select("x", "y", "fold").mapInPandas(task, "m long, v array<double>"), ["m"], "v").collect():
+            out[r["m"]] = r["v"]
+        return out
+
+    beta, kept, step = np.zeros((k, p)), np.zeros((k, p)), np.zeros((k, p))
+    best, norm, done = np.full(k, np.inf), np.full(k, np.inf), np.zeros(k, bool)
+    for number in range(1, passes + 1):
+        got = sums(beta)
+        for m in np.flatnonzero(~done):
+            slope = got[m, 1:1 + p] + ridge @ beta[m]
+            value = got[m, 0] + 0.5 * beta[m] @ ridge @ beta[m]
+            if not np.isfinite(value) or value > best[m] + 1e-12 * abs(best[m]):
+                step[m] /= 2.0
+            else:
+                kept[m], best[m], norm[m] = beta[m], value, np.linalg.norm(slope)
+                done[m] = norm[m] <= tolerance * max(1.0, head["n"] ** 0.5)
+                step[m] = 0.0 if done[m] else np.linalg.lstsq(got[m, 1 + p:].reshape(p, p) + ridge, slope, rcond=None)[0]
+            beta[m] = kept[m] - step[m]
+        if done.all():
+            break
+    return CrossFit(kept, norm, number)
+
+
+def entity_fold(n_folds: int) -> Column:
+    return F.floor(hash_uniform("fold", F.col("entity_id")) * n_folds).cast("int")
+
+
+def scored(rows: DataFrame, fit: CrossFit) -> DataFrame:
+    """``propensity`` of (x, fold) rows under the model that left their fold out."""
+    table = rows.sparkSession.createDataFrame([(m, [float(v) for v in b]) for m, b in enumerate(fit.beta)], "fold int, beta array<double>")
+    eta = F.aggregate(F.zip_with("x", F.slice("beta", 2, F.size("x")), lambda a, b: a * b), F.get("beta", F.lit(0)), lambda a, v: a + v)
+    return rows.join(F.broadcast(table), "fold").withColumn("propensity", 1.0 / (1.0 + F.exp(-eta))).drop("beta")
+
+
+def propensity_rows(rows: DataFrame, features: Sequence[str], n_folds: int) -> DataFrame:
+    """(keys, tau_t, action, x, y, fold): folds of training rows are whole entities, testing rows belong to the full model."""
+    fold = F.when(F.col("split") == "training", entity_fold(n_folds)).otherwise(F.lit(n_folds))
+    return rows.select(*K, "tau_t", "action", F.array(*[F.col(f).cast("double") for f in features]).alias("x"), F.col("action").cast("double").alias("y"), fold.alias("fold"))
+
+
 def propensity_scores(rows: DataFrame, features: Sequence[str], n_folds: int = 6, c: float = 1.0) -> DataFrame:
     """Training rows scored out of fold (folds are whole entities), testing rows by the full model."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    fold = F.pmod(F.xxhash64("entity_id"), F.lit(n_folds)).cast("int")
-    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(
-        rows.withColumn("label", F.col("action").cast("double")).withColumn("_fold", fold)).persist()
-
-    def fitted(train: DataFrame):
-        n = train.count()
-        return LogisticRegression(regParam=1.0 / (c * n), standardization=False, maxIter=2000, tol=1e-7).fit(train)
-
-    training = data.where(F.col("split") == "training")
-    keep = [*K, "tau_t", "action"]
-    score = vector_to_array("probability")[1].alias("propensity")
-    out = fitted(training).transform(data.where(F.col("split") == "testing")).select(
-        *keep, score, F.lit("trained_on_training_split").alias("prediction_mode"))
-    for i in range(n_folds):
-        model = fitted(training.where(F.col("_fold") != i))
-        out = out.unionByName(model.transform(training.where(F.col("_fold") == i)).select(
-            *keep, score, F.lit("group_cross_fitted").alias("prediction_mode")))
-    return out
+    data = materialise(propensity_rows(rows, features, n_folds), "propensity-rows")
+    fit = cross_fitted_logistic(data.where("split = 'training'"), n_folds, 1.0 / c)
+    mode = F.when(F.col("split") == "training", "group_cross_fitted").otherwise("trained_on_training_split")
+    return scored(data.where(F.col("split").isin("training", "testing")), fit).select(*K, "tau_t", "action", "propensity", mode.alias("prediction_mode"))
+
+
+def score_equations(rows: DataFrame, features: Sequence[str], n_folds: int = 6, c: float = 1.0) -> DataFrame:
+    """(model, feature, n, moment): mean of feature x score plus the penalty's share over a model's own training rows.
+
+    At the optimum this is the mean of feature x action, so the fits are checked without repeating them.
+    """
+    data = materialise(propensity_rows(rows, features, n_folds).where("split = 'training'"), "propensity-rows")
+    fit = cross_fitted_logistic(data, n_folds, 1.0 / c)
+    models = F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_folds)), lambda m: m != F.col("fold"))).alias("model")
+    used = scored(data.select(F.array_insert("x", 1, F.lit(1.0)).alias("v"), "x", "fold", models).withColumn("fold", F.col("model")), fit)
+    names = F.array(F.lit("intercept"), *[F.lit(f) for f in features])
+    long = used.select("model", "propensity", F.explode(F.arrays_zip(names.alias("feature"), F.col("v"))).alias("c")).groupBy("model", "c.feature").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("c.v") * F.col("propensity")).alias("s"))
+    weights = [(m, f, float(w) / c) for m, b in enumerate(fit.beta) for f, w in zip(["intercept", *features], [0.0, *b[1:]])]
+    table = rows.sparkSession.createDataFrame(weights, "model int, feature string, share double")
+    return long.join(F.broadcast(table), ["model", "feature"]).select("model", "feature", "n", ((F.col("s") + F.col("share")) / F.col("n")).alias("moment"))
 
 
 def auc(scores: DataFrame, keys: Sequence[str], score: str = "propensity") -> DataFrame:

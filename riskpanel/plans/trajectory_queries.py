@@ -73,6 +73,11 @@ def fitted_scores(s: SparkSession, d: str) -> DataFrame:
     return shared_table(s, d, "propensity", lambda: E.propensity_scores(flat, [f"state__{f}" for f in FEATURES]))
 
 
+def fit_equations(s: SparkSession, d: str) -> DataFrame:
+    flat = C.scale_state(cells(s, d).where("valid"), P, "raw__", "state__").select("entity_id", "split", "tau_t", "action", *[F.col(f"state__{f}").alias(f) for f in FEATURES])
+    return E.score_equations(flat, list(FEATURES))
+
+
 def _target() -> "F.Column":
     return F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")
 
@@ -352,6 +357,10 @@ QUERIES: dict[str, Query] = {
         rounded(with_(_FCELLS, f""", st AS ({_STRATA_SQL}) SELECT entity_id, split, interval_min, stratum_type, stratum, count(*) AS n,
             sum(action) AS action_1, avg(action) AS action_1_rate FROM st GROUP BY 1, 2, 3, 4, 5"""), "action_1_rate", "action_1"), "E10"),
     "propensity_scores": query(fitted_scores, None, "E11"),
+    "propensity_equations": query(fit_equations, rounded(with_(_FCELLS, f""", sx AS (SELECT entity_id, action, least(floor(('0x' || substr(md5('fold:' || entity_id), 1, 13))::BIGINT / 4503599627370496.0 * 6), 5)::INT AS fold,
+            1.0::DOUBLE AS intercept, {', '.join(f'(({f} - {c}) / {sc})::DOUBLE AS {f}' for f, (c, sc) in P.scaling.items())} FROM fc WHERE split = 'training'),
+        sl AS (UNPIVOT sx ON intercept, {', '.join(FEATURES)} INTO NAME feature VALUE x)
+        SELECT model::BIGINT AS model, feature, count(*) AS n, avg(x * action) AS moment FROM sl JOIN (SELECT unnest(range(7)) AS model) m ON model <> fold GROUP BY 1, 2"""), "moment", "model n", digits=5), "E11", digits=5),
     "fitted_overlap_summary": query(lambda s, d: E.overlap_summary(fitted_scores(s, d)), None, "E11"),
     "overlap_summary": query(
         lambda s, d: E.overlap_summary(fixed_scores(s, d)),

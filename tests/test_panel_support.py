@@ -97,3 +97,31 @@ def test_reentry_and_strict_modes(spark):
     assert mode("strict_first_gap") == [1, 2]
     with pytest.raises(ValueError):
         mode("original_complete")
+
+
+def test_cross_fitted_logistic_against_a_direct_solver(spark):
+    import numpy as np
+    import pandas as pd
+    import pytest
+
+    from riskpanel.operators import qc as E
+
+    rng = np.random.default_rng(2)
+    n = 900
+    x, fold = rng.normal(size=(n, 3)) * [1.0, 5.0, 0.2], rng.integers(0, 4, n)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(x @ [1.0, -0.5, 2.0] - 1)))).astype(float)
+    rows = spark.createDataFrame(pd.DataFrame({"x": x.tolist(), "y": y, "fold": fold.astype("int32")})).repartition(5)
+    fit = E.cross_fitted_logistic(rows, 4, penalty=2.0)
+    for k in range(5):
+        use = fold != k
+        full, b = np.column_stack([np.ones(use.sum()), x[use]]), np.zeros(4)
+        for _ in range(50):
+            q = 1 / (1 + np.exp(-full @ b))
+            grad = full.T @ (q - y[use]) + 2.0 * np.r_[0, b[1:]]
+            b = b - np.linalg.solve(full.T @ ((q * (1 - q))[:, None] * full) + 2.0 * np.diag([0, 1, 1, 1]), grad)
+        assert np.abs(fit.beta[k] - b).max() < 1e-6 and fit.gradient[k] < 1e-6
+    scores = E.scored(rows, fit).toPandas()
+    want = 1 / (1 + np.exp(-(np.column_stack([np.ones(n), np.vstack(scores.x)]) * fit.beta[scores.fold]).sum(axis=1)))
+    assert np.abs(scores.propensity - want).max() < 1e-12
+    with pytest.raises(ValueError, match="single action"):
+        E.cross_fitted_logistic(rows.where("y = 1"), 4)
