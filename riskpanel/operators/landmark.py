@@ -281,9 +281,3 @@ def landmark_cohort(cells: DataFrame, landmark_h: float, tolerance_min: float) -
     return followed.groupBy(*K, "segment_id", "entry_ts", "entry_delay_min").agg(
         F.count(F.lit(1)).alias("T"), F.sum("action").alias("action_positive"), F.avg("reward_binary").alias("reward_mean"),
         F.max("tau_next").alias("end_ts"))
-
-
-def require_cohort_size(cohort: DataFrame, expected: int) -> None:
-    found = cohort.count()
-    if found != expected:
-        raise ValueError(f"cohort has {found} entities, expected {expected}")

@@ -22,12 +22,13 @@ def elapsed_index(tau: Column, start: Column, interval_min: float) -> tuple[Colu
     return index, raw - index * F.lit(float(interval_min))
 
 
-def build_risk_panel(segments: DataFrame, starts: DataFrame, clock: str, interval_min: float, residual_limit: float,
+def build_risk_panel(segments: DataFrame, starts: DataFrame, clock: str, interval_min: float,
                      history_min: float, post_gap_edges: int, rule: str = "continuous_burnin") -> DataFrame:
     """Valid one-step rows on one clock, after record-age and post-gap burn-in.
 
     ``segments`` carries (entity_id, segment_id, transition_index, tau_t, tau_next, ...); the first
-    segment of an entity needs no post-gap burn-in.  Check the result with ``panel_violations``.
+    segment of an entity needs no post-gap burn-in.  The residual limit and the other rules are
+    ``panel_violations``, which lists every breach instead of stopping at the first.
     """
     if rule not in ("continuous_burnin", "sparse_history"):
         raise ValueError(f"unknown re-entry rule {rule!r}")
@@ -44,8 +45,7 @@ def build_risk_panel(segments: DataFrame, starts: DataFrame, clock: str, interva
         F.lit("eligible_post_gap_continuous" if rule == "continuous_burnin" else "eligible_post_gap_sparse"))
     return x.select(
         *[c for c in segments.columns], F.lit(clock).alias("clock_type"), i.alias("elapsed_index"), j.alias("next_index"),
-        r.alias("lattice_residual_min"), q.alias("next_lattice_residual_min"), reason.alias("valid_reason"),
-        F.lit(float(residual_limit)).alias("_limit")).drop("_limit")
+        r.alias("lattice_residual_min"), q.alias("next_lattice_residual_min"), reason.alias("valid_reason"))
 
 
 def panel_violations(panel: DataFrame, residual_limit: float, edge_gap_min: tuple[float, float], state_dim: int) -> DataFrame:

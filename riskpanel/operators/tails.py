@@ -202,6 +202,7 @@ def pair_table(meta: DataFrame, errors: DataFrame) -> DataFrame:
                  same("value_action").alias("same_value_action"), same("trait").alias("same_trait"), same("source_entity").alias("same_source_entity"),
                  F.concat_ws("->", F.col("value_action_i").cast("string"), F.col("value_action_j").cast("string")).alias("value_action_pair"),
                  F.concat_ws("->", F.col("trait_i").cast("string"), F.col("trait_j").cast("string")).alias("trait_pair"))
+    # Structural group labels.
     sc, sa = F.col("same_candidate"), F.col("same_value_action")
     group = F.when(sc & F.col("same_base_state") & ~sa, "same_candidate_same_state_cross_action").when(
         ~sc & F.col("same_evaluation"), "cross_candidate_same_evaluation").when(sc & sa, "same_candidate_same_action").when(

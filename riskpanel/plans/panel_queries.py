@@ -95,7 +95,7 @@ def recording_starts(s: SparkSession, d: str) -> DataFrame:
 
 
 def clocked_panel(s: SparkSession, d: str, rule: str = "continuous_burnin") -> DataFrame:
-    return PN.build_risk_panel(clocked_segments(s, d), recording_starts(s, d), "training", 1440.0, 61.0, 1440.0, 2, rule)
+    return PN.build_risk_panel(clocked_segments(s, d), recording_starts(s, d), "training", 1440.0, 1440.0, 2, rule)
 
 
 def _wide(df: DataFrame) -> DataFrame:
@@ -309,6 +309,9 @@ QUERIES: dict[str, Query] = {
     "support_screen": query(
         lambda s, d: screened(s, d).withColumn("reasons", F.array_join("reasons", "|")),
         rounded(with_(DAILY + screen_sql("panel", PANEL_RULE, 3), "SELECT *, reasons = '' AS admissible FROM screened"), _SCR_D, _SCR_I), "G9 G10"),
+    "elapsed_grid_screen": query(
+        lambda s, d: S.screen(PN.support_view(panel(s, d)), PN.elapsed_grid(R.WINDOW[1], 3), *R.WINDOW, PANEL_RULE, R.STATE_DIM).withColumn("reasons", F.array_join("reasons", "|")),
+        rounded(with_(DAILY + screen_sql("panel", PANEL_RULE, 3, "(SELECT unnest(generate_series(3, 26, 3)) AS candidate) c"), "SELECT *, reasons = '' AS admissible FROM screened"), _SCR_D, _SCR_I), "G7 G9"),
     "support_screen_strict": query(
         lambda s, d: screened(s, d, STRICTER).withColumn("reasons", F.array_join("reasons", "|")),
         rounded(with_(DAILY + screen_sql("panel", STRICTER, 3), "SELECT *, reasons = '' AS admissible FROM screened"), _SCR_D, _SCR_I), "G9 G10"),

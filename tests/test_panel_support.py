@@ -30,21 +30,21 @@ def test_lattice_rounding(spark):
 
 
 def test_reentry_burnin(spark):
-    panel = PN.build_risk_panel(*_segments(spark, 500), "training", 5, 1.0, 240, 24).toPandas()
+    panel = PN.build_risk_panel(*_segments(spark, 500), "training", 5, 240, 24).toPandas()
     assert panel.groupby("segment_id").size().tolist() == [12, 6]
     assert panel[panel.segment_id == 1].elapsed_index.min() == 124
-    sparse = PN.build_risk_panel(*_segments(spark, 500), "training", 5, 1.0, 240, 24, "sparse_history").toPandas()
+    sparse = PN.build_risk_panel(*_segments(spark, 500), "training", 5, 240, 24, "sparse_history").toPandas()
     assert (sparse.segment_id == 1).sum() == 30 and sparse[sparse.segment_id == 1].elapsed_index.min() == 100
 
 
 def test_duplicate_index_and_residual_are_errors(spark):
-    twice = PN.build_risk_panel(*_segments(spark, 240), "training", 5, 1.0, 240, 0, "sparse_history")
+    twice = PN.build_risk_panel(*_segments(spark, 240), "training", 5, 240, 0, "sparse_history")
     with pytest.raises(ValueError, match="duplicate_key"):
         raise_if_any(PN.panel_violations(twice, 1.0, (4.5, 5.5), 1))
-    shifted = PN.build_risk_panel(*_segments(spark, 502), "training", 5, 1.0, 240, 24)
+    shifted = PN.build_risk_panel(*_segments(spark, 502), "training", 5, 240, 24)
     with pytest.raises(ValueError, match="lattice_residual"):
         raise_if_any(PN.panel_violations(shifted, 1.0, (4.5, 5.5), 1))
-    sound = PN.build_risk_panel(*_segments(spark, 500), "training", 5, 1.0, 240, 24)
+    sound = PN.build_risk_panel(*_segments(spark, 500), "training", 5, 240, 24)
     raise_if_any(PN.panel_violations(sound, 1.0, (4.5, 5.5), 1))
 
 
@@ -84,6 +84,7 @@ def test_empty_admissible_set_is_a_status(spark):
 def test_candidate_grid_rounds_half_up():
     assert PN.candidate_grid(48, 240, [0.25, 0.5, 0.75]) == (96, 144, 192)
     assert PN.candidate_grid(0, 10, [0.25, 0.251]) == (3,)
+    assert PN.elapsed_grid(29, 3) == (3, 6, 9, 12, 15, 18, 21, 24) and PN.elapsed_grid(12, 12) == ()
     with pytest.raises(ValueError):
         PN.candidate_grid(5, 5, [0.5])
 

@@ -9,7 +9,9 @@ from oracle import compare, connect
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["trajectory_segments", "gap_quantiles", "adjacency_rules", "fixed_lattice", "state_features", "transitions", "three_step_transitions", "action_coverage",
           "temporal_quartiles", "landmark_trajectories", "pareto_landmarks", "risk_panel", "support_screen", "evaluation_grid", "shift_process", "m0_calibration",
-          "calibration_summary", "gate_labels", "fingerprint_equality", "threshold_metrics", "max_distribution", "structure_summary", "row_bootstrap"]
+          "calibration_summary", "gate_labels", "fingerprint_equality", "threshold_metrics", "max_distribution", "structure_summary", "row_bootstrap", "closed_fit", "closed_contributions",
+          "closed_process", "closed_jacobian", "closed_values", "closed_diagnostics", "variance_versions", "shift_jackknife", "hat_values", "multinomial_totals",
+          "process_covariance", "joint_exceedance", "spearman", "covariance_errors", "event_xml", "propensity_equations", "elapsed_grid_screen"]
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not present")
 
 
