@@ -1,20 +1,22 @@
 """Quality rules with risk-controlled thresholds.
 
-A rule rejects a text whose measure exceeds a cut-off. Each stratum (language) and rule gets its own. The labelled
-good texts of a stratum are halved by a hash of their id: the first half proposes cut-offs, from its own
-quantiles, the second certifies them. Cut-offs are tried from the most lenient on, and the first that fails ends
-the sequence (fixed-sequence testing). A cut-off passes if the exact (Clopper-Pearson) upper bound of the false
-rejection rate on the second half is at most ``risk`` shared among the rules, at level ``error`` shared among
-all rules and strata (Bonferroni). So with probability 1 - error no stratum loses more than ``risk`` of its good
-texts to all rules together. Of the certified cut-offs the one that rejects most bad texts of the first half
-is taken, of equal ones the most lenient; a rule that no cut-off certifies, or that rejects no bad text, stays off.
+A rule rejects a text whose measure exceeds a cut-off. Each stratum (language) gets a rule set of its own. The labelled
+good texts of a stratum are halved by a hash of their id: the first half proposes a nested sequence of rule sets, from
+its own quantiles, all measures growing stricter together; a measure takes part from the step on where it
+rejects some bad text of the first half. The second half certifies: sets are tried from the most lenient on, and the
+first that fails ends the sequence (fixed-sequence testing). A set passes if the exact (Clopper-Pearson) upper bound of
+the rate at which its rules together reject good texts of the second half is at most ``risk``, at level ``error``
+shared among the strata (Bonferroni). So with probability 1 - error no stratum loses more than ``risk`` of its good
+texts. Of the certified sets the one that rejects most bad texts of the first half is taken, of equal ones the most
+lenient. A stratum in which no set is certified, or none rejects a bad text, has no rules, and ``has_rules`` says so
+(with 4 strata, 90 good texts in the second half are enough if none of them is rejected).
 
 Nulls: a null text has no words; a null language is a stratum of its own; labels with a null id or quality, or ids
 whose labels disagree, are left out. Without labels no rule is on. Repeated rows get a row each, repeated
 labels count once. Other columns are ignored.
 
 Texts are measured in one pass, written as a few numbers a row; counts are combined before they are shuffled, and
-only strata x rules x cut-offs numbers reach the driver.
+only strata x measures x steps numbers reach the driver.
 """
 
 from __future__ import annotations
@@ -130,43 +132,42 @@ def upper_bound(failures: int, trials: int, level: float) -> float:
     return high
 
 
+def _step(value: Column, cuts: Column) -> Column:
+    """The first step (0-based) of a descending list of cut-offs that the value exceeds; as many as steps if none."""
+    return F.size(F.filter(F.coalesce(cuts, F.array_repeat(F.lit(math.inf), len(MARGINS) + len(QUANTILES))), lambda c: c >= value))
+
+
 def thresholds(labelled: DataFrame, risk: float = RISK, error: float = ERROR) -> dict[tuple[str | None, str], float]:
     """Certified cut-offs from rows (stratum, good, half, and the measures); half 0 proposes, half 1 certifies."""
-    good = F.col("good")
-    picked = F.when(good & (F.col("half") == 0), F.lit(1))
-    proposals = labelled.groupBy("stratum").agg(
-        *[F.percentile_approx(F.when(picked == 1, F.col(m)), list(QUANTILES), 100_000).alias(m) for m in MEASURES]).collect()  # one row a stratum
-    grid: dict[tuple[str | None, str], list[float]] = {}
-    for r in proposals:
-        for m in MEASURES:
-            if q := r[m]:
-                grid[r["stratum"], m] = sorted({x * q[0] for x in MARGINS} | set(q), reverse=True)
-    strata = {s for s, _ in grid}
-    sums = [F.sum(F.when((F.col("half") == 1) & good, 1).otherwise(0)).alias("n")]
-    names: dict[str, tuple[str, int]] = {}
-    steps = max((len(x) for x in grid.values()), default=0)
-    for m in MEASURES:
-        for i in range(steps):
-            cutoff = F.lit(None).cast("double")
-            for s in strata:
-                if i < len(grid.get((s, m), [])):
-                    cutoff = F.when(F.col("stratum").eqNullSafe(F.lit(s)), grid[s, m][i]).otherwise(cutoff)
-            over = F.col(m) > cutoff
-            sums += [F.sum(F.when(over & good & (F.col("half") == 1), 1).otherwise(0)).alias(f"lost_{m}_{i}"),
-                     F.sum(F.when(over & ~good & (F.col("half") == 0), 1).otherwise(0)).alias(f"caught_{m}_{i}")]
-            names[f"{m}_{i}"] = (m, i)
+    steps = len(MARGINS) + len(QUANTILES)
+    quantile = [F.percentile_approx(F.when(F.col("good") & (F.col("half") == 0), F.col(m)), list(QUANTILES), 100_000).alias(m) for m in MEASURES]
+    cuts = {r["stratum"]: {m: [x * r[m][0] for x in MARGINS] + r[m] for m in MEASURES if r[m]} for r in labelled.groupBy("stratum").agg(*quantile).collect()}
+    cuts = {s: c for s, c in cuts.items() if c}  # without good texts in half 0 nothing is proposed
+    if not cuts:
+        return {}
+    table = labelled.sparkSession.createDataFrame(  # a row a stratum
+        [(s, *[c.get(m) for m in MEASURES]) for s, c in cuts.items()], "proposed string, " + ", ".join(f"cuts_{m} array<double>" for m in MEASURES))
+    rows = labelled.join(table, F.col("stratum").eqNullSafe(F.col("proposed"))).select("stratum", "good", "half", *[_step(F.col(m), F.col(f"cuts_{m}")).alias(m) for m in MEASURES])
+    begins = {r["stratum"]: {m: r[m] for m in MEASURES} for r in rows.where("not good and half = 0").groupBy("stratum").agg(*[F.min(m).alias(m) for m in MEASURES]).collect()}
+    if not begins:
+        return {}
+    table = labelled.sparkSession.createDataFrame([(s, *[b[m] for m in MEASURES]) for s, b in begins.items()], "begun string, " + ", ".join(f"from_{m} int" for m in MEASURES))
+    joint = F.least(*[F.greatest(F.col(m), F.col(f"from_{m}")) for m in MEASURES])
+    met = rows.join(table, F.col("stratum").eqNullSafe(F.col("begun"))).groupBy("stratum", "good", "half", joint.alias("step")).count().collect()
+    tally: dict[tuple, list[int]] = {}
+    for r in met:
+        tally.setdefault((r["stratum"], r["good"], r["half"]), [0] * (steps + 1))[r["step"]] += r["count"]
     out: dict[tuple[str | None, str], float] = {}
-    level = error / max(1, len(MEASURES) * len(strata))
-    for r in labelled.groupBy("stratum").agg(*sums).collect() if strata else []:
-        for m in MEASURES:
-            best, chosen = 0, None
-            for i, cutoff in enumerate(grid.get((r["stratum"], m), [])):
-                if upper_bound(r[f"lost_{m}_{i}"], r["n"], level) > risk / len(MEASURES):
-                    break
-                if r[f"caught_{m}_{i}"] > best:
-                    best, chosen = r[f"caught_{m}_{i}"], cutoff
-            if chosen is not None:
-                out[r["stratum"], m] = chosen
+    for s, begun in begins.items():
+        good, bad = tally.get((s, True, 1), [0] * (steps + 1)), tally[s, False, 0]
+        best, chosen = 0, None
+        for i in range(steps):
+            if upper_bound(sum(good[: i + 1]), sum(good), error / len(cuts)) > risk:
+                break
+            if sum(bad[: i + 1]) > best:
+                best, chosen = sum(bad[: i + 1]), i
+        if chosen is not None:
+            out |= {(s, m): c[chosen] for m, c in cuts[s].items() if begun[m] <= chosen}
     return out
 
 
@@ -185,4 +186,10 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     return measured.withColumn("rules", rules).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & (F.size("rules") == 0)).alias("kept"), F.array_join("rules", ",").alias("rules"))
+        (~failed & (F.size("rules") == 0)).alias("kept"), F.array_join("rules", ",").alias("rules"),
+        _any_of(F.col("stratum"), {st for st, _ in cutoffs}).alias("has_rules"))
+
+
+def _any_of(stratum: Column, strata: set[str | None]) -> Column:
+    named = stratum.isin(sorted(s for s in strata if s is not None))
+    return F.when(stratum.isNull(), F.lit(None in strata)).otherwise(named)
