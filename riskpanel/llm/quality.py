@@ -34,6 +34,7 @@ from riskpanel.session import materialise
 WINDOW, RISK, ERROR = 8, 0.05, 0.05
 QUANTILES = (1.0, 0.999, 0.998, 0.995, 0.99)
 MARGINS = (2.0, 1.5, 1.25)  # more lenient cut-offs: multiples of the largest good value
+MAX_SENT = 20_000  # strata; a row has at most some 60 numbers
 MEASURES = ("symbols", "repeats", "same_lines", "shouting", "narrow", "marks")
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_capitals long, n_letters long, n_distinct long, n_marks long, n_lines long"
 
@@ -137,6 +138,11 @@ def _step(value: Column, cuts: Column) -> Column:
     return F.size(F.filter(F.coalesce(cuts, F.array_repeat(F.lit(math.inf), len(MARGINS) + len(QUANTILES))), lambda c: c >= value))
 
 
+def _sent(table: DataFrame, strata: int) -> DataFrame:
+    """A table with a row a stratum, broadcast if there are few, so that rows of a frequent stratum stay where they are."""
+    return F.broadcast(table) if strata <= MAX_SENT else table
+
+
 def thresholds(labelled: DataFrame, risk: float = RISK, error: float = ERROR) -> dict[tuple[str | None, str], float]:
     """Certified cut-offs from rows (stratum, good, half, and the measures); half 0 proposes, half 1 certifies."""
     steps = len(MARGINS) + len(QUANTILES)
@@ -147,13 +153,13 @@ def thresholds(labelled: DataFrame, risk: float = RISK, error: float = ERROR) ->
         return {}
     table = labelled.sparkSession.createDataFrame(  # a row a stratum
         [(s, *[c.get(m) for m in MEASURES]) for s, c in cuts.items()], "proposed string, " + ", ".join(f"cuts_{m} array<double>" for m in MEASURES))
-    rows = labelled.join(table, F.col("stratum").eqNullSafe(F.col("proposed"))).select("stratum", "good", "half", *[_step(F.col(m), F.col(f"cuts_{m}")).alias(m) for m in MEASURES])
+    rows = labelled.join(_sent(table, len(cuts)), F.col("stratum").eqNullSafe(F.col("proposed"))).select("stratum", "good", "half", *[_step(F.col(m), F.col(f"cuts_{m}")).alias(m) for m in MEASURES])
     begins = {r["stratum"]: {m: r[m] for m in MEASURES} for r in rows.where("not good and half = 0").groupBy("stratum").agg(*[F.min(m).alias(m) for m in MEASURES]).collect()}
     if not begins:
         return {}
     table = labelled.sparkSession.createDataFrame([(s, *[b[m] for m in MEASURES]) for s, b in begins.items()], "begun string, " + ", ".join(f"from_{m} int" for m in MEASURES))
     joint = F.least(*[F.greatest(F.col(m), F.col(f"from_{m}")) for m in MEASURES])
-    met = rows.join(table, F.col("stratum").eqNullSafe(F.col("begun"))).groupBy("stratum", "good", "half", joint.alias("step")).count().collect()
+    met = rows.join(_sent(table, len(begins)), F.col("stratum").eqNullSafe(F.col("begun"))).groupBy("stratum", "good", "half", joint.alias("step")).count().collect()
     tally: dict[tuple, list[int]] = {}
     for r in met:
         tally.setdefault((r["stratum"], r["good"], r["half"]), [0] * (steps + 1))[r["step"]] += r["count"]
