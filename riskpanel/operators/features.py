@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import MINUTE_US, micros
 from ..params import KEYS, FeatureProtocol
-from .gaps import locate
 from .timeline import CHUNK, with_halo
 
 K = list(KEYS)
@@ -19,13 +22,91 @@ def _us(minutes: float) -> int:
     return int(minutes * MINUTE_US)
 
 
-def trailing_features(steps: DataFrame, actions: DataFrame, exposures: DataFrame, p: FeatureProtocol) -> DataFrame:
-    """Value, delivery, residual and exposure features of every observation in one sorted scan.
+def _winning_overrides(schema: pa.Schema):
+    """Where the override in force changes: a sweep over rows sorted by (entity, chunk, begin).
 
-    Observations, instantaneous doses, begin/end breakpoints of extended doses and exposures are
-    merged into one stream per (entity, chunk); each row is copied only to the chunks its longest
+    The latest begin wins, the lowest ordinal on ties; ``rate`` is null where none is active. The active overrides
+    are a heap that an ended one leaves when it reaches the top, so n overrides cost n log n however they overlap,
+    and nothing else is kept of a history, whatever its size.
+    """
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, active, made = None, [], []
+
+        def mark(t: int) -> None:
+            rate = active[0][3] if active else None
+            if made and made[-1][:-2] == here and made[-1][-2] == t:
+                made.pop()
+            made.append((*here, t, rate))
+
+        def advance(to: float) -> None:
+            """Let overrides end up to and at ``to``; each end of a winner is a change."""
+            while active and active[0][2] <= to:
+                now = active[0][2]
+                while active and active[0][2] <= now:
+                    heapq.heappop(active)
+                mark(now)
+
+        for batch in batches:
+            for *key, t, e, ordinal, rate in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if tuple(key) != here:
+                    advance(math.inf)
+                    here, active = tuple(key), []
+                advance(t)
+                heapq.heappush(active, (-t, math.inf if ordinal is None else ordinal, e, rate))
+                mark(t)
+            held = made[-1:]  # the next row may begin at the same time
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made[:-1], strict=True), schema, strict=True)]
+                                             if len(made) > 1 else [pa.array([], f.type) for f in schema], schema=schema)
+            made[:] = held
+        advance(math.inf)
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
+
+    return sweep
+
+
+def rate_marks(steps: DataFrame, schedule: DataFrame, overrides: DataFrame, p: FeatureProtocol) -> DataFrame:
+    """Where the scheduled rate (``plan``) and the override in force (``over``) change, per (entity, chunk).
+
+    A chunk's marks answer every time from ``rate_mean_min`` before its start to its end.  Overrides are swept
+    where they reach; a schedule entry goes to the chunk of its time and to those whose lookback meets it, and
+    the entry still in force before that is carried in by a scan over one row per (entity, chunk).
+    Of several entries at one time the first in document order counts.
+    """
+    width, look = F.lit(_us(p.chunk_min)), _us(p.rate_mean_min)
+    spans = overrides.where("ts_end > ts_begin").select(
+        *K, micros("ts_begin").alias("t"), micros("ts_end").alias("e"), F.col("ordinal").alias("ord"),
+        F.col("rate").cast("double").alias("o_rate"))
+    spans = with_halo(spans, F.col("t"), F.col("e") - 1 + look, p.chunk_min)
+    rows = spans.select(*K, CHUNK, "t", "e", "ord", "o_rate").repartition(*K, CHUNK).sortWithinPartitions(*K, CHUNK, "t")
+    marks = rows.select(*K, CHUNK, "t", F.col("o_rate").alias("rate"))
+    over = rows.mapInArrow(_winning_overrides(to_arrow_schema(marks.schema)), marks.schema)
+    over = over.select(*K, CHUNK, "t", F.struct("rate").alias("over"))
+    plan = schedule.groupBy(*K, "ts").agg(F.min_by("rate", "ordinal").alias("rate")).select(
+        *K, micros("ts").alias("t"), F.struct(F.col("rate").cast("double").alias("rate")).alias("plan"))
+    near = with_halo(plan, F.col("t"), F.col("t") + look, p.chunk_min).select(*K, CHUNK, "t", "plan")
+    asked = steps.select(*K, F.floor(micros("tau_t") / width).cast("long").alias(CHUNK), F.lit(None).cast("long").alias("t"),
+                         F.lit(None).cast(plan.schema["plan"].dataType).alias("plan"), F.lit(True).alias("_asked"))
+    gone = plan.withColumn(CHUNK, F.floor((F.col("t") + look) / width).cast("long"))
+    known = F.when(F.col("t").isNotNull(), F.struct("t", "plan"))
+    summary = asked.unionByName(gone, True).groupBy(*K, CHUNK).agg(F.max_by(known, "t").alias("_last"), F.max("_asked").alias("_asked"))
+    earlier = Window.partitionBy(*K).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.withColumn("_before", F.last("_last", ignorenulls=True).over(earlier)).where(
+        F.col("_asked") & F.col("_before").isNotNull()).select(*K, CHUNK, "_before.t", "_before.plan")
+    return near.unionByName(carried).unionByName(over, True)
+
+
+def state_features(steps: DataFrame, actions: DataFrame, exposures: DataFrame, schedule: DataFrame,
+                   overrides: DataFrame, p: FeatureProtocol = FeatureProtocol()) -> DataFrame:
+    """The step table with its raw state columns, all from one sorted scan.
+
+    Observations, instantaneous doses, begin/end breakpoints of extended doses, exposures and changes of
+    the rate are merged into one stream per (entity, chunk); each row is copied only to the chunks its longest
     lookback reaches.  Extended delivery is piecewise linear, so its amount and its linear-decay
     integral follow from running sums of slope changes: no observation is paired with an event.
+    The rate at a time is the override then in force, else the schedule's latest entry, else 0; its mean over
+    the left-endpoint grid of the trailing window reads the last change before each grid point from range frames.
     """
     look_obs = max(*p.slope_min, *p.stats_min)
     look_act = max(*p.delivery_min, p.residual_horizon_min, p.since_cap_min)
@@ -49,7 +130,8 @@ def trailing_features(steps: DataFrame, actions: DataFrame, exposures: DataFrame
     exp = exposures.groupBy(*K, "ts").agg(F.sum("amount").alias("amount")).select(*K, micros("ts").alias("t"), "amount")
     exp = with_halo(exp, F.col("t"), F.col("t") + _us(look_exp), p.chunk_min).select(
         *K, CHUNK, "t", "amount", F.col("t").alias("exp"))
-    stream = obs.unionByName(doses, True).unionByName(exp, True).repartition(*K, CHUNK)
+    marks = rate_marks(steps, schedule, overrides, p)
+    stream = obs.unionByName(doses, True).unionByName(exp, True).unionByName(marks, True).repartition(*K, CHUNK)
     width = F.lit(_us(p.chunk_min))
     stream = stream.withColumn("x", (F.col("t") - F.col(CHUNK) * width) / F.lit(float(MINUTE_US)))
     w = Window.partitionBy(*K, CHUNK).orderBy("t")
@@ -78,6 +160,10 @@ def trailing_features(steps: DataFrame, actions: DataFrame, exposures: DataFrame
     for tag, m in zip(("short", "long"), p.delivery_min):
         cols[f"_a{tag}"], cols[f"_b{tag}"] = total(ds, None, -_us(m)), total(ds * b, None, -_us(m))
         cols[f"_i{tag}"] = total(F.col("dose"), -_us(m), -1)
+    count = int(round(p.rate_mean_min / p.rate_step_min))
+    for k in range(count + 1):
+        for c in ("plan", "over"):
+            cols[f"_{c}{k}"] = F.last(c, ignorenulls=True).over(span(None, -k * _us(p.rate_step_min)))
     for tag, m in zip(("short", "long"), p.exposure_min):
         cols[f"exposure_{tag}"] = total(F.col("amount"), -_us(m) + 1, 0)
     out = stream.select("*", *[c.alias(n) for n, c in cols.items()]).where("_own")
@@ -92,6 +178,7 @@ def trailing_features(steps: DataFrame, actions: DataFrame, exposures: DataFrame
     residual = (
         delivered(x, "_a0", "_b0") - (area(x, "0") - area(x - h, "h")) / h
         + F.col("_ih") * (1.0 - x / h) + F.col("_jh") / h)
+    rates = [F.coalesce(F.col(f"_over{k}")["rate"], F.col(f"_plan{k}")["rate"], F.lit(0.0)) for k in range(count + 1)]
     gap = F.col("row.prev_gap_min")
     hour = F.hour("row.tau_t") + F.minute("row.tau_t") / 60.0 + F.floor(F.second("row.tau_t")) / 3600.0
     angle = F.lit(2.0 * math.pi) * hour / 24.0
@@ -108,55 +195,14 @@ def trailing_features(steps: DataFrame, actions: DataFrame, exposures: DataFrame
         "previous_gap": F.least(F.coalesce(gap, F.lit(p.interval_min)), F.lit(p.gap_cap_min)),
         "missing_fraction": F.greatest(
             F.lit(0.0), 1.0 - F.least(F.col("_n"), F.lit(p.expected_short)) / F.lit(float(p.expected_short))),
+        "rate_current": rates[0], "rate_mean": sum(rates[2:], rates[1]) / float(count),
+        "override_active": F.col("_over0")["rate"].isNotNull(),
     }
     ready = ["slope_short", "slope_long", "mean_short", "std_short", "mean_long", "std_long",
              "exposure_short", "exposure_long"]
     return out.select(*K, "row.*", *ready, *[c.alias(n) for n, c in made.items()])
 
 
-def rate_at(points: DataFrame, schedule: DataFrame, overrides: DataFrame, p: FeatureProtocol) -> DataFrame:
-    """Rate in force at each point ``(tau, off, ts)``: latest active override, else the schedule as-of, else 0.
-
-    The schedule is a carried as-of scan.  Overrides meet only the points of the time buckets they
-    cover; of several active ones the latest start wins, the first in document order on ties.
-    """
-    plan = schedule.groupBy(*K, "ts").agg(F.min_by("rate", "ordinal").alias("rate")).withColumnRenamed("ts", "tau_t")
-    based = locate(points, plan, ["rate"], p.chunk_min, tag="plan")
-    width = F.lit(_us(p.override_bucket_min))
-    spans = overrides.where("ts_end > ts_begin").select(
-        *K, "ts_begin", "ts_end", F.col("rate").alias("o_rate"), F.col("ordinal").alias("o_ord"),
-        F.explode(F.sequence(F.floor(micros("ts_begin") / width), F.floor((micros("ts_end") - 1) / width))).alias("_bk"))
-    based = based.withColumn("_bk", F.floor(micros("ts") / width))
-    joined = based.alias("p").join(
-        spans.alias("o"), (F.col("p.entity_id") == F.col("o.entity_id")) & (F.col("p.split") == F.col("o.split"))
-        & (F.col("p._bk") == F.col("o._bk")) & (F.col("p.ts") >= F.col("o.ts_begin")) & (F.col("p.ts") < F.col("o.ts_end")),
-        "left").select("p.*", "o.ts_begin", "o.o_rate", "o.o_ord")
-    pick = F.when(F.col("ts_begin").isNotNull(), F.struct(F.col("ts_begin"), -F.col("o_ord")))
-    return joined.groupBy(*K, "tau_t", "off").agg(
-        F.max_by("o_rate", pick).alias("_o"), F.max("plan.rate").alias("_s")).select(
-        *K, "tau_t", "off", F.coalesce("_o", "_s", F.lit(0.0)).alias("rate"), F.col("_o").isNotNull().alias("overridden"))
-
-
-def rate_features(steps: DataFrame, schedule: DataFrame, overrides: DataFrame, p: FeatureProtocol) -> DataFrame:
-    """Current rate and its mean over the left-endpoint grid of the trailing window."""
-    count = int(round(p.rate_mean_min / p.rate_step_min))
-    grid = F.explode(F.sequence(F.lit(0), F.lit(count))).alias("off")
-    back = F.make_dt_interval(mins=(F.col("off") * int(p.rate_step_min)).cast("int"))
-    points = steps.select(*K, "tau_t", grid).withColumn("ts", F.col("tau_t") - back)
-    rates = rate_at(points, schedule, overrides, p)
-    return rates.groupBy(*K, "tau_t").agg(
-        F.max(F.when(F.col("off") == 0, F.col("rate"))).alias("rate_current"),
-        F.avg(F.when(F.col("off") > 0, F.col("rate"))).alias("rate_mean"),
-        F.bool_or((F.col("off") == 0) & F.col("overridden")).alias("override_active"))
-
-
-def state_features(steps: DataFrame, actions: DataFrame, exposures: DataFrame, schedule: DataFrame,
-                   overrides: DataFrame, p: FeatureProtocol = FeatureProtocol()) -> DataFrame:
-    """The step table with its raw state columns."""
-    trailing = trailing_features(steps, actions, exposures, p)
-    return trailing.join(rate_features(steps, schedule, overrides, p), [*K, "tau_t"])
-
-
 def scale_state(df: DataFrame, p: FeatureProtocol, prefix: str = "", out: str = "state__") -> DataFrame:
     """Fixed-constant scaling (never fitted) of every feature column."""
     missing = [f for f in p.scaling if prefix + f not in df.columns]

@@ -113,7 +113,6 @@ class FeatureProtocol:
     rate_mean_min: float = 30.0
     rate_step_min: float = 5.0
     expected_short: int = 7
-    override_bucket_min: float = 60.0
     chunk_min: float = 7 * 1440.0
     scaling: dict = field(default_factory=lambda: dict(FEATURE_SCALING))
 

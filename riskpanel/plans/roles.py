@@ -23,7 +23,7 @@ FEATURES_RULE = FeatureProtocol(
     interval_min=360.0, max_gap_min=1440.0, slope_min=(2880.0, 5760.0), stats_min=(2880.0, 10080.0),
     delivery_min=(1440.0, 5760.0), residual_horizon_min=7200.0, exposure_min=(1440.0, 5760.0),
     since_cap_min=7200.0, gap_cap_min=2880.0, rate_mean_min=1440.0, rate_step_min=240.0, expected_short=7,
-    override_bucket_min=1440.0, chunk_min=CHUNK_MIN,
+    chunk_min=CHUNK_MIN,
     scaling={**FeatureProtocol().scaling, "previous_gap": (360.0, 360.0), "since_action": (0.0, 7200.0), "since_exposure": (0.0, 7200.0),
              "delivered_short": (0.0, 50.0), "delivered_long": (0.0, 100.0), "residual_exposure": (0.0, 100.0),
              "rate_current": (0.0, 50.0), "rate_mean": (0.0, 50.0)})
