@@ -49,7 +49,7 @@ STAGES = [
     ("pack", packed),
 ]
 
-#: Compression, fingerprints and token ids cannot be written in SQL; tests/llm holds run() against brute force.
+#: Compression, fingerprints and token ids cannot be written in SQL; tests/llm runs the stages one by one, run() has no brute-force test yet.
 ORACLE_SQL = None
 
 
