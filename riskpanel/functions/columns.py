@@ -24,6 +24,11 @@ def minutes_between(start: Column, end: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", start, end) / F.lit(60_000_000.0)
 
 
+def fixed_text(x: Column, digits: int) -> Column:
+    """Decimal text as C and Python print it: the binary value itself is rounded, so a decimal that only looks like a tie is none."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits))
+
+
 def half_even(x: Column, scale: int = 0) -> Column:
     return F.bround(x, scale)
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import Z_EXACT, Z_ROUNDED, binomial_se, finite_p, sample_excess_kurtosis, sample_skew, wilson
+from ..functions.columns import Z_EXACT, Z_ROUNDED, binomial_se, finite_p, fixed_text, sample_excess_kurtosis, sample_skew, wilson
 from .quantiles import exact_quantile_table, exact_quantiles
 
 # Grouping keys, levels, p-value histogram edges and ECDF grid.
@@ -336,7 +336,7 @@ def fingerprint(draws: DataFrame, keys: Sequence[str], order: str, value: str, d
     Equal multisets of (draw, value) give equal fingerprints, and repeated draws do not cancel out; nothing is
     collected into one list.
     """
-    text = F.concat_ws(":", F.col(order).cast("string"), F.format_string(f"%.{digits}f", F.col(value)))
+    text = F.concat_ws(":", F.col(order).cast("string"), fixed_text(F.col(value), digits))
     sums = [F.sum(F.conv(F.substring(F.sha2(text, 256), at, 15), 16, 10).cast("decimal(20,0)")).cast("string") for at in (1, 16)]
     return draws.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.concat_ws(":", *sums).alias("digest"))
 

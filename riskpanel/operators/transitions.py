@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import cases, minutes_between
+from ..functions.columns import cases, fixed_text, minutes_between
 from ..params import FEATURES, KEYS, FeatureProtocol, GapProtocol, RewardRule
 from .features import scale_state
 from .gaps import locate, number_edges, run_start, within
@@ -39,7 +39,7 @@ def transitions(features: DataFrame, actions: DataFrame, exposures: DataFrame, g
     lo, hi = gap.valid_min
     ties = tie_cells(actions, exposures, cells.select(*K, "tau_t", "tau_next"), gap.chunk_min)
     named = cells.withColumn("invalid_reason", F.when(F.col("valid"), F.lit("")).otherwise(
-        F.format_string(f"gap_%.3fmin_outside_[{lo},{hi}]", F.col("gap_min"))))
+        F.concat(F.lit("gap_"), fixed_text(F.col("gap_min"), 3), F.lit(f"min_outside_[{lo},{hi}]"))))
     out = named.join(ties, [*K, "tau_t"], "left")
     x = F.col("next_value")
     return out.select(
