@@ -23,6 +23,10 @@ from .support import side_counts
 
 # Arrays of one task, and systems of one block of draws, stay near this many doubles; more draws run in more blocks.
 BLOCK_DOUBLES = 4_000_000
+# A row of the moment table holds about this many doubles of rows, and of moments. Its files have small row groups, whose size is
+# looked at after every row: writers hold a group and readers a batch of 4,096 rows or a group, whichever is less.
+BLOCK_VALUES = 250_000
+SMALL_GROUPS = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 8}
 # Rows of an entity are dealt by stretches of this many time steps.
 STRETCH = 4096
 
@@ -279,16 +283,19 @@ def _entity_moments(owner: np.ndarray, n: np.ndarray, a: np.ndarray, idx: np.nda
     return out / np.maximum(n, 1.0)[..., None]
 
 
-def entity_blocks(d: Design, rewards: Sequence[str], ref: np.ndarray | None = None) -> DataFrame:
+def entity_blocks(d: Design, rewards: Sequence[str], ref: np.ndarray | None = None, summed: bool = False) -> DataFrame:
     """The moment table: one row per (block of entities) with every entity's Gram, right-hand-side and cross blocks by (cut, side, action).
 
     One scan of the rows, dealt by (entity, stretch of time) so that no entity needs to fit into a task. ``ref`` (cuts x 2 x 2q)
     is the policy the cross blocks follow; later passes only add what flips against it. The table is written once and read by
-    every pass.
+    every pass. ``summed`` keeps the sums of a block's rows in place of every entity's moments, for fits that only need sums; rows
+    then stay where they are.
     """
     cuts, q = d.cuts, d.q
     lay = Layout(q, len(rewards))
-    most = max(1, BLOCK_DOUBLES // (2 * len(cuts) * lay.size))
+    size = min(BLOCK_VALUES, BLOCK_DOUBLES)
+    most = max(1, size // (2 * len(cuts) * lay.size))
+    long = max(1, min(2 * STRETCH, size // (2 * q)))
     stretch = F.floor(F.col("idx") / STRETCH)
     rows = d.rows.select("entity_id", "ehash", "idx", "action", "state", "next_state", "n_left", "n_right", *rewards)
     kind = d.rows.schema["entity_id"].dataType.simpleString()
@@ -296,12 +303,12 @@ def entity_blocks(d: Design, rewards: Sequence[str], ref: np.ndarray | None = No
     def block(pdf: pd.DataFrame, first: np.ndarray) -> dict:
         owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(pdf))))
         head = pdf.iloc[first]
-        n = np.stack([_matrix(head["n_left"]), _matrix(head["n_right"])], axis=-1)
+        n = np.ones((1, len(cuts), 2)) if summed else np.stack([_matrix(head["n_left"]), _matrix(head["n_right"])], axis=-1)
         one = np.ones((len(pdf), 1))
         phi, phin = np.hstack([one, _matrix(pdf["state"])]), np.hstack([one, _matrix(pdf["next_state"])])
         a, idx = pdf["action"].to_numpy(int), pdf["idx"].to_numpy(int)
         m = _entity_moments(owner, n, a, idx, phi, phin, pdf[list(rewards)].to_numpy(float), cuts, ref)
-        split = np.bincount(owner, minlength=len(n)) != n[:, 0].sum(axis=-1)
+        split = np.zeros(1, bool) if summed else np.bincount(owner, minlength=len(n)) != n[:, 0].sum(axis=-1)
         out = {"ids": head["entity_id"].tolist(), "split": bool(split.any()), "eh": head["ehash"].to_numpy(np.int64).tobytes(), "n": n.tobytes(),
                "owner": owner.astype(np.int32).tobytes(), "x": np.hstack([a[:, None], idx[:, None], phi[:, 1:], phin[:, 1:]]).astype(float).tobytes(), "m": m.tobytes(), "block": uuid.uuid4().hex}
         return out
@@ -311,24 +318,29 @@ def entity_blocks(d: Design, rewards: Sequence[str], ref: np.ndarray | None = No
         for pdf in batches:
             rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
             e = rest["entity_id"].to_numpy()
+            if summed:
+                for at in range(0, len(rest), long):
+                    yield pd.DataFrame([block(rest.iloc[at:at + long], np.zeros(1, int))])
+                rest = None
+                continue
             first = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]])) if len(e) else np.zeros(0, int)
-            while len(first) > most or len(rest) > 4 * STRETCH and len(first) > 1:
-                take = min(most, len(first) - 1, max(1, int(np.searchsorted(first, 2 * STRETCH))))
+            while len(first) > most or len(rest) > 2 * long and len(first) > 1:
+                take = min(most, len(first) - 1, max(1, int(np.searchsorted(first, long))))
                 yield pd.DataFrame([block(rest.iloc[: first[take]], first[:take])])
                 rest, first = rest.iloc[first[take]:].reset_index(drop=True), first[take:] - first[take]
         if rest is not None and len(rest):
             yield pd.DataFrame([block(rest, first)])
 
     schema = f"ids array<{kind}>, split boolean, eh binary, n binary, owner binary, x binary, m binary, block string"
-    dealt = rows.repartition(F.col("entity_id"), stretch).sortWithinPartitions("entity_id")
-    return materialise(dealt.mapInPandas(task, schema), "entity-blocks")
+    dealt = rows if summed else rows.repartition(F.col("entity_id"), stretch).sortWithinPartitions("entity_id")
+    return materialise(dealt.mapInPandas(task, schema), "entity-blocks", **SMALL_GROUPS)
 
 
 def weighted_blocks(blocks: DataFrame, weights: DataFrame) -> DataFrame:
     """The moment table with ``w``, every block's entities x draws of a table (entity_id, w array); only weights are shuffled."""
     each = blocks.select("block", F.posexplode("ids").alias("at", "entity_id")).join(weights, "entity_id")
     packed = each.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "w"))), lambda c: c["w"]).alias("w"))
-    return materialise(blocks.join(packed, "block"), "weighted-blocks")
+    return materialise(blocks.join(packed, "block"), "weighted-blocks", **SMALL_GROUPS)
 
 
 def read_block(row, cuts: int, q: int, lay: Layout, moments: bool = True) -> Block:
@@ -353,6 +365,7 @@ class Pass:
     rnd: Randomness
     ids: np.ndarray
     ref: np.ndarray | None  # cuts x 2 x 2q
+    summed: bool = False  # the table has sums of blocks, not moments of entities
 
     def __getstate__(self) -> dict:
         """What a task gets: all but the tables."""
@@ -536,14 +549,16 @@ def _score_means(models: Models) -> tuple[np.ndarray, np.ndarray]:
     return rhs - (gram @ beta[..., None])[..., 0] + p.rule.gamma * (cross @ beta[..., None])[..., 0], totals
 
 
-def _pass(d: Design, rule: FitRule, rnd: Randomness, ids: Sequence[int], ref: np.ndarray | None) -> Pass:
+def _pass(d: Design, rule: FitRule, rnd: Randomness, ids: Sequence[int], ref: np.ndarray | None, summed: bool = False) -> Pass:
     rewards = ("base_reward", "residual") if rnd.kind == "reward" else ("reward",)
-    key = (rewards, None if ref is None else ref.tobytes())
+    if summed and (rule.estimator != "sums" or rnd.kind != "none"):
+        raise ValueError("only plain sums do without the moments of entities")
+    key = (rewards, None if ref is None else ref.tobytes(), summed)
     if key not in d.cache:
-        d.cache[key] = entity_blocks(d, rewards, ref)
+        d.cache[key] = entity_blocks(d, rewards, ref, summed)
     if rnd.table is not None and (*key, rnd.table) not in d.cache:
         d.cache[*key, rnd.table] = weighted_blocks(d.cache[key], rnd.table)
-    return Pass(d.cache[key if rnd.table is None else (*key, rnd.table)], d.cuts, Layout(d.q, len(rewards)), rule, rnd, np.asarray(ids, dtype=int), ref)
+    return Pass(d.cache[key if rnd.table is None else (*key, rnd.table)], d.cuts, Layout(d.q, len(rewards)), rule, rnd, np.asarray(ids, dtype=int), ref, summed)
 
 
 def draws_per_block(d: Design) -> int:
@@ -551,16 +566,18 @@ def draws_per_block(d: Design) -> int:
     return max(1, min(256, BLOCK_DOUBLES // (2 * len(d.cuts) * Layout(d.q, 2).size)))
 
 
-def fit(d: Design, rule: FitRule = FitRule(), rnd: Randomness = Randomness(), draws: Sequence[int] | None = None, start: np.ndarray | None = None) -> Models:
+def fit(d: Design, rule: FitRule = FitRule(), rnd: Randomness = Randomness(), draws: Sequence[int] | None = None, start: np.ndarray | None = None,
+        summed: bool = False) -> Models:
     """All (draw, cut, side) models of at most a block of draws.
 
     ``fixed_point`` repeats the fitted-Q update from zero and defines the answer; ``policy`` solves the linear system of the current greedy
     policy in each pass and accepts a solution only when the fitted-Q update leaves it unchanged to the tolerance, falling
     back to plain updates otherwise. ``start`` (cuts x 2 x 2q, such as the observed coefficients) gives draws their first coefficients and the
-    policy against which flipped rows are added; without it both are zero.
+    policy against which flipped rows are added; without it both are zero. ``summed`` keeps no entity's moments, for a fit by sums
+    whose coefficients alone are wanted: it has no contributions.
     """
     ids = list(draws if draws is not None else [0])
-    p = _pass(d, rule, rnd, ids, start)
+    p = _pass(d, rule, rnd, ids, start, summed)
     q, c, n = d.q, len(d.cuts), len(ids)
     lead, dim = (n, c, 2), 2 * d.q
     sums = draw_sums(p)
@@ -641,6 +658,8 @@ def _entity_scores(p: Pass, beta: np.ndarray, kind: str) -> DataFrame:
 def _per_entity(p: Pass, models: Models, kind: str, work, schema: str) -> DataFrame:
     """``work(ids, n, coefficients)`` per block of entities; coefficients are draws x cuts x entities x 2q."""
     c, lay, beta = len(p.cuts), p.lay, models.beta
+    if p.summed:
+        raise ValueError("a summed fit has no contributions of entities")
     known = (*_score_means(models), np.linalg.inv(models.W))
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

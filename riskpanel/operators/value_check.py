@@ -56,7 +56,7 @@ def value_check(fit_rows: DataFrame, eval_rows: DataFrame, dim: int, rewards: Ma
         design = prepare(panel, [_END], 0, _END + 1, dim, f"check-{name}")
         for alpha in alphas:
             rule = FitRule(gamma=gamma, alpha=float(alpha), tolerance=tolerance, max_iterations=300, estimator="sums")
-            models = fit(design, rule)
+            models = fit(design, rule, summed=True)
             beta = models.beta[0, 0, 0]
             v = q_values(eval_rows, beta, dim).select(
                 "entity_id", "split", "elapsed_index", "action", "propensity", F.lit(name).alias("reward_name"), F.lit(float(alpha)).alias("alpha"),

@@ -37,14 +37,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def materialise(df: DataFrame, label: str = "table") -> DataFrame:
+def materialise(df: DataFrame, label: str = "table", **options) -> DataFrame:
     """Write once to the shared folder and read back: later plans start from a columnar scan.
 
     This cuts lineage durably, so neither a lost executor nor a later query replays the
-    upstream windows, and every reader prunes columns and pushes filters into the files.
+    upstream windows, and every reader prunes columns and pushes filters into the files. ``options`` go to the writer.
     """
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
