@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 
 import numpy as np
 import pandas as pd
@@ -354,6 +354,13 @@ def read_block(row, cuts: int, q: int, lay: Layout, moments: bool = True) -> Blo
                  None if w is None else np.vstack(w).T)
 
 
+def _part(b: Block, start: int, end: int) -> Block:
+    """Entities ``start`` to ``end`` of a block whose rows lie by entity."""
+    lo, hi = np.searchsorted(b.owner, [start, end])
+    return Block(b.eh[start:end], b.n[start:end], b.owner[lo:hi] - start, b.action[lo:hi], b.idx[lo:hi], b.phi[lo:hi], b.phin[lo:hi],
+                 b.m[start:end], None if b.weights is None else b.weights[:, start:end])
+
+
 @dataclass(frozen=True)
 class Pass:
     """Everything a pass over the moment table needs besides coefficients."""
@@ -661,19 +668,21 @@ def _per_entity(p: Pass, models: Models, kind: str, work, schema: str) -> DataFr
     if p.summed:
         raise ValueError("a summed fit has no contributions of entities")
     known = (*_score_means(models), np.linalg.inv(models.W))
+    some = max(1, 4 * BLOCK_VALUES // (len(p.ids) * c * 4 * lay.q))  # entities whose scores under all draws are held at once
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                b = read_block(row, c, lay.q, lay)
-                coef = _coefficients(p, b.n, p.draw_weights(b), _scores(p, b, beta), *known)
-                yield work(list(row.ids), b.n, coef)
+                whole_block, ids = read_block(row, c, lay.q, lay), list(row.ids)
+                for at in range(0, len(ids), some):
+                    b = _part(whole_block, at, at + some)
+                    coef = _coefficients(p, b.n, p.draw_weights(b), _scores(p, b, beta), *known)
+                    yield work(ids[at:at + some], b.n, coef)
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step = max(1, BLOCK_DOUBLES // (len(p.ids) * c * 4 * lay.q))
         for pdf in batches:
-            for at in range(0, len(pdf), step):
-                part = pdf.iloc[at:at + step]
+            for at in range(0, len(pdf), some):
+                part = pdf.iloc[at:at + some]
                 n = _matrix(part["n"]).reshape(len(part), c, 2)
                 b = Block(part["ehash"].to_numpy(np.int64), n, None, None, None, None, None, None, _matrix(part["w"]).T if len(part["w"].iloc[0]) else None)
                 scores = _matrix(part["v"]).reshape(len(part), c, 2, 2 * lay.q, -1).transpose(1, 2, 0, 3, 4)
@@ -783,15 +792,18 @@ def leave_one_out(d: Design, rule: FitRule, models: Models, z_design: np.ndarray
     def moves(near: dict, b: Block, beta: np.ndarray) -> np.ndarray:
         """entities x cuts x 2 x 2 actions x q x q: what flips in rows of others."""
         out = np.zeros((len(b.eh), c, 2, 2, q * q))
-        for (j, s), rows in near.items():
-            flip = ((beta[:, j, s, q:] - beta[:, j, s, :q]) @ rows.phin.T > 0) != rows.was[None, :]
-            flip &= b.eh[:, None] != rows.eh[None, :]
-            some = flip.any(axis=0)
-            v = flip[:, some] * (np.where(rows.was[some], -1.0, 1.0) * rows.weight[some])[None, :]
-            outer = (rows.phi[some][:, :, None] * rows.phin[some][:, None, :]).reshape(-1, q * q)
-            for a in (0, 1):
-                mine = rows.action[some] == a
-                out[:, j, s, a] = v[:, mine] @ outer[mine]
+        many = max(1, 4 * BLOCK_VALUES // max(len(b.eh), q * q))  # near rows compared with all entities of the block at once
+        for (j, s), near_rows in near.items():
+            for at in range(0, len(near_rows.eh), many):
+                rows = _Near(*[getattr(near_rows, f.name)[at:at + many] for f in fields(_Near)])
+                flip = ((beta[:, j, s, q:] - beta[:, j, s, :q]) @ rows.phin.T > 0) != rows.was[None, :]
+                flip &= b.eh[:, None] != rows.eh[None, :]
+                some = flip.any(axis=0)
+                v = flip[:, some] * (np.where(rows.was[some], -1.0, 1.0) * rows.weight[some])[None, :]
+                outer = (rows.phi[some][:, :, None] * rows.phin[some][:, None, :]).reshape(-1, q * q)
+                for a in (0, 1):
+                    mine = rows.action[some] == a
+                    out[:, j, s, a] += v[:, mine] @ outer[mine]
         return out
 
     def step(b: Block, moved: np.ndarray, beta: np.ndarray, done: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:

@@ -42,3 +42,31 @@ def test_rows_of_the_moment_table_stay_small(spark, tmp_path):
     size = 8 * 2 * 3 * Q.Layout(design.q, 1).size
     most = max(1, Q.BLOCK_VALUES * 8 // size)
     assert p.blocks.agg(F.max(F.length("m"))).first()[0] <= most * size <= 8 * Q.BLOCK_VALUES <= 2 << 20
+
+
+def test_scores_and_near_rows_are_held_in_parts(spark, monkeypatch):
+    """Influences of many draws, and leave-one-out refits, with a few entities and near rows at a time."""
+    rows = make(6, 30)
+    design = Q.prepare(spark.createDataFrame(rows, SCHEMA).repartition(1), CUTS, START, END, P)
+    rule, rnd, z = Q.FitRule(gamma=0.9, alpha=1.0, tolerance=1e-9), Q.Randomness("weight", "exponential", 5), np.eye(2 * (P + 1))
+    models = Q.fit(design, rule)
+    drawn = Q.fit(design, rule, rnd, range(6), models.beta[0])
+    largest = []
+    inner = Q._scores
+
+    def results():
+        delta = {r["entity_id"]: np.array(r["delta"]) for r in Q.contributions(design, rule, drawn, z, rnd).collect()}
+        second = {r["i"]: np.array(r["v"]) for r in Q.influence_moments(design, drawn).collect()}
+        left = {(r["entity_id"], r["candidate"]): np.array(r["value"]) for r in Q.leave_one_out(design, rule, models, z).collect()}
+        return delta, second, left
+
+    want = results()
+    p = drawn.extra["pass"]
+    row = p.blocks.toPandas().iloc[0]
+    block = Q.read_block(row, len(p.cuts), p.lay.q, p.lay)
+    for at in range(0, len(block.eh), 4):
+        largest.append(inner(p, Q._part(block, at, at + 4), drawn.beta))
+    assert np.allclose(np.concatenate(largest, axis=2), inner(p, block, drawn.beta), atol=1e-12)
+    monkeypatch.setattr(Q, "BLOCK_VALUES", 200)
+    for a, b in zip(want, results()):
+        assert set(a) == set(b) and all(np.allclose(a[k], b[k], atol=1e-7) for k in a)
