@@ -99,9 +99,10 @@ def rate_marks(steps: DataFrame, schedule: DataFrame, overrides: DataFrame, p: F
 
 def state_features(steps: DataFrame, actions: DataFrame, exposures: DataFrame, schedule: DataFrame,
                    overrides: DataFrame, p: FeatureProtocol = FeatureProtocol()) -> DataFrame:
-    """The step table with its raw state columns, all from one sorted scan.
+    """The step table with its raw state columns, from a scan over the observations and one over all records.
 
-    Observations, instantaneous doses, begin/end breakpoints of extended doses, exposures and changes of
+    The first gives each observation its statistics of earlier ones, so that only observations are copied for the longest
+    lookback and only the originals go on.  They, instantaneous doses, begin/end breakpoints of extended doses, exposures and changes of
     the rate are merged into one stream per (entity, chunk); each row is copied only to the chunks its longest
     lookback reaches.  Extended delivery is piecewise linear, so its amount and its linear-decay
     integral follow from running sums of slope changes: no observation is paired with an event.
@@ -113,9 +114,25 @@ def state_features(steps: DataFrame, actions: DataFrame, exposures: DataFrame, s
     look_exp = max(*p.exposure_min, p.since_cap_min)
     payload = [c for c in steps.columns if c not in (*K, CHUNK)]
     obs = steps.select(*K, micros("tau_t").alias("t"), F.col("value").alias("v"), F.struct(*payload).alias("row"))
-    obs = with_halo(obs, F.col("t"), F.col("t") + _us(look_obs), p.chunk_min)
+    obs = with_halo(obs, F.col("t"), F.col("t") + _us(look_obs), p.chunk_min).withColumn("row", F.when(F.col("_own"), F.col("row")))
     begin, end = micros("ts"), micros("ts_end")
     summed = actions.groupBy(*K, "ts", "ts_end").agg(F.sum("dose").alias("dose"))
+    width = F.lit(_us(p.chunk_min))
+    inside = F.col("t") - F.col(CHUNK) * width
+    w = Window.partitionBy(*K, CHUNK).orderBy("t")
+
+    def span(lo: float | None, hi: int) -> Window:
+        return w.rangeBetween(Window.unboundedPreceding if lo is None else int(lo), hi)
+
+    s1, s2 = p.stats_min
+    stats = {
+        "slope_short": F.coalesce(F.regr_slope("v", "x").over(span(-_us(p.slope_min[0]), 0)), F.lit(0.0)),
+        "slope_long": F.coalesce(F.regr_slope("v", "x").over(span(-_us(p.slope_min[1]), 0)), F.lit(0.0)),
+        "mean_short": F.avg("v").over(span(-_us(s1), 0)), "std_short": F.stddev_pop("v").over(span(-_us(s1), 0)),
+        "mean_long": F.avg("v").over(span(-_us(s2), 0)), "std_long": F.stddev_pop("v").over(span(-_us(s2), 0)),
+        "_n": F.count("v").over(span(-_us(s1), 0)),
+    }
+    obs = obs.withColumn("x", inside / F.lit(float(MINUTE_US))).select("*", *[c.alias(n) for n, c in stats.items()]).where("_own").drop("x")
     doses = with_halo(summed.select(*K, begin.alias("t"), F.greatest(begin, end).alias("e"), "dose"), F.col("t"),
                       F.col("e") + _us(look_act), p.chunk_min)
     instant = F.col("e") <= F.col("t")
@@ -132,30 +149,18 @@ def state_features(steps: DataFrame, actions: DataFrame, exposures: DataFrame, s
         *K, CHUNK, "t", "amount", F.col("t").alias("exp"))
     marks = rate_marks(steps, schedule, overrides, p)
     stream = obs.unionByName(doses, True).unionByName(exp, True).unionByName(marks, True).repartition(*K, CHUNK)
-    width = F.lit(_us(p.chunk_min))
-    stream = stream.withColumn("x", (F.col("t") - F.col(CHUNK) * width) / F.lit(float(MINUTE_US)))
-    w = Window.partitionBy(*K, CHUNK).orderBy("t")
-
-    def span(lo: float | None, hi: int) -> Window:
-        return w.rangeBetween(Window.unboundedPreceding if lo is None else int(lo), hi)
+    stream = stream.withColumn("x", inside / F.lit(float(MINUTE_US)))
 
     def total(c: Column, lo: float | None, hi: int) -> Column:
         return F.coalesce(F.sum(c).over(span(lo, hi)), F.lit(0.0))
 
     ds, b = F.col("ds"), F.col("x")
-    s1, s2 = p.stats_min
     h = p.residual_horizon_min
     cols = {
-        "slope_short": F.coalesce(F.regr_slope("v", "x").over(span(-_us(p.slope_min[0]), 0)), F.lit(0.0)),
-        "slope_long": F.coalesce(F.regr_slope("v", "x").over(span(-_us(p.slope_min[1]), 0)), F.lit(0.0)),
-        "mean_short": F.avg("v").over(span(-_us(s1), 0)), "std_short": F.stddev_pop("v").over(span(-_us(s1), 0)),
-        "mean_long": F.avg("v").over(span(-_us(s2), 0)), "std_long": F.stddev_pop("v").over(span(-_us(s2), 0)),
-        "_n": F.count("v").over(span(-_us(s1), 0)),
         "_a0": total(ds, None, 0), "_b0": total(ds * b, None, 0), "_c0": total(ds * b * b, None, 0),
         "_ah": total(ds, None, -_us(h)), "_bh": total(ds * b, None, -_us(h)), "_ch": total(ds * b * b, None, -_us(h)),
         "_ih": total(F.col("dose"), -_us(h) + 1, -1), "_jh": total(F.col("dose") * b, -_us(h) + 1, -1),
-        "_act": F.max("act").over(span(-_us(p.since_cap_min), -1)),
-        "_exp": F.max("exp").over(span(-_us(p.since_cap_min), 0)),
+        "_act": F.max("act").over(span(None, -1)), "_exp": F.max("exp").over(span(None, 0)),
     }
     for tag, m in zip(("short", "long"), p.delivery_min):
         cols[f"_a{tag}"], cols[f"_b{tag}"] = total(ds, None, -_us(m)), total(ds * b, None, -_us(m))

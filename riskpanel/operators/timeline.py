@@ -19,9 +19,9 @@ CHUNK = "_chunk"
 
 
 def chunked(df: DataFrame, keys: Sequence[str], ts: str, chunk_min: float) -> DataFrame:
-    """Add the chunk number and distribute by (keys, chunk): the one large shuffle of a scan."""
+    """Add the chunk number.  A scan's windows distribute by (keys, chunk), its one large shuffle; summaries are added up before theirs."""
     width = F.lit(int(chunk_min * MINUTE_US))
-    return df.withColumn(CHUNK, F.floor(micros(ts) / width).cast("long")).repartition(*keys, CHUNK)
+    return df.withColumn(CHUNK, F.floor(micros(ts) / width).cast("long"))
 
 
 def with_halo(df: DataFrame, t_us: Column, until_us: Column, chunk_min: float) -> DataFrame:
@@ -40,7 +40,8 @@ _PREFIX = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def _order_struct(order: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c) for c in order])
+    """What a row is ordered by; a single column stays plain, so that it is aggregated by hash."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -91,8 +92,8 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: S
     for side in sides:
         step, edge = (F.lag, F.max_by) if side == "prev" else (F.lead, F.min_by)
         local.append(step(payload).over(inside).alias(f"_l_{side}"))
-        totals.append(edge(payload, _order_struct(order)).alias(f"_c_{side}"))
-        carry.append(step(f"_c_{side}").over(across).alias(f"_c_{side}"))
+        totals.extend(edge(F.col(c), _order_struct(order)).alias(f"_c_{side}_{c}") for c in cols)
+        carry.append(step(F.struct(*[F.col(f"_c_{side}_{c}").alias(c) for c in cols])).over(across).alias(f"_c_{side}"))
         both = F.coalesce(F.col(f"_l_{side}"), F.col(f"_c_{side}"))
         result.extend(both[c].alias(f"{side}_{c}") for c in cols)
     summary = df.groupBy(*keys, CHUNK).agg(*totals).select(*keys, CHUNK, *carry)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import cases, fixed_text, minutes_between
 from ..params import FEATURES, KEYS, FeatureProtocol, GapProtocol, RewardRule
 from .features import scale_state
-from .gaps import locate, number_edges, run_start, within
+from .gaps import run_start, within
 from .timeline import CHUNK, chunked, neighbours, running
 
 K = list(KEYS)
@@ -22,33 +22,61 @@ def utility_reward(x: Column, rule: RewardRule) -> Column:
     return cases([((x <= bound) if closed else (x < bound), u) for bound, closed, u in rule.steps], rule.above)
 
 
-def tie_cells(actions: DataFrame, exposures: DataFrame, cells: DataFrame, chunk_min: float) -> DataFrame:
-    """Cells in which an action and an exposure share a timestamp, and whether that is the cell's start."""
-    both = actions.select(*K, "ts").distinct().join(exposures.select(*K, "ts").distinct(), [*K, "ts"])
-    found = locate(both, cells, ["tau_next"], chunk_min).where(F.col("ts") < F.col("cell.tau_next"))
-    return found.groupBy(*K, F.col("cell.start").alias("tau_t")).agg(
-        F.lit(True).alias("tie_in_cell"), F.bool_or(F.col("ts") == F.col("cell.start")).alias("tie_at_tau"))
+def tied_times(actions: DataFrame, exposures: DataFrame) -> DataFrame:
+    """Times at which an action and an exposure share a timestamp."""
+    return actions.select(*K, "ts").distinct().join(exposures.select(*K, "ts").distinct(), [*K, "ts"])
 
 
 def transitions(features: DataFrame, actions: DataFrame, exposures: DataFrame, gap: GapProtocol,
                 p: FeatureProtocol, reward: RewardRule) -> DataFrame:
-    """State, next state, action, rewards from the next observation, validity and tie flags."""
-    located = chunked(features, K, "tau_t", gap.chunk_min)
-    ahead = neighbours(located, K, ["tau_t"], list(FEATURES), sides=("next",))
-    cells = number_edges(ahead, gap)
-    lo, hi = gap.valid_min
-    ties = tie_cells(actions, exposures, cells.select(*K, "tau_t", "tau_next"), gap.chunk_min)
-    named = cells.withColumn("invalid_reason", F.when(F.col("valid"), F.lit("")).otherwise(
-        F.concat(F.lit("gap_"), fixed_text(F.col("gap_min"), 3), F.lit(f"min_outside_[{lo},{hi}]"))))
-    out = named.join(ties, [*K, "tau_t"], "left")
+    """State, next state, action, rewards from the next observation, validity and tie flags.
+
+    The wide rows are shuffled and sorted once: tied times join their stream as rows, and the next state, the edge and
+    segment numbers and the ties of a cell come from one scan and one summary row per (entity, chunk), which is
+    added up before it is shuffled.  A cell has a tie if the last tied time before its end is not before its start.
+    """
+    no_time = F.lit(None).cast("timestamp_ntz")
+    tied = tied_times(actions, exposures).select(*K, F.col("ts").alias("tau_t"), F.col("ts").alias("_tie"), F.lit(1).alias("_rank"))
+    rows = chunked(features.withColumn("_tie", no_time).withColumn("_rank", F.lit(0)).unionByName(tied, allowMissingColumns=True),
+                   K, "tau_t", gap.chunk_min)
+    ok, before = within(F.col("gap_min"), gap.valid_min), within(F.col("prev_gap_min"), gap.valid_min)
+    edge, start = F.col("tau_next").isNotNull().cast("long"), run_start(ok, before)
+
+    at = F.when(F.col("_rank") == 0, F.col("tau_t"))
+    totals = rows.groupBy(*K, CHUNK).agg(
+        F.sum(edge).alias("_n"), F.sum(start).alias("_s"), F.min("_tie").alias("_lo"), F.max("_tie").alias("_hi"),
+        F.min(at).alias("_head"), *[F.min_by(f, at).alias(f) for f in FEATURES])
+    history = Window.partitionBy(*K)
+    earlier = history.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    later = history.orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
+    head = F.when(F.col("_head").isNotNull(), F.struct(*FEATURES, F.col("_hi0").alias("_hi"), "_lo"))
+    summary = totals.select(
+        "*", F.max("_hi").over(earlier).alias("_hi0"), F.sum("_n").over(earlier).alias("_n0"), F.sum("_s").over(earlier).alias("_s0")).select(
+        *K, CHUNK, "_n0", "_s0", F.last(head, ignorenulls=True).over(later).alias("_there"))
+
+    w = Window.partitionBy(*K, CHUNK).orderBy("tau_t", "_rank")
+    marked = rows.select(
+        "*", F.max("_tie").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_seen"),
+        F.coalesce(F.lead("_tie").over(w) == F.col("tau_t"), F.lit(False)).alias("tie_at_tau")).where("_rank = 0")
+    w = Window.partitionBy(*K, CHUNK).orderBy("tau_t")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    scanned = marked.select(
+        "*", F.lead(F.struct(*FEATURES, "_seen")).over(w).alias("_here"), F.sum(edge).over(so_far).alias("_n"),
+        F.sum(start).over(so_far).alias("_s")).where("tau_next IS NOT NULL").join(summary, [*K, CHUNK], "left")
+    zero = F.lit(0).cast("long")
+    t, here, there = F.col("tau_t"), F.col("_here"), F.col("_there")
+    tie = F.when(here.isNotNull(), here["_seen"] >= t).otherwise((there["_hi"] >= t) | (there["_lo"] < F.col("tau_next")))
     x = F.col("next_value")
-    return out.select(
-        *K, CHUNK, F.lit(p.interval_min).alias("interval_min"), "edge_index", "segment_id", "tau_t", "tau_next",
-        F.col("gap_min").alias("duration_min"), "value", "next_value", "action", "action_count", "action_dose",
+    count = F.coalesce("action_count", F.lit(0))
+    return scanned.select(
+        *K, CHUNK, F.lit(p.interval_min).alias("interval_min"), (F.col("_n") + F.coalesce("_n0", zero) - 1).alias("edge_index"),
+        F.when(ok, F.col("_s") + F.coalesce("_s0", zero) - 1).otherwise(F.lit(-1).cast("long")).alias("segment_id"), "tau_t", "tau_next",
+        F.col("gap_min").alias("duration_min"), "value", "next_value", (count > 0).cast("int").alias("action"), "action_count", "action_dose",
         binary_reward(x, reward).alias("reward_binary"), utility_reward(x, reward).alias("reward_weighted"),
-        "valid", "invalid_reason", "override_active", F.coalesce("tie_at_tau", F.lit(False)).alias("tie_at_tau"),
-        F.coalesce("tie_in_cell", F.lit(False)).alias("tie_in_cell"),
-        *[F.col(f).alias(f"raw__{f}") for f in FEATURES], *[F.col(f"next_{f}").alias(f"next_raw__{f}") for f in FEATURES])
+        ok.alias("valid"), F.when(ok, F.lit("")).otherwise(F.concat(
+            F.lit("gap_"), fixed_text(F.col("gap_min"), 3), F.lit("min_outside_[{},{}]".format(*gap.valid_min)))).alias("invalid_reason"),
+        "override_active", "tie_at_tau", F.coalesce(tie, F.lit(False)).alias("tie_in_cell"),
+        *[F.col(f).alias(f"raw__{f}") for f in FEATURES], *[F.coalesce(here[f], there[f]).alias(f"next_raw__{f}") for f in FEATURES])
 
 
 def action_rows_by_cell(actions: DataFrame, cells: DataFrame, chunk_min: float) -> DataFrame:
