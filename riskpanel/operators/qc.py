@@ -15,7 +15,7 @@ from ..params import FEATURES, KEYS
 from ..session import materialise
 from .fqi import _matrix, sum_arrays
 from .gaps import locate
-from .quantiles import cumulative_cells, exact_quantile_table, exact_quantiles
+from .quantiles import cumulative_cells, exact_quantile_table, exact_quantiles, grouped_distributions
 from .timeline import CHUNK, chunked, running
 
 K = list(KEYS)
@@ -153,7 +153,7 @@ def segment_support(segments: DataFrame) -> DataFrame:
         F.count_if(F.col("action_1") < 5).alias("segments_lt5_actions"),
         F.sum(F.when(F.col("action_1") == 0, F.col("T")).otherwise(0)).alias("transitions_in_zero_segments"),
         F.sum("T").alias("_t"))
-    q = exact_quantiles(segments, ["split"], "action_1", {"median_actions": 0.5, "p25_actions": 0.25})
+    q = exact_quantiles(segments, ["split"], "action_1", {"median_actions": 0.5, "p25_actions": 0.25}, few=True)
     return base.join(q, "split").withColumn(
         "fraction_in_zero_segments", F.col("transitions_in_zero_segments") / F.col("_t")).drop("_t")
 
@@ -165,11 +165,9 @@ def long_features(cells: DataFrame, keep: Sequence[str], features: Sequence[str]
 
 def feature_distributions(cells: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Mean, population sd and quantiles of each feature by entity and action."""
-    group = [*K, "interval_min", "action", "feature"]
-    rows = long_features(cells, group[:-1], features)
-    base = rows.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
-    return base.join(exact_quantiles(rows, group, "x", {"p05": 0.05, "median": 0.5, "p95": 0.95}), group)
+    group = [*K, "interval_min", "action"]
+    rows = cells.where("valid").select(*group, *[F.col(f"raw__{f}").alias(f) for f in features])
+    return grouped_distributions(rows, group, features, {"p05": 0.05, "median": 0.5, "p95": 0.95})
 
 
 def left_closed(x: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
@@ -316,9 +314,9 @@ def overlap_summary(scores: DataFrame) -> DataFrame:
     """AUC, Brier, quantiles, common support and outside fractions of a score, per split."""
     p, a = F.col("propensity"), F.col("action")
     probs = {"p_min": 0.0, "p01": 0.01, "p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p_max": 1.0}
-    q = exact_quantiles(scores, ["split"], "propensity", probs)
+    q = exact_quantiles(scores, ["split"], "propensity", probs, few=True)
     by = exact_quantile_table(scores, ["split"], {"a0": F.when(a == 0, p), "a1": F.when(a == 1, p)},
-                              {"lo": SUPPORT_PROBS[0], "hi": SUPPORT_PROBS[1]})
+                              {"lo": SUPPORT_PROBS[0], "hi": SUPPORT_PROBS[1]}, few=True)
     bounds = by.select("split", F.greatest("a0_lo", "a1_lo").alias("common_support_lo"),
                        F.least("a0_hi", "a1_hi").alias("common_support_hi"))
     rows = scores.join(F.broadcast(bounds), "split")
@@ -337,9 +335,8 @@ def feature_support(cells: DataFrame, features: Sequence[str] = FEATURES) -> Dat
     """Robust 1 % / 99 % ranges of each feature by action and their intersection."""
     rows = long_features(cells, ["split", "action"], features)
     group = ["split", "feature"]
-    q = exact_quantile_table(rows, group, {
-        "a0": F.when(F.col("action") == 0, F.col("x")), "a1": F.when(F.col("action") == 1, F.col("x"))},
-        {"q01": SUPPORT_PROBS[0], "q99": SUPPORT_PROBS[1]})
+    q = exact_quantiles(rows, [*group, "action"], "x", {"q01": SUPPORT_PROBS[0], "q99": SUPPORT_PROBS[1]}, few=True)
+    q = q.groupBy(*group).agg(*[F.max(F.when(F.col("action") == a, F.col(c))).alias(f"a{a}_{c}") for a in (0, 1) for c in ("q01", "q99")])
     lo, hi = F.greatest("a0_q01", "a1_q01"), F.least("a0_q99", "a1_q99")
     outside = rows.where("action = 1").join(F.broadcast(q), group).groupBy(*group).agg(
         F.avg(((F.col("x") < F.col("a0_q01")) | (F.col("x") > F.col("a0_q99"))).cast("double")).alias("a1_outside_a0_range"))

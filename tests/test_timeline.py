@@ -1,6 +1,9 @@
 """Chunked scans, exact quantiles and causal features against brute force, with one dominant entity."""
 
+import re
+from contextlib import redirect_stdout
 from datetime import datetime, timedelta
+from io import StringIO
 
 import numpy as np
 import pandas as pd
@@ -9,9 +12,11 @@ from pyspark.sql import functions as F
 
 from riskpanel.operators import features as C
 from riskpanel.operators import gaps as G
+from riskpanel.operators import qc as E
+from riskpanel.operators import quantiles as Q
 from riskpanel.operators.quantiles import cumulative_cells, exact_quantiles
 from riskpanel.operators.timeline import chunked, neighbours, running
-from riskpanel.params import FeatureProtocol, GapProtocol
+from riskpanel.params import FEATURES, FeatureProtocol, GapProtocol
 
 T0 = datetime(2024, 1, 1)
 
@@ -148,3 +153,39 @@ def test_segments_and_gap_class(spark):
     assert e.segment_id.tolist() == [0, 0, -1, 1, -1, 2, 2, 2]
     c = G.classify_gaps(spark.createDataFrame(e[["entity_id", "split", "edge_index", "tau_t", "tau_next", "gap_min", "valid"]]), GapProtocol()).orderBy("edge_index").toPandas()
     assert c.gap_class[2] == "genuine_long_gap_approximately_3_missing" and c.gap_bin[4] == "1-2h"
+
+
+@pytest.mark.parametrize("values", [np.r_[np.full(5000, 1.0), np.linspace(100, 100.2, 3000), np.nan], -np.arange(50.0)])
+def test_exact_quantiles_of_few_groups(spark, values):
+    """Buckets counted first: the same numbers, and no row is shuffled before it is known to lie in a wanted bucket."""
+    df = spark.createDataFrame([(k, float(v)) for k in "ab" for v in values] + [("c", None)], "k string, x double")
+    ps = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.975, "e": 1.0}
+    got = exact_quantiles(df, ["k"], "x", ps, few=True).orderBy("k").toPandas()
+    assert got.k.tolist() == ["a", "b"]
+    for r in got.to_dict("records"):
+        assert np.allclose([r[n] for n in ps], np.nanquantile(values, list(ps.values())), rtol=1e-12, atol=1e-12)
+
+
+@pytest.mark.parametrize("whole", [5, 1000])
+def test_grouped_distributions_of_groups_of_any_size(spark, monkeypatch, whole):
+    monkeypatch.setattr(Q, "WHOLE_ROWS", whole)
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"k": np.r_[np.zeros(300), rng.integers(1, 60, 200)].astype(int), "u": rng.normal(size=500).round(1), "v": rng.lognormal(0, 3, 500)})
+    out = Q.grouped_distributions(spark.createDataFrame(pdf), ["k"], ["u", "v"], {"lo": 0.05, "mid": 0.5})
+    got = out.toPandas().set_index(["k", "feature"]).sort_index()
+    for c in ("u", "v"):
+        by = pdf.groupby("k")[c]
+        here = got.xs(c, level="feature")
+        assert len(here) == len(by) and (here.n == by.size()).all() and np.allclose(here["mean"], by.mean()) and np.allclose(here.sd, by.std(ddof=0))
+        assert np.allclose(here.lo, by.quantile(0.05), rtol=1e-12) and np.allclose(here.mid, by.quantile(0.5), rtol=1e-12)
+
+
+def test_feature_rows_are_not_multiplied_before_the_shuffle(spark):
+    """All columns of a row travel together: no exchange holds a row per feature but that of the large groups."""
+    rows = spark.createDataFrame([(1, "training", 1.0, 0, True, *map(float, range(len(FEATURES))))], ", ".join(
+        ["entity_id long, split string, interval_min double, action int, valid boolean", *[f"raw__{f} double" for f in FEATURES]]))
+    text = StringIO()
+    with redirect_stdout(text):
+        E.feature_distributions(rows).explain("formatted")
+    wide = [x for x in re.findall(r"\) Exchange\nInput \[(\d+)\]", text.getvalue()) if int(x) >= len(FEATURES)]
+    assert len(wide) == 1
