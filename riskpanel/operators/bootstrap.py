@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import MULTIPLIERS, finite_p
 from ..session import materialise
 from .fqi import Design, FitRule, Models, Randomness, _matrix, draws_per_block, fit, influence_moments, keyed_draws, sum_arrays
-from .process import LAYERS, Prepared, jackknife, layer_columns, unpivot_layers
+from .process import LAYERS, Prepared, layer_columns, unpivot_layers
 from .quantiles import exact_quantiles
 
 # Ordered failure categories and the message fragments that select them.
@@ -179,41 +179,92 @@ def adjusted_contributions(contrib: DataFrame) -> DataFrame:
     return x.join(F.broadcast(mean), point).select("entity_id", *point, "delta", "hat", (F.col("_adj") - F.col("_m")).alias("adjusted"))
 
 
+def point_vectors(long: DataFrame, points: Sequence[tuple[int, int]], col: str) -> DataFrame:
+    """(entity_id, value): (entity_id, candidate, z, ``col``) rows as one vector over ``points`` per entity, NULL where there is none."""
+    numbered = long.sparkSession.createDataFrame([(c, z, i) for i, (c, z) in enumerate(points)], "candidate long, z long, p int")
+    cell = F.struct("p", F.coalesce(F.col(col), F.lit(float("nan"))).alias("x"))
+    rows = long.join(F.broadcast(numbered), ["candidate", "z"]).groupBy("entity_id").agg(F.collect_list(cell).alias("c")).select("entity_id", "c.p", "c.x")
+
+    def task(batches):
+        for pdf in batches:
+            out = np.full((len(pdf), len(points)), np.nan)
+            for i, (p, x) in enumerate(zip(pdf["p"], pdf["x"])):
+                out[i, np.asarray(p, int)] = x
+            yield pd.DataFrame({"entity_id": pdf["entity_id"], "value": list(out)})
+
+    kind = long.schema["entity_id"].dataType.simpleString()
+    return materialise(rows.mapInPandas(task, f"entity_id {kind}, value array<double>"), "point-vectors")
+
+
+def _vector_sums(vectors: DataFrame, n: int, work) -> np.ndarray:
+    """``work`` (entities x points to k x points) summed over all entities."""
+    def task(batches):
+        total = 0.0
+        for pdf in batches:
+            if len(pdf):
+                total = total + work(_matrix(pdf["value"]))
+        if np.ndim(total):
+            yield pd.DataFrame({"i": [0], "v": [total.ravel()]})
+
+    got = sum_arrays(vectors.select("value").mapInPandas(task, "i int, v array<double>"), ["i"], "v").first()
+    return np.zeros((2, n)) if got is None else np.asarray(got["v"]).reshape(-1, n)
+
+
 def variance_versions(contrib: DataFrame, left_out: DataFrame, contrast: DataFrame, draws: int, seed: int, law: str = "gaussian") -> DataFrame:
+    """``vector_versions`` of (entity_id, candidate, z) rows of contributions (``delta``) and of leave-one-out values (``leave_one_out``)."""
+    points = [(r["candidate"], r["z"]) for r in contrast.select("candidate", "z").orderBy("candidate", "z").collect()]
+    return vector_versions(point_vectors(contrib, points, "delta"), point_vectors(left_out, points, "leave_one_out"), contrast, draws, seed, law)
+
+
+def vector_versions(contrib: DataFrame, left_out: DataFrame, contrast: DataFrame, draws: int, seed: int, law: str = "gaussian") -> DataFrame:
     """Multiplier draws of the statistic under five variances, per (candidate, z, version): observed value, p-value, moments and quantiles.
 
     raw: no variance; fixed: that of the contributions; draw_specific: that of the multiplied contributions in every draw;
-    jackknife: pseudo-contributions of real leave-one-out values (entity_id, candidate, z, leave_one_out), with theirs; cr2: contributions
-    adjusted by their hat values, with theirs. Candidates and points are bounded by the design, so their tables are broadcast.
+    jackknife: pseudo-contributions of real leave-one-out values, with theirs; cr2: contributions adjusted by their hat values, with
+    theirs. Both tables have one vector ``value`` per entity over the points of ``contrast`` (by candidate and z), NULL where there is none;
+    points are bounded by the design, so no entity's vector is taken apart. Sums over entities give hat values, means and draws in turn.
     """
     point = ["candidate", "z"]
-    adjusted, pseudo = adjusted_contributions(contrib), jackknife(left_out, point)
-    g = F.count(F.lit(1)).cast("double")
-    stats = adjusted.groupBy(*point).agg(g.alias("g"), (g / (g - 1.0) * F.sum(F.col("delta") ** 2)).alias("fixed"), (g / (g - 1.0) * F.sum(F.col("adjusted") ** 2)).alias("cr2"))
-    stats = stats.join(pseudo.groupBy(*point).agg(F.first("variance").alias("jackknife")), point).join(contrast.select(*point, "contrast"), point)
-    points = stats.orderBy(*point).collect()
-    numbered = stats.sparkSession.createDataFrame([(r["candidate"], r["z"], i) for i, r in enumerate(points)], "candidate long, z long, p int")
-    x = adjusted.join(pseudo.select("entity_id", *point, "pseudo"), ["entity_id", *point], "left").join(F.broadcast(numbered), point)
+    told = contrast.select(*point, "contrast").orderBy(*point).collect()
+    n = len(told)
+    g, ss = _vector_sums(contrib, n, lambda d: np.stack([(~np.isnan(d)).sum(axis=0), np.nansum(d * d, axis=0)]))
+    lg, ls = _vector_sums(left_out, n, lambda v: np.stack([(~np.isnan(v)).sum(axis=0), np.nansum(v, axis=0)]))
+    scale, lmean = np.maximum(ss, np.finfo(float).tiny), ls / np.maximum(lg, 1.0)
+
+    def adjust(d: np.ndarray) -> np.ndarray:
+        return d / np.sqrt(np.maximum(1.0 - d * d / scale, 1e-8))
+
+    mean = _vector_sums(contrib, n, lambda d: np.nansum(adjust(d), axis=0)[None])[0] / np.maximum(g, 1.0)
     make, ids = MULTIPLIERS[law], F.sequence(F.lit(0), F.lit(draws - 1))
-    rows = x.groupBy("entity_id").agg(F.collect_list(F.struct("p", "delta", F.coalesce("pseudo", F.lit(0.0)).alias("pseudo"), "adjusted")).alias("c")).select(
-        *[F.col(f"c.{k}").alias(k) for k in ("p", "delta", "pseudo", "adjusted")], F.transform(ids, lambda d: make(F.lit(str(seed)), F.col("entity_id"), d)).alias("xi"))
-    n = len(points)
+    rows = contrib.withColumnRenamed("value", "d").join(left_out.withColumnRenamed("value", "v"), "entity_id", "full").select(
+        "d", "v", F.transform(ids, lambda d: make(F.lit(str(seed)), F.col("entity_id"), d)).alias("xi"))
 
     def task(batches):
-        total = np.zeros((draws, 4 * n))
+        total, squares = np.zeros((draws, 4 * n)), np.zeros((2, n))
+        none = np.full(n, np.nan)
         for pdf in batches:
             if len(pdf):
-                d = np.zeros((len(pdf), 3, n))
-                for i, r in enumerate(pdf.itertuples(index=False)):
-                    d[i][:, np.asarray(r.p)] = np.stack([r.delta, r.pseudo, r.adjusted])
-                xi = _matrix(pdf["xi"]).T
-                total += np.hstack([xi @ d.reshape(len(pdf), -1), (xi * xi) @ (d[:, 0] ** 2)])
-        yield pd.DataFrame({"draw": np.arange(draws), "v": list(total)})
-
-    sums = sum_arrays(rows.mapInPandas(task, "draw long, v array<double>"), ["draw"], "v")
+                d, v = (_matrix([none if x is None else x for x in pdf[c]]) for c in ("d", "v"))
+                pseudo, adjusted = np.nan_to_num(-(lg - 1.0) / np.maximum(lg, 1.0) * (v - lmean)), np.nan_to_num(adjust(d) - mean)
+                squares += np.stack([(adjusted ** 2).sum(axis=0), (pseudo ** 2).sum(axis=0)])
+                xi, there = _matrix(pdf["xi"]).T, ~np.isnan(d)
+                d = np.nan_to_num(d)
+                total += np.hstack([xi @ np.hstack([d, pseudo * there, adjusted]), (xi * xi) @ (d ** 2)])
+        yield pd.DataFrame({"draw": np.arange(-1, draws), "v": [squares.ravel(), *total]})
+
+    sums = materialise(sum_arrays(rows.mapInPandas(task, "draw long, v array<double>"), ["draw"], "v"), "version-sums")
+    got = sums.where("draw < 0").first()
+    sa, sj = np.zeros((2, n)) if got is None else np.asarray(got["v"]).reshape(2, n)
+
+    def variance(k: float, s: float) -> float | None:
+        return float(k / (k - 1.0) * s) if k > 1 and s > 0 else None
+
+    stats = sums.sparkSession.createDataFrame(
+        [(r["candidate"], r["z"], i, r["contrast"], float(g[i]), variance(g[i], ss[i]), variance(lg[i], sj[i]), variance(g[i], sa[i])) for i, r in enumerate(told) if g[i] > 0],
+        "candidate long, z long, p int, contrast double, g double, fixed double, jackknife double, cr2 double")
     cell = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(*[F.get("v", i + k * n).alias(c) for k, c in enumerate(("s1", "sj", "sa", "s2"))])))
-    per = sums.select("draw", cell.alias("p", "s")).select("draw", "p", "s.*").join(F.broadcast(numbered), "p").join(F.broadcast(stats), point)
-    spread = F.col("g") / (F.col("g") - 1.0) * (F.col("s2") - F.col("s1") ** 2 / F.col("g"))
+    per = sums.where("draw >= 0").select("draw", cell.alias("p", "s")).select("draw", "p", "s.*").join(F.broadcast(stats), "p")
+    spread = F.when(F.col("g") > 1, F.col("g") / (F.col("g") - 1.0) * (F.col("s2") - F.col("s1") ** 2 / F.col("g")))
     size = F.abs("contrast")
     versions = {"raw": (F.abs("s1"), size), "fixed": (F.abs("s1") / F.sqrt("fixed"), size / F.sqrt("fixed")),
                 "draw_specific": (F.abs("s1") / F.sqrt(F.greatest(spread, F.lit(1e-15))), size / F.sqrt("fixed")),

@@ -283,6 +283,12 @@ def _entity_moments(owner: np.ndarray, n: np.ndarray, a: np.ndarray, idx: np.nda
     return out / np.maximum(n, 1.0)[..., None]
 
 
+def partitions(d: Design) -> int:
+    """Tasks for work on all rows: four a core, so that they end together, of 10,000 rows at least and a million at most."""
+    rows = int(d.transitions[0].sum()) if len(d.transitions) else 0
+    return max(1, min(4 * d.rows.sparkSession.sparkContext.defaultParallelism, rows // 10_000), rows // 1_000_000)
+
+
 def entity_blocks(d: Design, rewards: Sequence[str], ref: np.ndarray | None = None, summed: bool = False) -> DataFrame:
     """The moment table: one row per (block of entities) with every entity's Gram, right-hand-side and cross blocks by (cut, side, action).
 
@@ -332,7 +338,7 @@ def entity_blocks(d: Design, rewards: Sequence[str], ref: np.ndarray | None = No
             yield pd.DataFrame([block(rest, first)])
 
     schema = f"ids array<{kind}>, split boolean, eh binary, n binary, owner binary, x binary, m binary, block string"
-    dealt = rows if summed else rows.repartition(F.col("entity_id"), stretch).sortWithinPartitions("entity_id")
+    dealt = rows if summed else rows.repartition(partitions(d), F.col("entity_id"), stretch).sortWithinPartitions("entity_id")
     return materialise(dealt.mapInPandas(task, schema), "entity-blocks", **SMALL_GROUPS)
 
 
@@ -768,7 +774,19 @@ def _slices(near: DataFrame, q: int) -> Iterator[tuple[dict, bool]]:
 
 
 def leave_one_out(d: Design, rule: FitRule, models: Models, z_design: np.ndarray, passes: int = 40) -> DataFrame:
-    """(entity_id, candidate, value): contrasts at ``z_design`` of the models refitted without each entity, NULL where a side is then empty.
+    """(entity_id, candidate, value): contrasts at ``z_design`` of the models refitted without each entity, NULL where a side is then empty."""
+    return by_candidate(leave_one_out_vectors(d, rule, models, z_design, passes), d.cuts, len(z_design))
+
+
+def by_candidate(vectors: DataFrame, cuts: Sequence[int], n_z: int) -> DataFrame:
+    """(entity_id, candidate, value) rows of vectors over cuts x points; NULL where the vector has none for the cut."""
+    parts = F.array(*[F.struct(F.lit(int(c)).cast("long").alias("candidate"), F.when(F.get("value", F.lit(j * n_z)).isNotNull(), F.slice("value", j * n_z + 1, n_z)).alias("value"))
+                      for j, c in enumerate(cuts)])
+    return vectors.select("entity_id", F.explode(parts).alias("p")).select("entity_id", "p.*")
+
+
+def leave_one_out_vectors(d: Design, rule: FitRule, models: Models, z_design: np.ndarray, passes: int = 40) -> DataFrame:
+    """(entity_id, value): the same contrasts as one vector over cuts x points, with NULL elements where a side is then empty.
 
     An entity's moments are taken out of the observed sums where they lie, and its small systems are solved there. What its removal
     flips in other entities' rows is added from the few rows near a policy border: they are found by the largest move of any
@@ -895,12 +913,11 @@ def leave_one_out(d: Design, rule: FitRule, models: Models, z_design: np.ndarray
             for row in pdf.itertuples(index=False):
                 b, beta, _ = arrays(row)
                 w = (b.n > 0).astype(float) if rule.estimator == "balanced" else b.n
-                lost = ((totals[None] - w) <= 1e-9).any(axis=-1)
                 v = (beta[:, :, 0] - beta[:, :, 1]) @ z_design.T
-                yield pd.DataFrame({"entity_id": np.repeat(np.asarray(list(row.ids), dtype=object), c), "candidate": np.tile(np.asarray(p.cuts, dtype="int64"), len(b.eh)),
-                                    "value": [None if lost[i, j] else v[i, j] for i in range(len(b.eh)) for j in range(c)]})
+                v[((totals[None] - w) <= 1e-9).any(axis=-1)] = np.nan  # NULL in the table
+                yield pd.DataFrame({"entity_id": list(row.ids), "value": list(v.reshape(len(b.eh), -1))})
 
-    return materialise(state.mapInPandas(values, f"entity_id {kind}, candidate long, value array<double>"), "leave-one-out")
+    return state.mapInPandas(values, f"entity_id {kind}, value array<double>")
 
 
 def _joined_pieces(p: Pass, kind: str) -> DataFrame:
@@ -937,7 +954,7 @@ def process_table(d: Design, models: Models, contrib: DataFrame, z_design: np.nd
                 top = np.maximum(top, np.abs(delta).max(axis=(0, -1)))
         yield pd.DataFrame({"b": np.arange(shape[0]), "sq": list(sq.reshape(shape[0], -1)), "top": list(top)})
 
-    parts = contrib.mapInPandas(task, "b long, sq array<double>, top array<double>")
+    parts = materialise(contrib.mapInPandas(task, "b long, sq array<double>, top array<double>"), "variance-parts")  # read twice
     tops = parts.groupBy("b").agg(*[F.max(F.col("top")[j]).alias(f"t{j}") for j in range(shape[1])]).collect()
     var, top = np.zeros(shape), np.zeros((*shape[:2], 1))
     for r in sum_arrays(parts.select("b", "sq"), ["b"], "sq").collect():

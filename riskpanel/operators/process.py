@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
-from .fqi import Design, FitRule, Models, contributions, fit, process_table
+from ..session import materialise
+from .fqi import Design, FitRule, Models, contributions, fit, partitions, process_table
 
 # Layer names.
 LAYERS = ("D0", "D1", "D2", "D3", "D4")
@@ -47,6 +49,17 @@ def long_contributions(wide: DataFrame, cuts, n_z: int) -> DataFrame:
         "entity_id", cut.alias("candidate"), F.pmod("p", F.lit(n_z)).alias("z"), "delta")
 
 
+def contribution_vectors(wide: DataFrame, n_z: int) -> DataFrame:
+    """(entity_id, value): per-entity vectors over cuts x points, with NULL elements at inactive cuts."""
+    def task(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"entity_id": pdf["entity_id"], "value": [
+                np.where(np.repeat(np.asarray(a, bool), n_z), d, np.nan) for a, d in zip(pdf["active"], pdf["delta"])]})
+
+    kind = wide.schema["entity_id"].dataType.simpleString()
+    return wide.select("entity_id", "active", "delta").mapInPandas(task, f"entity_id {kind}, value array<double>")
+
+
 def cluster_variance(contrib: DataFrame) -> DataFrame:
     """G/(G-1) sum of squares per (candidate, z); values at roundoff scale become exactly zero."""
     base = contrib.groupBy("candidate", "z").agg(
@@ -123,13 +136,28 @@ def transition_residuals(rows: DataFrame, residual: str = "residual") -> DataFra
 
 # --------------------------------------------------------------- fitted-model process
 class Prepared:
-    """Observed fit of one panel: design, models and the small per-cut arrays every arm needs."""
+    """Observed fit of one panel: design, models and the small per-cut arrays every arm needs.
+
+    Contributions and their variance are made when they are first asked for; a query that only reads coefficients does without them.
+    """
 
     def __init__(self, design: Design, rule: FitRule, models: Models, z_design: np.ndarray, bound: dict[int, float],
-                 midpoint: int, variance: np.ndarray, contrib: DataFrame) -> None:
+                 midpoint: int, variance: np.ndarray | None = None, contrib: DataFrame | None = None) -> None:
         self.design, self.rule, self.models, self.z_design = design, rule, models, z_design
         self.bound = np.asarray([bound[c] for c in design.cuts])
-        self.midpoint, self.variance, self.contrib = midpoint, variance, contrib
+        self.midpoint, self._variance, self._contrib = midpoint, variance, contrib
+
+    @property
+    def contrib(self) -> DataFrame:
+        if self._contrib is None:
+            self._contrib = materialise(contributions(self.design, self.rule, self.models, self.z_design), "contributions")
+        return self._contrib
+
+    @property
+    def variance(self) -> np.ndarray:
+        if self._variance is None:
+            self._variance = process_table(self.design, self.models, self.contrib, self.z_design)
+        return self._variance
 
     @property
     def contrast(self) -> np.ndarray:
@@ -151,12 +179,7 @@ class Prepared:
 
 
 def prepare_process(design: Design, rule: FitRule, z_design: np.ndarray, bound: dict[int, float], midpoint: int) -> Prepared:
-    from ..session import materialise
-
-    models = fit(design, rule)
-    contrib = materialise(contributions(design, rule, models, z_design), "contributions")
-    variance = process_table(design, models, contrib, z_design)
-    return Prepared(design, rule, models, z_design, bound, midpoint, variance, contrib)
+    return Prepared(design, rule, fit(design, rule), z_design, bound, midpoint)
 
 
 def jackknife(left_out: DataFrame, by=("candidate",)) -> DataFrame:
@@ -189,7 +212,7 @@ def fit_table(spark: SparkSession, design: Design, rule: FitRule, models: Models
 
 
 def row_values(design: Design, rule: FitRule, models: Models) -> DataFrame:
-    """Q-values, greedy action, residual and Q-gap of every row under the model of its side, for every cut; one scan."""
+    """Q-values, greedy action, residual and Q-gap of every row under the model of its side, for every cut; one scan of rows dealt evenly."""
     q, gamma = design.q, rule.gamma
     coef = [(int(c), side, [float(x) for x in models.beta[0, j, s]]) for j, c in enumerate(design.cuts) for s, side in enumerate(("left", "right"))]
     table = design.rows.sparkSession.createDataFrame(coef, "candidate long, side string, beta array<double>")
@@ -201,7 +224,7 @@ def row_values(design: Design, rule: FitRule, models: Models) -> DataFrame:
             total = total + F.get("beta", F.lit(first + i)) * F.element_at(vec, i)
         return total
 
-    rows = design.rows.select("entity_id", F.col("idx").alias("elapsed_index"), "action", "reward", "state", "next_state", cut.alias("c")).select("*", "c.candidate", "c.inv_n").drop("c")
+    rows = design.rows.repartition(partitions(design)).select("entity_id", F.col("idx").alias("elapsed_index"), "action", "reward", "state", "next_state", cut.alias("c")).select("*", "c.candidate", "c.inv_n").drop("c")
     rows = rows.withColumn("side", F.when(F.col("elapsed_index") < F.col("candidate"), "left").otherwise("right")).join(F.broadcast(table), ["candidate", "side"])
     out = rows.select("candidate", "side", "entity_id", "elapsed_index", "action", "reward", "inv_n", dot("state", 0).alias("q0"), dot("state", q).alias("q1"),
                       dot("next_state", 0).alias("next_q0"), dot("next_state", q).alias("next_q1"))

@@ -275,23 +275,22 @@ def refit_accounting(s: SparkSession, d: str) -> DataFrame:
 
 
 def left_out(s: SparkSession, d: str) -> DataFrame:
-    """Contrasts at all points of the models refitted without each entity."""
+    """Contrasts at all points of the models refitted without each entity, a vector over cuts x points."""
     p = prepared(s, d)
-    return shared_table(s, d, "left-out", lambda: Q.leave_one_out(p.design, RULE, p.models, p.z_design))
+    return shared_table(s, d, "left-out", lambda: Q.leave_one_out_vectors(p.design, RULE, p.models, p.z_design))
 
 
 def jackknife(s: SparkSession, d: str) -> DataFrame:
     """Leave-one-entity-out refits of every cut as pseudo-contributions and their variance, at the first point."""
-    return H.jackknife(left_out(s, d).select("entity_id", "candidate", F.element_at("value", 1).alias("leave_one_out")))
+    p = prepared(s, d)
+    values = Q.by_candidate(left_out(s, d), p.design.cuts, len(p.z_design))
+    return H.jackknife(values.select("entity_id", "candidate", F.element_at("value", 1).alias("leave_one_out")))
 
 
 def fitted_versions(s: SparkSession, d: str) -> DataFrame:
     """The five variances of the fitted contrast at all points of every cut."""
     p = prepared(s, d)
-    contrib = H.long_contributions(p.contrib, p.design.cuts, len(p.z_design)).select("entity_id", F.col("candidate").cast("long"), F.col("z").cast("long"), "delta")
-    points = F.transform(F.sequence(F.lit(1), F.lit(len(p.z_design))), lambda i: F.element_at("value", i))
-    out = left_out(s, d).select("entity_id", "candidate", F.posexplode(points).alias("z", "leave_one_out")).withColumn("z", F.col("z").cast("long"))
-    return B.variance_versions(contrib, out, observed(s, d), DRAWS, SEED)
+    return B.vector_versions(H.contribution_vectors(p.contrib, len(p.z_design)), left_out(s, d), observed(s, d), DRAWS, SEED)
 
 
 def jacobian_check(s: SparkSession, d: str) -> DataFrame:
