@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import FeatureProtocol, GapBin, GapProtocol, RewardRule, ToleranceRule
@@ -117,10 +117,15 @@ def daily_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.avg("value").alias("m"), F.count(F.lit(1)).alias("n"), F.max("value").alias("x"),
         F.max((F.col("event_type") == "purchase").cast("int")).alias("action"))
     state = F.array(F.round(F.col("m") / 50.0 + 1e-9, 6), F.col("n") / 4.0, F.round(F.col("x") / 100.0 + 1e-9, 6))
-    here = day.select("entity_id", "t", "action", state.alias("state"))
-    after = day.select("entity_id", (F.col("t") - 1).alias("t"), state.alias("next_state"),
-                       F.col("m").between(20.0, 70.0).cast("double").alias("reward"))
-    grid = day.groupBy("entity_id").agg(F.min("t").alias("_first")).select(
-        "entity_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WINDOW[1] - 1).cast("long"))).alias("t"))
-    out = grid.join(here, ["entity_id", "t"], "left").join(after, ["entity_id", "t"], "left")
+    inside = F.col("entity_id").isNotNull() & F.col("t").between(*WINDOW)
+    one = F.struct("action", state.alias("state"), F.col("m").between(20.0, 70.0).cast("double").alias("reward"))
+    entry = F.when(inside, F.struct("t", one.alias("day")))
+    own = day.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(entry)).alias("days"))  # bounded by the window
+
+    def cell(t: Column) -> Column:
+        here, after = F.try_element_at("days", t), F.try_element_at("days", t + 1)
+        return F.struct(t.alias("t"), here["action"].alias("action"), here["state"].alias("state"), after["state"].alias("next_state"), after["reward"].alias("reward"))
+
+    grid = F.sequence(F.lit(0).cast("long"), F.lit(WINDOW[1] - 1).cast("long"))
+    out = own.select("entity_id", F.explode(F.transform(grid, cell)).alias("c")).select("entity_id", "c.*")
     return out.withColumn("observed", F.col("state").isNotNull() & F.col("next_state").isNotNull())
