@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import Z_EXACT, Z_ROUNDED, binomial_se, finite_p, fixed_text, sample_excess_kurtosis, sample_skew, wilson
@@ -313,13 +313,17 @@ def bank_integrity(bank: DataFrame, registry: DataFrame, expected_coords: int) -
 
 
 def relative_to_baseline(arms: DataFrame, baseline: str, metrics: Mapping[str, float]) -> DataFrame:
-    """Log-ratio errors of every arm against the baseline arm; ``metrics`` maps a metric to its target value."""
-    def err(m: str, target: float) -> Column:
-        return F.abs(F.log(F.col(m) / F.lit(target)))
-    ref = arms.where(F.col("arm") == baseline).select("layer", *[err(m, t).alias(f"_{m}") for m, t in metrics.items()])
-    x = arms.join(F.broadcast(ref), "layer").select("arm", "layer", *[err(m, t).alias(m) for m, t in metrics.items()], *[f"_{m}" for m in metrics])
-    closer = sum(((F.col(m) < F.col(f"_{m}")).cast("long") for m in metrics), F.lit(0))
-    worse = F.greatest(*[(F.col(m) - F.col(f"_{m}")) / F.greatest(F.col(f"_{m}"), F.lit(1e-12)) for m in metrics], F.lit(float("-inf")))
+    """Log-ratio errors of every arm against the baseline arm; ``metrics`` maps a metric to its target value.
+
+    The baseline comes from the same reading of ``arms``: means summed again in another order differ in their last bits, and an arm would
+    be closer than itself.
+    """
+    errors = arms.where(F.col("layer").isNotNull()).select("arm", "layer", *[F.abs(F.log(F.col(m) / F.lit(t))).alias(m) for m, t in metrics.items()])
+    ref = F.collect_list(F.when(F.col("arm") == baseline, F.struct(*metrics))).over(Window.partitionBy("layer"))
+    x = errors.withColumn("_refs", ref).withColumn("_ref", F.explode("_refs"))
+    pairs = [(F.col(m), F.col("_ref")[m]) for m in metrics]
+    closer = sum(((own < base).cast("long") for own, base in pairs), F.lit(0))
+    worse = F.greatest(*[(own - base) / F.greatest(base, F.lit(1e-12)) for own, base in pairs], F.lit(None).cast("double"))
     return x.groupBy("arm").agg(F.sum(closer).alias("metrics_closer"), F.max(worse).alias("maximum_degradation"))
 
 
